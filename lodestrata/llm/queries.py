@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, mixing, sharding
+from lodestrata.llm import chat, langid, mixing, packing, quality, sharding
 from lodestrata.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,25 @@ _SIZE = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = materialize(spark, mixing.word_sizes(table(spark, sf_dir, "documents")), "mix-sizes")
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
+@_query("op10_pack_sequences")
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, p = langid.train(docs)
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(rows, langs, p).drop("text")
+
+
+@_query("op8_quality_score")
+def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
+    scored = quality.score(rows, weights).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
