@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, langid, mixing, packing, quality, sharding
+from lodestrata.llm import chat, jaccard, langid, mixing, packing, quality, sharding
 from lodestrata.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,25 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
+@_query(
+    "op9_jaccard_join",
+    r"""
+    with recursive w as (
+      select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+      from documents where text is not null),
+    s as (select distinct doc_id, array_to_string(ws[i : i + 3], ' ') as shingle
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from w where len(ws) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+    l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * k >= 85 * (x.n + y.n - k)),
+    r as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from r join l on l.a = r.c)
+    select r.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(c) as component_id
+    from r left join n on n.doc_id = r.doc_id group by r.doc_id""",
+)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @_query("op10_pack_sequences")
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
