@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, jaccard, langid, mixing, packing, quality, sharding
+from lodestrata.llm import chat, embeddings, jaccard, langid, media, mixing, packing, quality, sharding, warc
 from lodestrata.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +53,42 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_chat(turns.unionByName(own))))
 
 
+@_query("op2_embedding_dedup")
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@_query("op4_media_columns")
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = media.store(table(spark, sf_dir, "documents"))
+    return media.describe(media.load(spark, manifest))
+
+
 @_query("op5_shard_tree")
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+#: SHA-1 in base32: 40 hex digits are 160 bits, which are read in fives.
+_BASE32 = """(select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (('0x' || substr(sha1(h) || '0', 1 + (i * 5) // 4, 2))::int >> (3 - (i * 5) % 4)) % 32, 1), '' order by i)
+      from range(32) as r(i)) as payload_digest"""
+
+
+@_query(
+    "op6_warc_records",
+    """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    t as (select h, max(page_id) as top from p group by h)
+    select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, sha1(h) as sha1_hex,
+      case when page_id = top then 'response' else 'revisit' end as record_type,
+      case when page_id <> top then top end as refers_to
+    from p join t using (h)""".replace("sha1(h) as sha1_hex", _BASE32),
+)
+def op6_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.load(warc.store(table(spark, sf_dir, "pages")))
+
+
 _SIZE = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 
 
