@@ -1,2 +1,85 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to packed sequences: five stages, each over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns rows; all but the last return the columns of ``documents``. ``run`` writes each
+stage's rows as Parquet in the shared folder and reads them again for the next, so a lost executor costs one stage's tasks at
+most. ``doc_id`` names a document: rows that repeat an id stay or go, and are repeated, together.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import jaccard, langid, mixing, packing, quality
+from lodestrata.llm.common import materialize, table
+
+#: Below this probability of its best language a text is in none of them.
+LEAST_LANGUAGE_SCORE = 0.5
+#: A list of ids is broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
+
+
+def _only_text(docs: DataFrame) -> DataFrame:
+    """The same rows with every column but ``text`` under a name that can't clash with a result's."""
+    return docs.toDF(*[c if c == "text" else f"_in{i}" for i, c in enumerate(docs.columns)])
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Join ``docs`` with (_id, ...), which is written already."""
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]), how)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: ``und``, or no language likely enough."""
+    langs, p = langid.train(docs)
+    told = langid.identify(_only_text(docs), langs, p)
+    kept = told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier takes for bad; it learns from labelled documents among those given."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(_only_text(docs), weights)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest id; documents without words all stay."""
+    found = jaccard.join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return _with_ids(docs, materialize(spark, found, "near-duplicates"), "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; those it doesn't take go."""
+    sizes = materialize(spark, mixing.word_sizes(docs), "mixture-sizes")
+    copies = mixing.mix(sizes).filter("epochs > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs"))
+    copies = materialize(spark, copies, "mixture-copies")
+    return _with_ids(docs, copies, "inner").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_epochs"))).alias("_copy")).drop("_copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("packed", packed),
+]
+
+#: The language model, the classifier and the tokenizer are no SQL; tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
