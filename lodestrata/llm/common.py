@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that separate words in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
-_spaces = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 _left_over: list[tuple] = []
 
 
@@ -20,16 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str) -> list[str]:
-    """The maximal runs of characters other than ASCII white space."""
-    return [w for w in text.translate(_spaces).split(" ") if w]
-
-
-def lower_ascii(text: str) -> str:
-    return text.translate(_lower)
-
-
-_lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+def words(text: bytes | None) -> list[bytes]:
+    """The maximal runs of characters other than ASCII white space, of a text in UTF-8."""
+    return text.split() if text else []
 
 
 def crc32_of_id(column: str = "doc_id"):

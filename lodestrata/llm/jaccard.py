@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import lower_ascii, materialize, words
+from lodestrata.llm.common import materialize, words
 from lodestrata.llm.graph import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -62,10 +62,10 @@ class Shingler:
     def __init__(self, n: int):
         self.n, self.known = n, {}
 
-    def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def sets(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         digest = xxhash.xxh3_64_intdigest
         for k in range(0, len(texts), 256):
-            split = [words(lower_ascii(t)) for t in texts[k : k + 256]]
+            split = [words(t and t.lower()) for t in texts[k : k + 256]]  # of bytes only A-Z change
             new = set().union(*split).difference(self.known)
             if len(self.known) + len(new) > self.most_words:
                 self.known, new = {}, set().union(*split)
@@ -183,7 +183,7 @@ def _shingled(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 counts, classes, sketches, sigs = [], [], [], []
-                for s in shingler.sets([t or "" for t in part.column(1).to_pylist()]):
+                for s in shingler.sets(part.column(1).cast(pa.binary()).to_pylist()):
                     cls = _class(s.tobytes())
                     counts.append(len(s))
                     classes.append(cls)
@@ -212,7 +212,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [s.tobytes() for s in shingler.sets([t or "" for t in part.column(1).to_pylist()])]
+                sets = [s.tobytes() for s in shingler.sets(part.column(1).cast(pa.binary()).to_pylist())]
                 own = [_class(raw) == c for raw, c in zip(sets, part.column(0).to_pylist(), strict=True)]  # another text may bear the same id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["class", "shingles"]).filter(pa.array(own, pa.bool_()))
 

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     raw += end
                     for k, begin in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[begin : begin + 4 * capacity]

@@ -45,10 +45,10 @@ class Hasher:
     most_words = 600_000
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.hashes = np.zeros((4096, 2), dtype=np.uint64)
 
-    def features(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+    def features(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, int]]:
         """(buckets, number of words) of each text."""
         for k in range(0, len(texts), 256):
             split = [words(t) for t in texts[k : k + 256]]
@@ -60,7 +60,7 @@ class Hasher:
                 self.hashes = np.concatenate([self.hashes, np.zeros((max(end, 2 * len(self.hashes)) - len(self.hashes), 2), dtype=np.uint64)])
             digest = xxhash.xxh64_intdigest
             if new:
-                self.hashes[len(self.known) : end] = np.array([(digest(w), digest("\0" + _shape(w))) for w in new], dtype=np.uint64)
+                self.hashes[len(self.known) : end] = np.array([(digest(w), digest("\0" + _shape(w.decode()))) for w in new], dtype=np.uint64)
                 self.known.update(zip(new, range(len(self.known), end), strict=True))
             get = self.known.__getitem__
             for ws in split:
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.nd
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 where, values = [], []
-                for buckets, n_words in hasher.features(part.column(2).to_pylist()):
+                for buckets, n_words in hasher.features(part.column(2).cast(pa.binary()).to_pylist()):
                     u, c = np.unique(buckets, return_counts=True)
                     where.append(u.astype("<i4").tobytes())
                     values.append((c / np.sqrt(max(1, n_words))).astype("<f4").tobytes())
@@ -127,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.nd
 
     counted = rows.mapInArrow(count, "turn string, quality int, at binary, x binary")
     ordered = counted.repartition(1).sortWithinPartitions("turn", "quality")  # one task, over the bounded sample
-    return np.frombuffer(ordered.mapInArrow(learn, "w binary").first()["w"], "<f4").astype(float)
+    learnt = ordered.mapInArrow(learn, "w binary").first()  # none if no labelled text is among ``docs``
+    return np.frombuffer(learnt["w"], "<f4").astype(float) if learnt else np.zeros(BUCKETS + 1)
 
 
 _hashers: list[Hasher] = []
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                texts = part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
                 dots = np.array([w[b].sum() / np.sqrt(max(1, n)) for b, n in _hashers[0].features(texts)], dtype=float)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(dots + w[-1]), pa.float64())], [*names, "score"])
 

@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+from lodestrata.llm.common import words
 
 
 @cache
@@ -27,27 +27,28 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """``most_words`` bounds the cache; words longer than ``longest`` aren't kept."""
+    """Words met lately are kept in two generations of at most ``most_words``: when the young one is full it becomes the old one,
+    and words that are met again move back. Words longer than ``longest`` bytes aren't kept."""
 
-    def __init__(self, path: str, most_words: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most_words: int = 500_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most_words, self.longest, self.known = most_words, longest, {"": b""}
-        self.mark = self._ids("\0")
-        self.mark_id = int(np.frombuffer(self.mark, "<u4")[0])
+        self.most_words, self.longest = most_words, longest
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.mark_id = int(np.frombuffer(self._ids("\0"), "<u4")[0])
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, plain: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words, many in a call: a NUL stands between them and tells them apart afterwards."""
-        found = {w: self._ids(w) for w in new if "\0" in w or len(w) > self.longest}
-        plain = [w for w in new if w not in found]
+        found = {}
         for k in range(0, len(plain), 128):
             part = plain[k : k + 128]
-            ids = np.array(self.tokenizer.encode_batch_fast([" \0 ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" \0 ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(ids == self.mark_id)
             if len(at) != len(part) - 1:
                 raise AssertionError("a mark was lost between words")
@@ -57,18 +58,44 @@ class WordEncoder:
                 begin = end + 4
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _look_up(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't in the young generation."""
+        found, split, learn, old = {}, {}, set(), self.old
+        for w in new:
+            if (ids := old.get(w)) is not None:
+                found[w] = ids
+                continue
+            # the vocabulary is of lower case and splits letters from marks: "Word," has the ids of "word" and ","
+            core = w.rstrip(b".,!?;:")
+            if core.isalpha() and (len(core) < len(w) or not core.islower()):
+                split[w] = low, mark = core.lower(), w[len(core) :]
+                for x in (low, mark):
+                    if x and x not in self.known and x not in found:
+                        if (ids := old.get(x)) is not None:
+                            found[x] = ids
+                        else:
+                            learn.add(x)
+            elif b"\0" in w or len(w) > self.longest:
+                found[w] = self._ids(w.decode())
+            else:
+                learn.add(w)
+        found |= self._learn(list(learn))
+        for w, (low, mark) in split.items():
+            parts = [found[x] if x in found else self.known[x] for x in (low, mark) if x]
+            found[w] = b"".join(parts)
+        return found
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         out = []
         for k in range(0, len(texts), 256):
-            split = [t.translate(_SPACE).split(" ") for t in texts[k : k + 256]]
+            split = [words(t) for t in texts[k : k + 256]]
             new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > self.most_words:
-                self.known = {"": b""}
-                new = set().union(*split).difference(self.known)
-            found = self._learn(list(new)) if new else {}
+            found = self._look_up(new) if new else {}
             self.known.update((w, b) for w, b in found.items() if len(w) <= self.longest)
             look = {w: b for w, b in found.items() if len(w) > self.longest}
             get = self.known.__getitem__ if not look else (lambda w, a=self.known, b=look: a[w] if w in a else b[w])
             out += [b"".join(map(get, ws)) for ws in split]
+            if len(self.known) > self.most_words:
+                self.known, self.old = {}, self.known
         return out

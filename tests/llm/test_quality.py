@@ -18,11 +18,11 @@ def test_held_out_separation(spark):
 
 
 def test_features_are_words_pairs_and_shapes():
-    (at, n), (none, zero) = quality.Hasher().features(["One two  two\nOne two", ""])
+    (at, n), (none, zero) = quality.Hasher().features([b"One two  two\nOne two", None])
     assert n == 5 and len(at) == 5 * 2 + 4 * 2 and zero == 0 and len(none) == 0
     small = quality.Hasher()
     small.most_words = 2
-    again = [b for b, _ in small.features(["One two  two\nOne two", ""])]
+    again = [b for b, _ in small.features([b"One two  two\nOne two", None])]
     assert (again[0] == at).all()
     assert quality._shape("SHOUT!!!") == quality._shape("NO!!") == "X!"
 
