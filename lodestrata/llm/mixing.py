@@ -42,10 +42,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     # with the sources before this one capped, the rest would stand at this level
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0))) / F.sum("weight").over(beyond)
     ranked = ranked.withColumn("_level", F.when(level <= F.col("_ratio"), level))
-    ranked = ranked.withColumn("_level", F.min("_level").over(everything))
+    ranked = ranked.withColumn("_level", F.max("_level").over(everything))  # beyond the first that holds, too many are capped and it sinks
     return ranked.select("source", "source_size", "weight", F.least("_cap", F.col("_level") * F.col("weight")).alias("target"))
 
 
+def _source_key():
+    """A key that is never null: a source, or that there is none."""
+    return F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
+
+
 def word_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, text) -> doc_id, source, size in words."""
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -60,12 +65,10 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple[int, ...] = WEIGHTS,
     rows = docs.select(
         "doc_id", "source", F.col(size).cast("long").alias("size"),
         F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "UTF-8")).alias("shuffled"),
-    ).withColumn("_group", F.substring("shuffled", 1, SHUFFLE_DIGITS)).withColumn("_source", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
+    ).withColumn("_group", F.substring("shuffled", 1, SHUFFLE_DIGITS)).withColumn("_source", _source_key())
     groups = rows.groupBy("_source", "_group").agg(F.first("source").alias("source"), F.sum("size").alias("_n"))
     sizes = groups.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_n").alias("source_size"))
-    targets = source_targets(sizes, weights, max_epochs).select(
-        F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_source"), "source_size", "target"
-    )
+    targets = source_targets(sizes, weights, max_epochs).select(_source_key().alias("_source"), "source_size", "target")
     before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("_source", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     # what a group needs to know of its source, a row for each group
@@ -77,26 +80,30 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple[int, ...] = WEIGHTS,
         .withColumn("_upto", F.col("_start") + F.col("_within"))
         .withColumn("first_time", F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("_upto") / F.col("target")))
     )
-    copies = (
-        queued.filter(F.col("first_time").isNotNull())
-        .select("doc_id", "source", "_source", "size", "shuffled", "_upto", "target", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"), "source_size")
-        .withColumn("time", (F.col("_upto") + F.col("epoch") * F.col("source_size")) / F.col("target"))
-        .withColumn("cell", F.floor(F.least(F.col("time"), F.lit(4.0 * max_epochs)) * GRID))
-    )
+    def cell(time):
+        return F.floor(F.least(time, F.lit(4.0 * max_epochs)) * GRID)
+
+    def finish(epoch):
+        return (F.col("_upto") + epoch * F.col("source_size")) / F.col("target")
+
+    epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
+    copies = queued.filter(F.col("first_time").isNotNull()).select("*", F.explode(epochs).alias("epoch"))
+    copies = copies.withColumn("time", finish(F.col("epoch"))).withColumn("cell", cell(F.col("time")))
     budget = sizes.agg(F.sum("source_size")).first()[0] or 0
     upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     grid = copies.groupBy("cell").agg(F.sum("size").alias("n"))  # at most 4 x max_epochs x GRID rows
     grid = grid.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") > budget)
     cut = grid.orderBy("cell").select("cell", (F.lit(budget) - F.col("upto") + F.col("n")).alias("left")).first()
-    whole, last_cell = copies, copies.limit(0)
-    if cut is not None:
-        whole = copies.filter(F.col("cell") < cut["cell"])
+    if cut is None:  # everything fits
+        joined = queued.withColumn("epochs", F.when(F.col("first_time").isNotNull(), F.lit(max_epochs)))
+    else:
+        whole = F.size(F.filter(epochs, lambda e: cell(finish(e)) < cut["cell"]))
         served = Window.orderBy("time", F.col("source").asc_nulls_last(), "shuffled", "doc_id", "size", "epoch").rowsBetween(Window.unboundedPreceding, 0)
-        last_cell = copies.filter(F.col("cell") == cut["cell"])
-        last_cell = last_cell.withColumn("_served", F.sum("size").over(served)).filter(F.col("_served") <= cut["left"])
-    keys = ["_source", "doc_id", "size", "shuffled", "_upto"]
-    taken = whole.select(*keys).unionByName(last_cell.select(*keys)).groupBy(*[F.col(k).alias(f"t{k}") for k in keys]).agg(F.count("*").cast("int").alias("epochs"))
-    joined = queued.join(taken, [F.col(k).eqNullSafe(F.col(f"t{k}")) for k in keys], "left")
+        keys = ["_source", "shuffled", "size", "_upto"]  # of one row, as only rows without words share a running sum
+        last = copies.filter(F.col("cell") == cut["cell"]).withColumn("_served", F.sum("size").over(served)).filter(F.col("_served") <= cut["left"])
+        last = last.groupBy(*keys).agg(F.count("*").cast("int").alias("_last"))
+        joined = queued.withColumn("_whole", F.when(F.col("first_time").isNotNull(), whole)).join(last, keys, "left")
+        joined = joined.withColumn("epochs", F.col("_whole") + F.coalesce("_last", F.lit(0)))
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("epochs", F.lit(0)).alias("epochs"), "first_time", "shuffled"
     )

@@ -101,7 +101,7 @@ _SIZE = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
     l as (select *, cap / weight as ratio,
         (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
         / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from w),
-    t as (select source, source_size, least(cap, (min(case when level <= ratio then level end) over ()) * weight) as target from l),
+    t as (select source, source_size, least(cap, (max(case when level <= ratio then level end) over ()) * weight) as target from l),
     q as (select d.*, t.source_size, t.target,
         (sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and current row))::double as upto
         from d join t on d.source is not distinct from t.source),
