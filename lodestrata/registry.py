@@ -2,4 +2,4 @@
 
 from lodestrata.plans import REGISTRY
 
-__all__ = ["REGISTRY"]
+from lodestrata.plans import chunks  # noqa: F401
