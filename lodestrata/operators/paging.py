@@ -23,14 +23,12 @@ def equal(rows: DataFrame, **values) -> DataFrame:
     return rows
 
 
-def incident_edges(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges with an end among ``nodes`` (id), each once: two semi joins, as a join on either end would compare all with all."""
-    ends = nodes.select("id")
-    return (
-        edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi")
-        .unionByName(edges.join(ends.withColumnRenamed("id", "target"), "target", "left_semi"))
-        .dropDuplicates(keys)
-    )
+def incident_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end among ``nodes`` (id), each as often as it is there: semi joins by one end, then by the other for the
+    rest, as a join on either end would compare all with all."""
+    source, target = nodes.select(F.col("id").alias("source")), nodes.select(F.col("id").alias("target"))
+    out = edges.join(source, "source", "left_semi")
+    return out.unionByName(edges.join(source, "source", "left_anti").join(target, "target", "left_semi"))
 
 
 def missing(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:

@@ -60,7 +60,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("class_name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("_"), (F.col("p_partkey") % 41).cast("string")).alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("class_name"))
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ CTE = {
       o_orderdate as created_at, o_orderpriority as version from orders)""",
     "results": """results as (select l_orderkey as run_id, l_linenumber as number, case l_returnflag when 'R' then 'HIGH' when 'A' then 'MEDIUM' else 'LOW' end as severity,
       l_quantity as cc, l_extendedprice / 1000 as mi, case l_linestatus when 'F' then 'ERROR' else 'INFO' end as level, l_tax = 0.08 as secret from lineitem)""",
-    "symbols": "symbols as (select p_partkey as id, p_name as name, p_brand as file, p_type as class_name from part)",
+    "symbols": "symbols as (select p_partkey as id, p_name || '_' || p_partkey % 41 as name, p_brand as file, p_type as class_name from part)",
     "calls": """calls as (select l_orderkey || ':' || l_linenumber as call_id, l_partkey as caller, c.file, t.name from lineitem
       join symbols t on t.id = (l_partkey * 7 + l_linenumber) % (select count(*) from part) join symbols c on c.id = l_partkey)""",
     "truth": "truth as (select item_id, doc_id from documents d join benchmark b on contains(d.text, b.text[1:40]))",
