@@ -13,7 +13,7 @@ def wilson(good: Column, total: Column) -> tuple[Column, Column]:
     n = F.nullif(total.cast("double"), F.lit(0.0))
     p = good / n
     middle, half = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
-    bound = lambda v: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / (1 + Z * Z / n))), F.lit(0.0))
+    bound = lambda v: F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / (1 + Z * Z / n)))).otherwise(F.lit(0.0))
     return bound(middle - half), bound(middle + half)
 
 
