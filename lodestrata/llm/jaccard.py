@@ -16,9 +16,10 @@ From signatures to components, without all pairs of a group and without losing a
 1. Documents with one shingle set are one class. Signatures go out once for each class and task; signatures of a single class go at once.
 2. Each class is compared with the first class of one of its groups: one pair a class at most.
 3. Verified links give components. A group whose classes are in one component is done, and that is what becomes of groups of near copies.
-4. Groups that still span components compare the pairs across, in blocks of bounded size, if sizes and parity sketches allow a
-   link (a sketch keeps the parity of the number of shingles in each of 256 cells; sets that differ in d shingles differ in at
-   most d cells). Survivors are verified on whole sets, and the components are formed anew.
+4. Groups that still span components are gathered by their first class, and pairs across components are compared, in blocks
+   of bounded size, by sizes and parity sketches (a sketch keeps the parity of the number of shingles in each of its cells, two
+   cells a shingle; sets that differ in d shingles differ in at most d cells). Pairs that may link are verified on whole
+   sets, and what they link are components, not documents.
 
 Defined results: words are maximal runs of characters other than ASCII white space, A-Z lower-cased; a text of
 fewer words than ``n`` is one shingle; no text or no word: an empty set, linked with nothing; repeated rows are documents of
@@ -42,7 +43,7 @@ from lodestrata.llm.graph import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SKETCH = 4  # words of 64 bits
-#: Rows of a group that one block of pairs takes from each side.
+#: Classes of a lead that one block of pairs takes from each side.
 BLOCK = 2048
 #: Broadcast the list of ids whose texts are needed again up to so many; join by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
@@ -158,11 +159,26 @@ def signatures(s: np.ndarray, schemes: Schemes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((_mix(s ^ _C) >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH) & 1
+def _wide_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of 256 cells or more, about two cells a shingle."""
+    cells = 64 * SKETCH
+    while cells < min(2 * len(s), 1 << 16):
+        cells *= 2
+    bits = np.bincount((_mix(s ^ _C) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch over fewer cells."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    return _fold(_wide_sketch(s), SKETCH)
+
+
 def _class(raw: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
 
@@ -182,23 +198,24 @@ def _shingled(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, classes, sketches, sigs = [], [], [], []
+                counts, classes, sketches, wide, sigs = [], [], [], [], []
                 for s in shingler.sets(part.column(1).cast(pa.binary()).to_pylist()):
                     cls = _class(s.tobytes())
                     counts.append(len(s))
                     classes.append(cls)
-                    sketches.append(_sketch(s))
+                    wide.append(_wide_sketch(s))
+                    sketches.append(_fold(wide[-1], SKETCH))
                     fresh = len(s) and cls not in seen
                     sigs.append(signatures(s, schemes).view(np.int64) if fresh else None)
                     if fresh and len(seen) < 1_000_000:
                         seen.add(cls)
                 sketch = np.array(sketches, dtype="<u8").reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), *(_signed(sketch[:, k].copy()) for k in range(SKETCH)), pa.array(sigs, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", *_SKETCHES, "sigs"],
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), *(_signed(sketch[:, k].copy()) for k in range(SKETCH)), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "class", *_SKETCHES, "sketch", "sigs"],
                 )
 
-    schema = "doc_id long, n_shingles long, class long, " + ", ".join(f"{p} long" for p in _SKETCHES) + ", sigs array<long>"
+    schema = "doc_id long, n_shingles long, class long, " + ", ".join(f"{p} long" for p in _SKETCHES) + ", sketch binary, sigs array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, schema)
 
 
@@ -222,7 +239,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes that link, on whole sets. ``pairs`` is written already."""
     spark = docs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    needed = pairs.select(F.col("a").alias("class")).distinct().union(pairs.select("b").distinct()).distinct()
     ids = classes.select("class", F.col("first_id").alias("doc_id")).join(needed, "class")
     ids = materialize(spark, ids, "jaccard-ids")
     # repeated rows may give a class's first document twice
@@ -252,66 +269,52 @@ def _possible(n_a, n_b, p_a: list, p_b: list, rule: Rule):
     return (F.least(n_a, n_b) >= need) & (apart <= total - 2 * need)
 
 
-def _across(groups: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, block_a, block_b, side, class, component, n, sketch) sorted by block pair -> pairs across components that may link."""
+def _across(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(lead, block_a, block_b, side, class, component, n, sketch) sorted by block pair -> pairs across components that may link."""
+    keys = ("lead", "block_a", "block_b")
 
-    def pairs_of(sides: list[np.ndarray], col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left, right = sides
-        for k in range(0, len(left), 256):
-            i, j = left[k : k + 256][:, None], right[None, :]
+    def pairs_of(col: dict[str, np.ndarray], sketch: list[bytes], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        least = min(map(len, sketch)) // 8
+        folded = np.stack([_fold(np.frombuffer(x, "<u8"), least) for x in sketch])
+        every = np.arange(len(sketch))
+        left, right = (every, every) if same else (every[col["side"] == 0], every[col["side"] == 1])
+        for k in range(0, len(left), 64):
+            i, j = left[k : k + 64][:, None], right[None, :]
             total = col["n"][i] + col["n"][j]
-            most = rule.differences(total)
-            ok = (col["component"][i] != col["component"][j]) & (col["class"][i] < col["class"][j] if left is right else True)
-            ok &= np.minimum(col["n"][i], col["n"][j]) * 2 >= total - most
-            apart = sum(np.bitwise_count((col[p][i] ^ col[p][j]).view(np.uint64)).astype(np.int64) for p in _SKETCHES)  # bits of a signed number would be those of its magnitude
-            x, y = np.nonzero(ok & (apart <= most))
-            yield col["class"][left[k + x]], col["class"][right[y]]
+            ok = (col["component"][i] != col["component"][j]) & (np.minimum(col["n"][i], col["n"][j]) * 2 >= total - rule.differences(total))
+            if same:
+                ok &= i < j
+            x, y = np.nonzero(ok)
+            x, y = left[k + x], right[y]
+            for c in range(0, len(x), 16_384):
+                a, b = x[c : c + 16_384], y[c : c + 16_384]
+                apart = np.bitwise_count(folded[a] ^ folded[b]).sum(axis=1, dtype=np.int64)
+                keep = apart <= rule.differences(col["n"][a] + col["n"][b])
+                if keep.any():
+                    yield col["class"][a[keep]], col["class"][b[keep]]
+
+    def one(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        if rows.num_rows < 2:
+            return
+        col = {c: rows[c].to_numpy() for c in ("side", "class", "component", "n")}
+        for a, b in pairs_of(col, rows["sketch"].to_pylist(), key[1] == key[2]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {c: rows[c].to_numpy() for c in rows.column_names}
-            key = np.stack([col["sig"], col["block_a"], col["block_b"]], axis=1)
-            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
-            out: list[tuple] = []
-            for begin, end in zip(at, np.r_[at[1:], len(key)].astype(int), strict=True):
-                rows_at = np.arange(begin, end)
-                same = col["block_a"][begin] == col["block_b"][begin]
-                own = rows_at if same else None
-                sides = [own, own] if same else [rows_at[col["side"][begin:end] == 0], rows_at[col["side"][begin:end] == 1]]
-                out += pairs_of(sides, col)
-                if len(out) >= 512:
-                    yield emit(out)
-                    out = []
-            if out:
-                yield emit(out)
-
-        def emit(found: list[tuple]) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:  # the last block pair of a batch may go on in the next
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = rows.slice(rows.num_rows - 1).to_pylist()[0] if rows.num_rows else None
-            if last is None:
-                continue
-            tail = sum(1 for _ in _tail(rows, last))
-            if tail < rows.num_rows:
-                yield from flush(rows.slice(0, rows.num_rows - tail))
-                held = rows.slice(rows.num_rows - tail).combine_chunks().to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    def _tail(rows: pa.Table, last: dict) -> range:
-        keys = [rows[c].to_numpy() for c in ("sig", "block_a", "block_b")]
-        same = np.logical_and.reduce([k == last[c] for k, c in zip(keys, ("sig", "block_a", "block_b"), strict=True)])
-        other = np.flatnonzero(~same)
-        return range(int(other[-1]) + 1 if len(other) else 0, rows.num_rows)
-
-    return groups.mapInArrow(run, "a long, b long")
+        key, held = None, []
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1 if batch.num_rows else []
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
+                now = tuple(int(c[begin]) for c in cols)
+                if now != key:
+                    yield from one(key, held) if held else ()
+                    key, held = now, []
+                held.append(batch.slice(begin, end - begin))
+        yield from one(key, held) if held else ()
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
@@ -319,7 +322,7 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
     rule = rule or Rule()
     spark = docs.sparkSession
     rows = materialize(spark, _shingled(docs, n, rule), "jaccard-rows")
-    facts = [F.first(c).alias(c) for c in ("n_shingles", *_SKETCHES)]
+    facts = [F.first(c).alias(c) for c in ("n_shingles", *_SKETCHES, "sketch")]
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), *facts)
     classes = materialize(spark, classes, "jaccard-classes")
 
@@ -336,25 +339,29 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
     links = materialize(spark, _verified(docs, classes, stars, n, rule), "jaccard-links")
     known = materialize(spark, components(links), "jaccard-known")
 
-    # groups that still span components
+    # groups that still span components, gathered by their lead: a pair of near copies shares many groups, but few leads
     facts_of = classes.join(known.withColumnRenamed("node", "class"), "class", "left")
-    facts_of = facts_of.select("class", F.coalesce("component", "class").alias("component"), F.col("n_shingles").alias("n"), *_SKETCHES)
-    placed = groups.select("sig", "class").join(facts_of, "class")
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k"))
-    open_ = open_.filter("c0 < c1").select("sig", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(open_, "sig").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    spread = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "sig", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "component", "n", *_SKETCHES,
+    facts_of = facts_of.select("class", F.coalesce("component", "class").alias("component"), F.col("n_shingles").alias("n"), "sketch")
+    placed = groups.join(facts_of.select("class", "component"), "class")
+    spans = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("sig")
+    left = materialize(spark, groups.join(spans, "sig", "left_semi").select("lead", "class").distinct(), "jaccard-open")
+    blocks = left.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = left.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    spread = left.join(facts_of, "class").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "lead", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "component", "n", "sketch",
     )
-    spread = spread.repartition("sig", "block_a", "block_b").sortWithinPartitions("sig", "block_a", "block_b")
+    spread = spread.repartition("lead", "block_a", "block_b").sortWithinPartitions("lead", "block_a", "block_b")
     found = _across(spread, rule).distinct().join(stars, ["a", "b"], "left_anti")
     found = materialize(spark, found, "jaccard-across")
     more = materialize(spark, _verified(docs, classes, found, n, rule), "jaccard-more")
-    final = components(links.unionByName(more))
+    # the new links join components, so only those are walked again
+    of = facts_of.select("class", "component")
+    between = more.join(of.select(F.col("class").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("class").alias("b"), F.col("component").alias("cb")), "b")
+    joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("wider"))
 
-    named = classes.select("class", "first_id").join(final.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", "first_id", F.coalesce("component", "class").alias("component"))
+    named = classes.select("class", "first_id").join(of, "class").join(joined, "component", "left")
+    named = named.select("class", "first_id", F.coalesce("wider", "component").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("class", "component_id")
     return rows.select("doc_id", "n_shingles", "class").join(named, "class", "left").select(
