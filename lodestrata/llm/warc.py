@@ -5,8 +5,8 @@ record: key, offset and length in the archive member) and ``datapackage.json``.
 included), locates the stored members and the index, plans ranges of records, and range-reads each record by its offset.
 
 Records with equal payloads: the one with the largest page_id is a response, the others are revisits that name it and hold
-the HTTP header only. Rows of a payload that many pages share are joined by digest with a table of one row a digest, where an
-adaptive plan may split them over tasks; only then are records formed.
+the HTTP header only. Rows of a payload that many pages share are joined by digest without their payloads, where an adaptive plan
+may split them over tasks; payloads are shuffled once, by page.
 
 Defined results: a null html is an empty payload; a null page_id sorts below every other; repeated rows each get a record, and
 of those with the largest page_id one is the response and the rest are revisits of it; an empty table writes no package.
@@ -30,6 +30,8 @@ from lodestrata.llm.common import materialize, scratch
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
+#: Stands for a missing page_id, below all others.
+NO_PAGE = -(2**63)
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -86,14 +88,15 @@ def _page_of(urn: str) -> int | None:
 def mark_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, copy (number among equal ids and payloads), url, html, to_page, to_copy (null: a response)."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
-    # rows that repeat an id get numbers; the key holds few rows, however common the payload is
-    same = Window.partitionBy("page_id", "sha").orderBy("url")
-    rows = rows.withColumn("copy", (F.row_number().over(same) - 1).cast("int"))
-    top = rows.groupBy("sha").agg(F.max("page_id").alias("top"))
-    marked = rows.join(top, "sha")
-    response = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("copy") == 0)
-    return marked.select("page_id", "copy", "url", "html", F.when(~response, F.struct(F.col("top").alias("page"), F.lit(0).alias("copy"))).alias("to"))
+    rows = rows.withColumn("page", F.coalesce("page_id", F.lit(NO_PAGE))).withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
+    # which page each payload refers to is found on narrow rows; payloads move once, by keys of few rows each
+    narrow = rows.select("page", "sha").distinct()
+    top = narrow.groupBy("sha").agg(F.max("page").alias("top"))
+    marked = rows.join(narrow.join(top, "sha"), ["page", "sha"])
+    marked = marked.withColumn("copy", (F.row_number().over(Window.partitionBy("page", "sha").orderBy("url")) - 1).cast("int"))
+    response = (F.col("page") == F.col("top")) & (F.col("copy") == 0)
+    to = F.struct(F.when(F.col("top") != NO_PAGE, F.col("top")).alias("page"), F.lit(0).alias("copy"))
+    return marked.select("page_id", "copy", "url", "html", F.when(~response, to).alias("to"))
 
 
 def write_packages(marked: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
