@@ -33,7 +33,7 @@ from lodestrata.llm.graph import components
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
-PART = 4096
+PART = 8192
 #: Classes up to which one grid dimension is used; each fourfold number takes one more.
 ONE_DIMENSION = 65_536
 _SLACK = 1e-9
@@ -58,45 +58,55 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) -> vec_id, key (null: links with nothing), raw (doubles)."""
+    """(vec_id, embedding) -> vec_id, key (null: links with nothing), raw (floats if they are exact, else doubles), dims."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raws = [], []
+            keys, raws, dims = [], [], []
             for v in batch.column(1):
                 x = np.array([np.nan if c is None else c for c in v.as_py()], dtype=float) if v.is_valid else np.zeros(0)
                 good = len(x) and np.isfinite(x).all() and x.any()
                 raw = (x + 0.0).tobytes() if good else None  # -0.0 becomes 0.0
                 keys.append(raw and hashlib.blake2b(raw, digest_size=16).digest())
-                raws.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "key", "raw"])
+                with np.errstate(over="ignore", under="ignore"):
+                    short = x.astype("<f4") if good else None
+                raws.append(raw if not good or (short != x).any() else (short + np.float32(0)).tobytes())
+                dims.append(len(x) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "key", "raw", "dims"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null")
-    return rows.mapInArrow(run, "vec_id long, key binary, raw binary")
+    return rows.mapInArrow(run, "vec_id long, key binary, raw binary, dims int")
+
+
+def _doubles(raws: list[bytes], dims: int) -> np.ndarray:
+    """Rows of vectors that are kept as floats or doubles."""
+    if len({len(r) for r in raws}) == 1:
+        return np.frombuffer(b"".join(raws), "<f4" if len(raws[0]) == 4 * dims else "<f8").reshape(-1, dims).astype(float)
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dims else "<f8").astype(float) for r in raws])
 
 
 def _cells(classes: DataFrame, threshold: float, grid: int) -> DataFrame:
-    """(class_id, weight, raw) -> a row for each block and cell: cell, guest, class_id, weight, raw."""
+    """(class_id, weight, raw, dims) -> a row for each block and cell: cell, guest and those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                raws = part.column(2).to_pylist()
-                for size in sorted({len(r) for r in raws}):
-                    where = [i for i, r in enumerate(raws) if len(r) == size]
-                    y = unit(np.frombuffer(b"".join(raws[i] for i in where)).reshape(len(where), -1)) @ rotation(size // 8)
+                raws, sizes = part.column(2).to_pylist(), part.column(3).to_pylist()
+                for size in sorted(set(sizes)):
+                    where = [i for i, n in enumerate(sizes) if n == size]
+                    y = unit(_doubles([raws[i] for i in where], size)) @ rotation(size)
                     row = part.take(pa.array(where))
-                    for b, (dims, budget) in enumerate(blocks(size // 8, threshold)):
+                    for b, (dims, budget) in enumerate(blocks(size, threshold)):
                         cell = np.floor(y[:, dims][:, :grid] / (np.sqrt(budget) * (1 + _SLACK))).astype(np.int64)
                         for step in product((-1, 0, 1), repeat=cell.shape[1]):
                             if step < (0,) * len(step):
                                 continue  # the other half of the neighbours comes as guests here
-                            names = [f"{size // 8}/{b}/" + ",".join(map(str, c)) for c in (cell + step).tolist()]
+                            names = [f"{size}/{b}/" + ",".join(map(str, c)) for c in (cell + step).tolist()]
                             guest = pa.array(np.full(len(where), int(any(step)), dtype=np.int32))
-                            yield pa.RecordBatch.from_arrays([pa.array(names), guest, *row.columns], ["cell", "guest", "class_id", "weight", "raw"])
+                            yield pa.RecordBatch.from_arrays([pa.array(names), guest, *row.columns], ["cell", "guest", "class_id", "weight", "raw", "dims"])
 
-    return classes.mapInArrow(run, "cell string, guest int, class_id long, weight long, raw binary")
+    return classes.mapInArrow(run, "cell string, guest int, class_id long, weight long, raw binary, dims int")
 
 
 class Forest:
@@ -124,7 +134,8 @@ def links_of(ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, guest: np.nda
     y, cut = x @ rotation(x.shape[1]), blocks(x.shape[1], threshold)
     own, budget = cut[block]
     u = np.ascontiguousarray(y[:, own], dtype=np.float32)
-    half = (u * u).sum(axis=1) / 2
+    half, one = (u * u).sum(axis=1, keepdims=True) / 2, np.ones((len(u), 1), dtype=np.float32)
+    a_side, b_side = np.hstack([u, -half, -one]), np.hstack([u, one, half])  # their product is minus half the squared distance
     count, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
     rows = np.arange(len(ids))
     homes, guests = rows[guest == 0], rows[guest == 1]
@@ -134,10 +145,10 @@ def links_of(ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, guest: np.nda
         left, right = rows[side == 0], rows[side == 1]
         turns = [(left[guest[left] == 0], right), (left[guest[left] == 1], right[guest[right] == 0])]
     for left, right in turns:
+        b_right = np.ascontiguousarray(b_side[right].T)
         for k in range(0, len(left), 256):
             i = left[k : k + 256]
-            near = half[i][:, None] + half[right][None, :] - u[i] @ u[right].T <= budget / 2 + 1e-5
-            p, q = np.nonzero(near)
+            p, q = np.divmod(np.flatnonzero(a_side[i] @ b_right >= -budget / 2 - 1e-5), max(1, len(right)))
             p, q = i[p], right[q]
             if left is right:
                 p, q = p[p < q], q[p < q]
@@ -160,7 +171,7 @@ def _linked(cells: DataFrame, threshold: float) -> DataFrame:
         ids, weight, guest, side = (rows[c].to_numpy() for c in ("class_id", "weight", "guest", "side"))
         if len(ids) < 2:
             return None
-        raw = np.frombuffer(b"".join(rows["raw"].to_pylist())).reshape(len(ids), -1)
+        raw = _doubles(rows["raw"].to_pylist(), rows["dims"][0].as_py())
         count, label = links_of(ids, weight, raw, guest, side, key[1] == key[2], int(key[0].split("/")[1]), threshold)
         hit = np.flatnonzero(count)
         if not len(hit):
@@ -195,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, grid: int
     rows = materialize(spark, _classes(vectors), "vectors")
     sums = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight"))
     sums = materialize(spark, sums, "vector-classes")
-    firsts = rows.select("key", F.col("vec_id").alias("class_id"), "raw").join(sums, ["key", "class_id"]).dropDuplicates(["class_id", "key"])
+    firsts = rows.select("key", F.col("vec_id").alias("class_id"), "raw", "dims").join(sums, ["key", "class_id"]).dropDuplicates(["class_id", "key"])
     # one id may stand for two vectors, so classes are numbered by their keys' hash; ids come back at the end
     numbered = F.xxhash64("key")
     n = sums.count()
@@ -203,13 +214,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, grid: int
         grid = 1
         while n > ONE_DIMENSION * 4 ** (grid - 1) and grid < 3:
             grid += 1
-    cells = materialize(spark, _cells(firsts.select(numbered.alias("class_id"), "weight", "raw"), threshold, grid), "vector-cells")
+    cells = materialize(spark, _cells(firsts.select(numbered.alias("class_id"), "weight", "raw", "dims"), threshold, grid), "vector-cells")
     parts = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("guest").alias("_home")).filter("_n > 1 and _home = 0")
     parts = parts.select("cell", F.ceil(F.col("_n") / part).cast("int").alias("parts"))
     dealt = cells.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "cell", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "guest", "class_id", "weight", "raw",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "guest", "class_id", "weight", "raw", "dims",
     )
     dealt = dealt.repartition("cell", "part_a", "part_b").sortWithinPartitions("cell", "part_a", "part_b")
     found = materialize(spark, _linked(dealt, threshold), "vector-links")
