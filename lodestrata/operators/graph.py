@@ -6,6 +6,8 @@ looked up row by row and nothing is collected: ladders are counts per key, left
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +86,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(hit, "import_id", "left")
 
 
-def closure(parents: DataFrame, spark, most_depth: int = 10) -> DataFrame:
-    """(child, parent) -> (child, ancestor, depth), the shortest way; cycles end where a pair is met again."""
-    view = f"parents_{abs(hash(parents)) % 10**9}"
-    parents.select("child", "parent").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        with recursive up (child, ancestor, depth) as (
-          select child, parent, 1 from {view}
-          union all select u.child, p.parent, u.depth + 1 from up u join {view} p on u.ancestor = p.child where u.depth < {most_depth} and p.parent <> u.child)
-        select child, ancestor, min(depth) as depth from up group by child, ancestor""")
+def closure(parents: DataFrame, spark) -> DataFrame:
+    """(child, parent) -> (child, ancestor, depth), the shortest way, however long; a pair that is there already ends a walk.
+
+    Ways up to a length are joined with those of just that length, so the length doubles in each round. A shortest way has
+    one point at each length, so it is found from there and a pair that comes later is no shorter. Rounds are checkpointed.
+    """
+    if spark.sparkContext.getCheckpointDir() is None:  # only where none is configured, as in tests
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+    ways = parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
+    reach = 1
+    while True:
+        far = ways.filter(F.col("depth") == reach).select("child", F.col("ancestor").alias("_via"))
+        on = ways.select(F.col("child").alias("_via"), "ancestor", F.col("depth").alias("_more"))
+        found = far.join(on, "_via").filter("child <> ancestor").groupBy("child", "ancestor").agg((F.min("_more") + reach).alias("depth"))
+        found = found.join(ways.select("child", "ancestor"), ["child", "ancestor"], "left_anti").checkpoint()
+        if found.isEmpty():
+            return ways
+        ways, reach = ways.unionByName(found).checkpoint(), 2 * reach
 
 
 def summary(edges: DataFrame) -> DataFrame:

@@ -122,6 +122,23 @@ def test_ladders(spark):
     assert {r["import_id"]: r["target"] for r in graph.resolve_imports(imports, files).collect()} == {"i1": "src/client.ts", "i2": "q/r.py", "i3": None}
 
 
+def test_closure_goes_all_the_way_up(spark):
+    chain = [(k, k - 1) for k in range(2, 41)]
+    odd = [(101, 102), (102, 103), (103, 101), (103, 40), (103, 40), (104, 1), (104, 101), (105, 105)]  # a cycle, a repeated row, two ways, itself
+    up = {}
+    for child, parent in chain + odd:
+        up.setdefault(child, set()).add(parent)
+    want = {}
+    for child in up:
+        now, depth = up[child], 1
+        while now:
+            want |= {(child, a): depth for a in now}
+            now, depth = {p for a in now for p in up.get(a, ()) if p != child and (child, p) not in want}, depth + 1
+    rows = graph.closure(spark.createDataFrame(chain + odd, "child long, parent long"), spark).collect()
+    assert len(rows) == len(want) and {(r["child"], r["ancestor"]): r["depth"] for r in rows} == want
+    assert want[40, 1] == 39 and want[104, 1] == 1 and want[104, 2] == 42
+
+
 def test_paging_grid(spark):
     data = [(k, ["x", "y", "z"][k % 3], None if k % 5 == 0 else k % 40, f"f{k % 7}" if k % 7 else None) for k in range(150)]
     rows = spark.createDataFrame(data, "id int, analyzer string, line int, file string").cache()
