@@ -2,29 +2,100 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 
 K1, B = 1.5, 0.75  # fixed values of BM25
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 512  # rows of each side that a task compares at once
 
 # Phrases of a refusal.
 REFUSALS = ("insufficient evidence", "cannot answer", "can't answer", "cannot determine", "no evidence", "not enough information", "unable to answer", "do not have enough", "don't have enough", "not found in the")
 
 
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows filled up with zeros, and their lengths; -1 for no vector."""
+    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+    out = np.zeros((len(size), max(0, size.max())))
+    out[np.arange(out.shape[1]) < size[:, None]] = pc.list_flatten(vectors).to_numpy()
+    return out, size
+
+
+def _dots(a: np.ndarray, i, b: np.ndarray, j) -> np.ndarray:
+    """Of rows a[i] and b[j], summed in order as ``T.cosine`` does, so that the doubles are the same."""
+    s = np.zeros(len(i))
+    for d in range(min(a.shape[1], b.shape[1])):
+        s += a[i, d] * b[j, d]
+    return s
+
+
+def _block_best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, score) of all in a block that may be among a query's k best once scores are rounded to 9 digits.
+
+    A matrix product finds who comes near the k-th best, and only those are scored exactly. Of equal scores the k first
+    ids are enough, so copies of one vector send no more than k rows a query. No vector: -inf.
+    """
+    (q, nq), (v, nv) = _matrix(queries["x"]), _matrix(vectors["x"])
+    place = np.empty(len(v), dtype=np.int64)
+    place[pc.sort_indices(vectors["id"].combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(len(v))
+    found: list[tuple] = []
+    with np.errstate(all="ignore"):
+        lq, lv = (np.sqrt(_dots(x, every := np.arange(len(x)), x, every)) for x in (q, v))
+        uq, uv = (x / np.where(n == 0, 1, n)[:, None] for x, n in ((q, lq), (v, lv)))
+        width = min(q.shape[1], v.shape[1])
+        for at in range(0, len(q), 64):
+            part = slice(at, at + 64)
+            near = uq[part, :width] @ uv[:, :width].T
+            near[np.isnan(near)] = 2  # NaN comes first in Spark's order
+            near[(nq[part, None] != nv) | (lq[part, None] * lv == 0)] = 0
+            near[(nq[part, None] < 0) | (nv < 0)] = -2
+            least = np.partition(near, -k, axis=1)[:, -k] if k < near.shape[1] else near.min(axis=1)
+            i, j = np.nonzero(near >= least[:, None] - 4e-9)
+            i += at
+            norm = lq[i] * lv[j]
+            s = np.where((nq[i] != nv[j]) | (norm == 0), 0.0, _dots(q, i, v, j) / norm)
+            s[(nq[i] < 0) | (nv[j] < 0)] = -np.inf
+            order = np.lexsort((place[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            fresh = np.r_[True, (i[1:] != i[:-1]) | (s[1:] != s[:-1])]
+            keep = np.arange(len(i)) - np.maximum.accumulate(np.where(fresh, np.arange(len(i)), 0)) < k
+            found.append((i[keep], j[keep], s[keep]))
+    i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"query_id": queries["query_id"].take(pa.array(i)), "id": vectors["id"].take(pa.array(j)), "score": pa.array(s)})
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """(id, vector[, scope]) against (query_id, query[, scope]) -> query_id, id, score, rank; ties by id.
 
-    Queries are few and stated; every vector is scored against all of them in one narrow pass (a query array travels to
-    the vectors), and each task keeps k rows a query before anything is shuffled.
+    Every query is scored against every vector. Both sides are cut into blocks; a task takes one block of each and sends
+    on about k rows a query. Neither side is gathered, so the queries may grow with the table.
     """
-    gathered = F.collect_list(F.struct("query_id", "query", *([scope] if scope else [])))
-    one = queries.agg(gathered.alias("_q"))
-    rows = vectors.join(F.broadcast(one)).select("id", "vector", *([scope] if scope else []), F.explode("_q").alias("q"))
-    if scope:
-        rows = rows.filter(F.col(scope) == F.col(f"q.{scope}"))
-    scored = rows.select(F.col("q.query_id").alias("query_id"), "id", F.round(T.cosine(F.col("vector"), F.col("q.query")), 9).alias("score"))
+
+    def side(rows: DataFrame, name: str, vector: str) -> DataFrame:
+        whole = F.when(F.forall(vector, lambda x: x.isNotNull()), F.transform(vector, lambda x: x.cast("double")))
+        rows = rows.select(name, whole.alias("x"), (F.col(scope) if scope else F.lit(0)).alias("_scope"))
+        return rows.filter("_scope is not null")
+
+    v, q = side(vectors, "id", "vector"), side(queries, "query_id", "query")
+    in_v, in_q = (max(1, -(-rows.count() // size)) for rows, size in ((v, VECTOR_BLOCK), (q, QUERY_BLOCK)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ("_scope", "_v", "_q")
+    v = v.select("*", block("id", in_v).alias("_v"), every(in_q).alias("_q"))
+    q = q.select("*", block("query_id", in_q).alias("_q"), every(in_v).alias("_v"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return _block_best(a, b, k)
+        return pa.table({"query_id": a["query_id"].slice(0, 0), "id": b["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    types = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    scored = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(best, types)
+    scored = scored.withColumn("score", F.round(F.when(F.col("score") != float("-inf"), F.col("score")), 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -22,14 +22,14 @@ _COS = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[
 @query("vector_topk", f"select q.vec_id as query_id, e.vec_id as id, round({_COS} + 1e-12, 7) as score, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e, embeddings q where q.vec_id < 10 qualify rank <= 5")
 def vector_topk(spark, d):
     v = _vectors(spark, d)
-    q = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return retrieval.cosine_top_k(v, q, 5).withColumn("score", F.round(F.col("score") + 1e-12, 7))
 
 
 @query("vector_topk_scoped", f"select q.vec_id as query_id, e.vec_id as id, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e join embeddings q on e.label = q.label where q.vec_id < 20 qualify rank <= 3")
 def vector_topk_scoped(spark, d):
     v = _vectors(spark, d)
-    q = v.filter("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "run")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "run")
     return retrieval.cosine_top_k(v, q, 3, "run").select("query_id", "id", "rank")
 
 
