@@ -17,6 +17,8 @@ from lodestrata.llm.common import materialize, table
 
 #: Below this probability of its best language a text is in none of them.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Near duplicates share four fifths of their shingles of five words. (op9's contract has numbers of its own.)
+NEAR_WORDS, NEAR = 5, jaccard.Rule(80, 100)
 #: A list of ids is broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -49,7 +51,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; documents without words all stay."""
-    found = jaccard.join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = jaccard.join(docs, NEAR_WORDS, NEAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return _with_ids(docs, materialize(spark, found, "near-duplicates"), "left_anti").select(*docs.columns)
 
 
