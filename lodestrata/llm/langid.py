@@ -83,11 +83,15 @@ class Lattice:
         words, n, longest, langs = q.shape
         alpha, scale = np.zeros((words, n + 1, langs)), np.zeros((words, n + 1, langs))
         alpha[:, 0] = 1
-        for j in range(1, n + 1):
-            low = max(0, j - longest)
-            top = scale[:, low:j].max(axis=1)
-            s = sum(alpha[:, i] * np.exp(scale[:, i] - top) * q[:, i, j - i - 1] for i in range(low, j))
-            alpha[:, j], scale[:, j] = np.where(s > 0, 1.0, 0.0), top + np.log(np.where(s > 0, s, 1.0))
+        with np.errstate(divide="ignore"):
+            log_q = np.log(q)
+            for j in range(1, n + 1):
+                # the largest term sets the scale: with characters read as bytes, places of one window can be further apart than doubles reach
+                terms = [scale[:, i] + log_q[:, i, j - i - 1] for i in range(max(0, j - longest), j)]
+                top = np.maximum.reduce(terms)
+                top[np.isneginf(top)] = 0
+                s = sum(np.exp(t - top) for t in terms)
+                alpha[:, j], scale[:, j] = np.where(s > 0, 1.0, 0.0), top + np.log(s)
         return alpha, scale
 
     def _by_length(self, words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -108,8 +112,18 @@ class Lattice:
             if len(part[0]) > 2000:
                 out[at] = [self._long(w, p) for w in part]
                 continue
-            q = self.step(*self.pieces(part), p)
-            out[at] = self._short(q) if len(part[0]) <= 24 else self.forward(q)[1][:, -1]
+            ids, odd = self.pieces(part)
+            q = self.step(ids, odd, p)
+            if len(part[0]) > 24:
+                out[at] = self.forward(q)[1][:, -1]
+                continue
+            # a character that is read as bytes is a product of several probabilities, and a few such can leave the doubles
+            rare = np.zeros(len(part), dtype=bool)
+            rare[[w for w, _, _ in odd]] = True
+            if not rare.all():
+                out[at[~rare]] = self._short(q[~rare])
+            if rare.any():
+                out[at[rare]] = self.forward(q[rare])[1][:, -1]
         return out
 
     @staticmethod

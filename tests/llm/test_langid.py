@@ -38,6 +38,22 @@ def test_forward_sums_all_segmentations(lattice):
     assert np.isfinite(lattice.log_probability(["z" * 5000], p)).all()
 
 
+def test_runs_of_unseen_characters_are_scored(lattice):
+    p = np.stack([lattice.fit(words, np.array([4e5, 3e5])) for words in (["the", "and"], ["der", "und"])], axis=1)
+    runs = [c * n for c in ("\U0001f600", "\U00020000", "\ua66e") for n in range(1, 31)]
+    words = runs + ["the" + w for w in runs[:20]]
+    got = lattice.log_probability(words, p)
+    assert np.isfinite(got).all()
+    assert np.allclose(got, [lattice._long("▁" + w, p) for w in words])
+
+
+def test_a_run_of_unseen_characters_decides_nothing(spark, lattice):
+    p = np.stack([lattice.fit(words, np.array([4e5, 3e5])) for words in (["the", "and"], ["der", "und"])], axis=1)
+    texts = [f"{text} {c * n}" for c in ("\U0001f600", "\ua66e") for n in range(12, 24) for text in ("the and the and the", "der und der und der")]
+    rows = langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), ["a", "b"], p).collect()
+    assert all(r["lang_pred"] == ("a" if r["text"].startswith("the") else "b") and 0.5 <= r["score"] <= 1 for r in rows)
+
+
 def test_em_raises_the_likelihood(lattice):
     words, counts = ["the", "there", "then", "other", "ꙮthe"], np.array([9.0, 3, 3, 2, 1])
     ll = []
