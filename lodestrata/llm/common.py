@@ -7,12 +7,56 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that separate words in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table of narrow rows is broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 250_000
 _left_over: list[tuple] = []
+_kept: list[tuple] = []
+
+
+def kept(key, make):
+    """What a Python worker keeps between its tasks: one object, of the operator that ran last. Another key takes its place,
+    so a worker that serves one stage after another holds the cache of one of them."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
+class WordIndex:
+    """Numbers for words met lately, from 0. ``most_bytes`` bounds what the words take; when they would take more, all are
+    forgotten and numbering starts again, so long words are forgotten the sooner."""
+
+    #: What an entry takes beside the word itself, about.
+    entry_bytes = 150
+
+    def __init__(self, most_bytes: int = 24 << 20):
+        self.most_bytes, self.held, self.known = most_bytes, 0, {}
+
+    def add(self, split: list[list]) -> tuple[list, int]:
+        """Words of ``split`` that are new, which get the numbers from the second result on."""
+        new = set().union(*split).difference(self.known)
+        size = sum(map(len, new)) + self.entry_bytes * len(new)
+        if self.known and self.held + size > self.most_bytes:
+            self.known, self.held, new = {}, 0, set().union(*split)
+            size = sum(map(len, new)) + self.entry_bytes * len(new)
+        begin, new = len(self.known), list(new)
+        self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        self.held += size
+        return new, begin
+
+    def numbers(self, ws: list) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
+
+
+def rows_for(table: np.ndarray, end: int) -> np.ndarray:
+    """``table`` with room for ``end`` rows."""
+    return table if end <= len(table) else np.concatenate([table, np.zeros((max(end, len(table) * 3 // 2) - len(table), *table.shape[1:]), dtype=table.dtype)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +68,21 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of ``docs`` but those that a result with columns ``names`` replaces."""
+    return [c for c in docs.columns if c.lower() not in names]
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of an id written as text."""
     return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A private one is made only where none is configured, as in tests."""
+    """The folder every executor sees. A private one is made only in a local session that configures none, as in tests."""
     if not (base := spark.conf.get("spark.checkpoint.dir", "")):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not (base := getattr(shared_dir, "own", "")):
             base = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         if spark.sparkContext.getCheckpointDir() is None:
@@ -60,6 +111,11 @@ def _remove_all() -> None:
             remove(*_left_over.pop())
 
 
+def few(written: DataFrame) -> DataFrame:
+    """``written`` (a table of narrow rows that is written already), to be broadcast if it is counted to be small."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     df.write.parquet(path := scratch(spark, label))

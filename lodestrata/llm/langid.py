@@ -6,16 +6,23 @@ joins characters of two words, so this is the sum over all segmentations of the
 expectation maximisation with the forward-backward algorithm, for each language, over the word counts of a
 sample of labelled texts whose size is bounded by ``DOCS_PER_LANGUAGE``. Prediction covers every whole text.
 
-A worker keeps the log probabilities of words it has met in a bounded cache; each new word is summed once, many words at a time.
+The pieces that occur in many words are found at once by an automaton and are the edges of one graph of places. Sums run
+along it in logarithms, a place at a time in all words, so no word is too long or too rare for them. Memory is bounded by
+``BLOCK`` characters: a longer word is summed block by block with the last few places carried over, and a longer word of
+the training sample is fitted in parts of that length.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; ties go to the language first in code-point
-order; without any labelled text everything is ``und``; repeated rows are predicted alike; extra columns are ignored.
+order; without any labelled text everything is ``und``; a null doc_id isn't held out; repeated rows are predicted alike; columns
+of the input that bear a result's name are replaced, other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc32_of_id
+from lodestrata.llm.common import WordIndex, crc32_of_id, kept, others, rows_for
 from lodestrata.llm.tokens import default_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -32,6 +39,8 @@ UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 1500
 ROUNDS = 3
 PSEUDO_COUNT = 0.05
+#: Characters whose places are in memory at once.
+BLOCK = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -39,6 +48,34 @@ def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
+@dataclass
+class Edges:
+    """Pieces found in a text: from place ``start`` to place ``to``. Ids from the vocabulary's size on are ``odd`` characters."""
+
+    start: np.ndarray
+    to: np.ndarray
+    id: np.ndarray
+    odd: list[str]
+
+
+def _along(sums: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, step: np.ndarray) -> None:
+    """sums[target] = log of the sum of exp(sums[source] + weight) over the edges into it, in the order of ``step``."""
+    order = np.argsort(step * len(sums) + target)
+    source, target, weight, step = source[order], target[order], weight[order], step[order]
+    first = np.flatnonzero(np.diff(target, prepend=-1) | np.diff(step, prepend=-1))  # of the edges into one place
+    size = np.diff(first, append=len(target))
+    turns = np.flatnonzero(np.diff(step[first], prepend=-1))  # of the places of one step
+    with np.errstate(divide="ignore"):
+        for k, end in zip(turns.tolist(), [*turns[1:].tolist(), len(first)], strict=True):
+            begin, last = first[k], first[end] if end < len(first) else len(target)
+            terms = sums[source[begin:last]] + weight[begin:last]
+            cuts = first[k:end] - begin
+            top = np.maximum.reduceat(terms, cuts, axis=0)
+            top[np.isneginf(top)] = 0
+            total = np.add.reduceat(np.exp(terms - np.repeat(top, size[k:end], axis=0)), cuts, axis=0)
+            sums[target[first[k:end]]] = top + np.log(total)
+
+
 class Lattice:
     """The vocabulary and the forward and backward sums over segmentations of many words at once.
 
@@ -46,209 +83,193 @@ class Lattice:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.size = len(names)
-        self.ids = {n: i for i, n in enumerate(names) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+        self.ids = {n: i for i, n in enumerate(names) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and "\n" not in n}
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
         self.longest = max(map(len, self.ids))
-        self.none = self.size  # an extra piece of probability 0
-
-    def pieces(self, words: list[str]) -> tuple[np.ndarray, list[tuple[int, int, list[int]]]]:
-        """Piece ids [word, begin, length - 1] of words of one length, and characters (word, place, byte pieces) that are no piece."""
-        n, get, none = len(words[0]), self.ids.get, self.none
-        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1)]
-        flat = np.fromiter((get(w[i:j], none) for w in words for i, j in spans), dtype=np.int32, count=len(words) * len(spans)).reshape(len(words), len(spans))
-        out = np.full((len(words), n, min(n, self.longest)), none, dtype=np.int32)
-        i, j = np.array(spans).T
-        out[:, i, j - i - 1] = flat
-        odd = [(w, i, [self.bytes[b] for b in words[w][i].encode("utf-8", "replace")]) for w, i in np.argwhere(out[:, :, 0] == none).tolist()]
-        return out, odd
-
-    def step(self, ids: np.ndarray, odd: list, p: np.ndarray) -> np.ndarray:
-        """Probability [word, begin, length - 1, language] of each piece, with bytes for the characters that are none."""
-        q = p[ids]
-        for w, i, parts in odd:
-            q[w, i, 0] = p[parts].prod(axis=0)
-        return q
+        self.length = np.ones(self.size, dtype=np.int64)
+        self.found = ahocorasick.Automaton()
+        for name, i in self.ids.items():
+            self.found.add_word(name, i)
+            self.length[i] = len(name)
+        self.found.make_automaton()
+
+    def edges(self, text: str) -> Edges:
+        """All pieces in ``text``, whose words a newline ends."""
+        hits = np.fromiter(chain.from_iterable(self.found.iter(text)), dtype=np.int64).reshape(-1, 2)
+        to, ids = hits[:, 0] + 1, hits[:, 1]
+        start = to - self.length[ids]
+        alone = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") != 10
+        alone[start[self.length[ids] == 1]] = False
+        where = np.flatnonzero(alone)
+        chars = [text[i] for i in where.tolist()]
+        odd = {c: self.size + k for k, c in enumerate(dict.fromkeys(chars))}
+        own = np.fromiter(map(odd.__getitem__, chars), dtype=np.int64, count=len(chars))
+        return Edges(np.concatenate([start, where]), np.concatenate([to, where + 1]), np.concatenate([ids, own]), list(odd))
+
+    def _of_bytes(self, c: str) -> list[int]:
+        return [self.bytes[b] for b in c.encode("utf-8", "replace")]
+
+    def weights(self, edges: Edges, log_p: np.ndarray) -> np.ndarray:
+        """Log probability [edge, language]."""
+        if not edges.odd:
+            return log_p[edges.id]
+        return np.concatenate([log_p[: self.size], [log_p[self._of_bytes(c)].sum(axis=0) for c in edges.odd]])[edges.id]
 
     @staticmethod
-    def forward(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums [word, place, language] over segmentations of each prefix, and the logarithms of their scales.
-
-        alpha x exp(scale) is the sum; a row is rescaled at each place, so words of any length keep their precision.
-        """
-        words, n, longest, langs = q.shape
-        alpha, scale = np.zeros((words, n + 1, langs)), np.zeros((words, n + 1, langs))
-        alpha[:, 0] = 1
-        with np.errstate(divide="ignore"):
-            log_q = np.log(q)
-            for j in range(1, n + 1):
-                # the largest term sets the scale: with characters read as bytes, places of one window can be further apart than doubles reach
-                terms = [scale[:, i] + log_q[:, i, j - i - 1] for i in range(max(0, j - longest), j)]
-                top = np.maximum.reduce(terms)
-                top[np.isneginf(top)] = 0
-                s = sum(np.exp(t - top) for t in terms)
-                alpha[:, j], scale[:, j] = np.where(s > 0, 1.0, 0.0), top + np.log(s)
-        return alpha, scale
-
-    def _by_length(self, words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, list[str]]]:
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        begin = 0
-        while begin < len(order):
-            n, end = len(words[order[begin]]), begin
-            room = max(1, most * 12 // max(n, 1))
-            while end < len(order) and len(words[order[end]]) == n and end - begin < room:
-                end += 1
-            yield np.array(order[begin:end]), [words[k] for k in order[begin:end]]
-            begin = end
+    def _parts(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Words (their numbers, and with the leading mark) in parts of at most ``BLOCK`` characters, those of like length together."""
+        order = np.argsort(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), kind="stable")
+        begin = held = 0
+        for k, w in enumerate(order.tolist()):
+            n = len(words[w]) + 2
+            if held and held + n > BLOCK:
+                yield order[begin:k], ["▁" + words[x] for x in order[begin:k].tolist()]
+                begin, held = k, 0
+            held += n
+        if begin < len(order):
+            yield order[begin:], ["▁" + words[x] for x in order[begin:].tolist()]
+
+    @staticmethod
+    def _places(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """The words in one text, and the first and last place of each."""
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        end = np.cumsum(n + 1) - 1
+        return "\n".join(words) + "\n", end - n, end
+
+    def forward(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
+        """Log probability [word, language] of words that bear the leading mark."""
+        text, begin, end = self._places(words)
+        edges = self.edges(text)
+        sums = np.full((len(text) + 1, log_p.shape[1]), -np.inf)
+        sums[begin] = 0
+        _along(sums, edges.start, edges.to, self.weights(edges, log_p), edges.to - begin[np.searchsorted(end, edges.to)])
+        return sums[end]
+
+    def _long(self, word: str, log_p: np.ndarray) -> np.ndarray:
+        """The same sum of one word, block by block."""
+        last = np.zeros((1, log_p.shape[1]))  # the sums at the places up to where a block begins
+        for k in range(0, len(word), BLOCK):
+            back = len(last) - 1
+            text = word[k - back : k + BLOCK]
+            edges = self.edges(text)
+            fresh = edges.to > back
+            sums = np.full((len(text) + 1, log_p.shape[1]), -np.inf)
+            sums[: back + 1] = last
+            _along(sums, edges.start[fresh], edges.to[fresh], self.weights(edges, log_p)[fresh], edges.to[fresh])
+            last = sums[-min(len(sums), self.longest) :]
+        return last[-1]
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """[word, language] for p [piece, language]; words longer than 2,000 characters go through in parts of a few pieces each."""
+        """[word, language] for p [piece, language]."""
         out = np.zeros((len(words), p.shape[1]))
-        for at, part in self._by_length(["▁" + w for w in words]):
-            if len(part[0]) > 2000:
-                out[at] = [self._long(w, p) for w in part]
-                continue
-            ids, odd = self.pieces(part)
-            q = self.step(ids, odd, p)
-            if len(part[0]) > 24:
-                out[at] = self.forward(q)[1][:, -1]
-                continue
-            # a character that is read as bytes is a product of several probabilities, and a few such can leave the doubles
-            rare = np.zeros(len(part), dtype=bool)
-            rare[[w for w, _, _ in odd]] = True
-            if not rare.all():
-                out[at[~rare]] = self._short(q[~rare])
-            if rare.any():
-                out[at[rare]] = self.forward(q[rare])[1][:, -1]
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        for at, part in self._parts(words):
+            out[at] = self.forward(part, log_p) if len(part[0]) <= BLOCK else [self._long(w, log_p) for w in part]
         return out
 
-    @staticmethod
-    def _short(q: np.ndarray) -> np.ndarray:
-        """``forward`` for words whose probability is far from the smallest double."""
-        words, n, longest, langs = q.shape
-        alpha = np.zeros((n + 1, words, langs))
-        alpha[0] = 1
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                alpha[j] += alpha[i] * q[:, i, j - i - 1]
-        return np.log(alpha[n])
-
-    def _long(self, word: str, p: np.ndarray) -> np.ndarray:
-        """The same sum with only the last ``longest`` places in memory."""
-        get, last = self.ids.get, [np.zeros(p.shape[1])]
-        for j in range(1, len(word) + 1):
-            terms = [last[-k] + np.log(p[i]) for k in range(1, min(len(last), self.longest) + 1) if (i := get(word[j - k : j])) is not None]
-            if get(word[j - 1]) is None:
-                terms.append(last[-1] + np.log(p[[self.bytes[b] for b in word[j - 1].encode("utf-8", "replace")]]).sum(axis=0))
-            last = [*last[-self.longest :], np.logaddexp.reduce(terms)]
-        return last[-1]
+    def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in ``counts`` times the words, which bear the leading mark."""
+        text, begin, end = self._places(words)
+        edges = self.edges(text)
+        word = np.searchsorted(end, edges.to)
+        weight = self.weights(edges, log_p)
+        ahead, behind = np.full((len(text) + 1, 1), -np.inf), np.full((len(text) + 1, 1), -np.inf)
+        ahead[begin] = behind[end] = 0
+        _along(ahead, edges.start, edges.to, weight, edges.to - begin[word])
+        _along(behind, edges.to, edges.start, weight, end[word] - edges.start)
+        share = np.exp(ahead[edges.start] + weight + behind[edges.to] - ahead[end][word])[:, 0] * counts[word]
+        out = np.bincount(edges.id, share, self.size + len(edges.odd))
+        for k, c in enumerate(edges.odd):
+            np.add.at(out, self._of_bytes(c), out[self.size + k])
+        return out[: self.size]
 
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Piece probabilities of one language, [piece + 1]; the last is the 0 of no piece."""
-        parts = [(at, *self.pieces(part)) for at, part in self._by_length(["▁" + w for w in words]) if len(part[0]) <= 200]
-        p = np.full((self.size + 1, 1), 1.0 / self.size)
-        p[-1] = 0
+        """Piece probabilities of one language."""
+        if any(len(w) > BLOCK - 2 for w in words):
+            cut = [(w[k : k + BLOCK - 2], n) for w, n in zip(words, counts.tolist(), strict=True) for k in range(0, len(w), BLOCK - 2)]
+            words, counts = [w for w, _ in cut], np.array([n for _, n in cut])
+        p = np.full(self.size, 1.0 / self.size)
         for _ in range(rounds):
-            expected = np.zeros(self.size + 1)
-            for at, ids, odd in parts:
-                q = self.step(ids, odd, p)
-                n, longest = q.shape[1], q.shape[2]
-                fa, fs = self.forward(q)
-                mirrored = np.zeros_like(q)
-                for k in range(min(n, longest)):
-                    mirrored[:, : n - k, k] = q[:, : n - k, k][:, ::-1]
-                ba, bs = self.forward(mirrored)
-                total = fs[:, -1]
-                for k in range(min(n, longest)):
-                    i = np.arange(n - k)
-                    share = fa[:, i] * ba[:, n - 1 - k - i] * q[:, i, k] * np.exp(fs[:, i] + bs[:, n - 1 - k - i] - total[:, None])
-                    expected += np.bincount(ids[:, i, k].ravel(), (share[:, :, 0] * counts[at][:, None]).ravel(), self.size + 1)
-                for w, i, pieces in odd:
-                    share = (fa[w, i] * ba[w, n - 1 - i] * q[w, i, 0] * np.exp(fs[w, i] + bs[w, n - 1 - i] - total[w]))[0] * counts[at[w]]
-                    np.add.at(expected, pieces, share)
-            expected += PSEUDO_COUNT
-            expected[-1] = 0
-            p = (expected / expected.sum())[:, None]
-        return p[:, 0]
+            expected = np.full(self.size, PSEUDO_COUNT)
+            for at, part in self._parts(words):
+                expected += self.expected(part, counts[at], np.log(p)[:, None])
+            p = expected / expected.sum()
+        return p
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return crc32_of_id(column) % 4 == 2
+    return F.coalesce(crc32_of_id(column) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, path: str | None = None, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(doc_id, text, lang) -> languages in code-point order, probabilities [piece + 1, language].
+    """(doc_id, text, lang) -> languages in code-point order, probabilities [piece, language].
 
     What comes to the driver is a count and a vector of the vocabulary's size for each language.
     """
     path = path or default_path(VOCABULARY)
-    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return [], np.zeros((0, 0))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sizes.items()])
     sample = labelled.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) < share * 1_000_000)
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found: Counter = Counter()
+                for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    found.update((lang, w) for w in _words(text))
+                langs, words = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Lattice(path).fit(pdf["word"].tolist(), pdf["n"].to_numpy(float))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "p": [p.tobytes()]})
 
-    fitted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).groupBy("lang").applyInPandas(fit, "lang string, p binary").collect()
+    words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    fitted = words.groupBy("lang").applyInPandas(fit, "lang string, p binary").collect()
     models = {r["lang"]: np.frombuffer(r["p"]) for r in fitted}
     langs = sorted(models)
     return langs, np.stack([models[x] for x in langs], axis=1) if langs else np.zeros((0, 0))
 
 
 class _Scorer:
-    most_words = 500_000
-
     def __init__(self, path: str, p: np.ndarray):
         self.lattice, self.p = Lattice(path), p
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, p.shape[1]))
+        self.index, self.scores = WordIndex(), np.zeros((1024, p.shape[1]))
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Log probability [text, language]."""
         out = np.zeros((len(texts), self.p.shape[1]))
         for k in range(0, len(texts), 256):
             split = [_words(t) for t in texts[k : k + 256]]
-            new = list(set().union(*split).difference(self.known))
-            if len(self.known) + len(new) > self.most_words:
-                self.known = {}
-                new = list(set().union(*split))
-            if new:
-                begin, end = len(self.known), len(self.known) + len(new)
-                if end > len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros((max(end, 2 * len(self.scores)) - len(self.scores), self.p.shape[1]))])
-                self.scores[begin:end] = self.lattice.log_probability(new, self.p)
-                self.known.update(zip(new, range(begin, end), strict=True))
-            get = self.known.__getitem__
+            new, begin = self.index.add(split)
+            self.scores = rows_for(self.scores, begin + len(new))
+            self.scores[begin : begin + len(new)] = self.lattice.log_probability(new, self.p)
             for i, ws in enumerate(split, k):
-                out[i] = self.scores[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))].sum(axis=0)
+                out[i] = self.scores[self.index.numbers(ws)].sum(axis=0)
         return out
 
 
-_scorers: dict[tuple, _Scorer] = {}
-
-
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None = None) -> DataFrame:
     """Adds lang_pred and score to the rows of ``docs``, which has a column ``text``; the other columns pass through."""
     path = path or default_path(VOCABULARY)
+    docs = docs.select(*others(docs, "lang_pred", "score"))
     held = docs.sparkSession.sparkContext.broadcast(p)  # vocabulary x languages
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if langs:
             model = held.value
-            mark = (path, hash(model.tobytes()))
-            if mark not in _scorers:  # one model at a time stays in a worker
-                _scorers.clear()
-                _scorers[mark] = _Scorer(path, model)
+            scorer = kept(("langid", path, hash(model.tobytes())), lambda: _Scorer(path, model))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -256,7 +277,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None
                 pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if langs else []
                 if known:
-                    ll = _scorers[mark].score([texts[i] for i in known])
+                    ll = scorer.score([texts[i] for i in known])
                     best = ll.argmax(axis=1)
                     score[known] = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
                     for i, b in zip(known, best.tolist(), strict=True):

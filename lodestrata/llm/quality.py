@@ -1,12 +1,13 @@
 """A quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text gives its words and pairs of neighbouring words, once as written and once as shapes (letters to x or X, digits to 0,
-runs shortened, other characters kept), hashed into ``BUCKETS`` weights. Feature values are counts / sqrt(number of words), so
+runs of one character shortened to one, other characters kept), hashed into ``BUCKETS`` weights. Feature values are counts / sqrt(number of words), so
 a score is a sparse dot product: one gather and one sum. Training makes one pass in the order of a hash over at most about
 ``MAX_LABELLED`` labelled texts; scoring covers every whole text.
 
 Defined results: null and empty texts score as the bias alone; without labelled rows every score is 0.5; a text
-with several labels counts once for each; null labels are ignored; repeated rows score alike; extra columns are ignored.
+with several labels counts once for each; null labels are ignored; a null doc_id isn't held out and has no label; repeated rows score alike; a
+column of the input named ``score`` is replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc32_of_id, words
+from lodestrata.llm.common import WordIndex, crc32_of_id, kept, others, rows_for, words
 
 BUCKETS = 1 << 20
 #: Bound of the training sample: about so many labelled rows, chosen by a hash of the id.
@@ -36,35 +37,27 @@ _SHAPE = str.maketrans({c: "x" for c in map(chr, range(97, 123))} | {c: "X" for
 def _shape(word: str) -> str:
     if not word.isascii():
         word = "".join(c if c.isascii() else "x" if c.islower() else "X" if c.isupper() else "o" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUN.sub(r"\1", word.translate(_SHAPE))[:32]
+    return _RUN.sub(r"\1", word.translate(_SHAPE))
 
 
 class Hasher:
-    """Buckets of a text's features; words it has met are kept in a bounded cache."""
-
-    most_words = 600_000
+    """Buckets of a text's features; words it has met are kept in a cache of bounded bytes."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.index = WordIndex()
         self.hashes = np.zeros((4096, 2), dtype=np.uint64)
 
     def features(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, int]]:
         """(buckets, number of words) of each text."""
+        digest = xxhash.xxh64_intdigest
         for k in range(0, len(texts), 256):
             split = [words(t) for t in texts[k : k + 256]]
-            new = list(set().union(*split).difference(self.known))
-            if len(self.known) + len(new) > self.most_words:
-                self.known, new = {}, list(set().union(*split))
-            end = len(self.known) + len(new)
-            if end > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros((max(end, 2 * len(self.hashes)) - len(self.hashes), 2), dtype=np.uint64)])
-            digest = xxhash.xxh64_intdigest
+            new, begin = self.index.add(split)
+            self.hashes = rows_for(self.hashes, begin + len(new))
             if new:
-                self.hashes[len(self.known) : end] = np.array([(digest(w), digest("\0" + _shape(w.decode()))) for w in new], dtype=np.uint64)
-                self.known.update(zip(new, range(len(self.known), end), strict=True))
-            get = self.known.__getitem__
+                self.hashes[begin : begin + len(new)] = np.array([(digest(w), digest("\0" + _shape(w.decode()))) for w in new], dtype=np.uint64)
             for ws in split:
-                h = self.hashes[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))]
+                h = self.hashes[self.index.numbers(ws)]
                 mixed = (h[:-1] * _PAIR) ^ (h[1:] >> np.uint64(7)) ^ h[1:]
                 both = np.concatenate([h.ravel(), (mixed ^ (mixed >> np.uint64(29))).ravel()])
                 yield (both & _MASK).astype(np.int64), len(ws)
@@ -92,7 +85,7 @@ def _sigmoid(v):
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return crc32_of_id(column) % 5 == 0
+    return F.coalesce(crc32_of_id(column) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndarray:
@@ -131,22 +124,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.nd
     return np.frombuffer(learnt["w"], "<f4").astype(float) if learnt else np.zeros(BUCKETS + 1)
 
 
-_hashers: list[Hasher] = []
-
-
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """Adds ``score`` (the probability of quality 1) to the rows of ``docs``, which has a column ``text``."""
+    docs = docs.select(*others(docs, "score"))
     held, names = docs.sparkSession.sparkContext.broadcast(weights), docs.columns  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        if not _hashers:
-            _hashers.append(Hasher())
+        hasher = kept("quality", Hasher)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 texts = part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                dots = np.array([w[b].sum() / np.sqrt(max(1, n)) for b, n in _hashers[0].features(texts)], dtype=float)
+                dots = np.array([w[b].sum() / np.sqrt(max(1, n)) for b, n in hasher.features(texts)], dtype=float)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(dots + w[-1]), pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

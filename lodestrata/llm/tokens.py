@@ -1,23 +1,24 @@
 """Whole texts to token ids, one cached word at a time.
 
-The vocabulary's pre-tokenizer drops white space and never joins characters across it, so the ids of a text are the ids of its
-space-separated words in order (tests compare both). A worker keeps the ids of words it has met, as bytes, in
-a bounded cache: most words of a corpus repeat, and a text is then a join of byte strings.
+The default vocabulary's pre-tokenizer drops white space and never joins characters across it, so the ids of a text are the
+ids of its space-separated words in order. A worker keeps the ids of words it has met, as bytes, in a cache of bounded bytes:
+most words of a corpus repeat, and a text is then a join of byte strings. A tokenizer that is loaded is asked whether this
+holds for it (``_probe``); one for which it doesn't gets whole texts.
 """
 
 from __future__ import annotations
 
 import os
-from functools import cache
 
 import numpy as np
 
-from lodestrata.llm.common import words
+from lodestrata.llm.common import kept, words
+
+_MARKS = ".,!?;:"
 
 
-@cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("tokens", path), lambda: WordEncoder(path))
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,18 +28,29 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Words met lately are kept in two generations of at most ``most_words``: when the young one is full it becomes the old one,
-    and words that are met again move back. Words longer than ``longest`` bytes aren't kept."""
+    """Words met lately are kept in two generations of at most ``most_bytes`` each, about: when the young one is full it becomes the
+    old one, and words that are met again move back. Words longer than ``longest`` bytes aren't kept."""
+
+    #: What an entry takes beside a word and its ids, about.
+    entry_bytes = 190
 
-    def __init__(self, path: str, most_words: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, most_bytes: int = 20 << 20, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most_words, self.longest = most_words, longest
+        self.most_bytes, self.longest, self.held = most_bytes, longest, 0
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.mark_id = int(np.frombuffer(self._ids("\0"), "<u4")[0])
+        self._probe()
+
+    def _probe(self) -> None:
+        """What this tokenizer allows: ids word by word, a NUL as a mark between words, and words without their case and marks."""
+        ids, mark = self._ids, np.frombuffer(self._ids("\0"), "<u4")
+        self.mark_id = int(mark[0]) if len(mark) == 1 else -1
+        pairs = [("the", "Words"), ("a1", "'s"), ("é", "\u65e5\u672c"), ("x.", ".y"), ("\0", "z")]
+        self.by_word = self.mark_id >= 0 and all(ids(f"{gap}{a}{gap}{b}{gap}") == ids(a) + ids(b) for a, b in pairs for gap in (" ", "\n", " \t"))
+        self.by_parts = all(ids("Wörd" + m * n) == ids("wörd") + ids(m * n) for m in [*_MARKS, _MARKS] for n in (1, 2))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -66,7 +78,7 @@ class WordEncoder:
                 found[w] = ids
                 continue
             # the vocabulary is of lower case and splits letters from marks: "Word," has the ids of "word" and ","
-            core = w.rstrip(b".,!?;:")
+            core = w.rstrip(_MARKS.encode()) if self.by_parts else b""
             if core.isalpha() and (len(core) < len(w) or not core.islower()):
                 split[w] = low, mark = core.lower(), w[len(core) :]
                 for x in (low, mark):
@@ -87,15 +99,19 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [self._ids((t or b"").decode()) for t in texts]
         out = []
         for k in range(0, len(texts), 256):
             split = [words(t) for t in texts[k : k + 256]]
             new = set().union(*split).difference(self.known)
             found = self._look_up(new) if new else {}
-            self.known.update((w, b) for w, b in found.items() if len(w) <= self.longest)
+            short = {w: b for w, b in found.items() if len(w) <= self.longest}
+            self.known.update(short)
+            self.held += sum(map(len, short)) + sum(map(len, short.values())) + self.entry_bytes * len(short)
             look = {w: b for w, b in found.items() if len(w) > self.longest}
             get = self.known.__getitem__ if not look else (lambda w, a=self.known, b=look: a[w] if w in a else b[w])
             out += [b"".join(map(get, ws)) for ws in split]
-            if len(self.known) > self.most_words:
-                self.known, self.old = {}, self.known
+            if self.held > self.most_bytes:
+                self.known, self.old, self.held = {}, self.known, 0
         return out

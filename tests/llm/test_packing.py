@@ -51,7 +51,7 @@ def test_pieces_hold_the_tokenizers_ids(spark):
 
 def test_small_cache_gives_the_same_ids():
     texts = [t or "" for _, t, _ in ROWS]
-    small = type(encoder(default_path()))(default_path(), most_words=3)
+    small = type(encoder(default_path()))(default_path(), most_bytes=600)
     assert small.encode([t.encode() for t in texts]) == [np.array(_ids(t)[:-1], "<u4").tobytes() for t in texts]
 
 
