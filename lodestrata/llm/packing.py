@@ -6,7 +6,7 @@
    often each repeats to the histogram, and the counts are rounded without using a length more often than there is.
 4. What is left is packed by best fit, longest first, on counts: equal bins move together, so the cost depends on the number of lengths.
 5. The plan says which ranks of each length go to which sequence and offset. Pieces get a rank among those of equal length,
-   counted in two steps so that a frequent length is spread over many tasks, and look their place up in the plan.
+   counted in two steps so that a frequent length is spread over as many tasks as it needs, and look their place up in the plan.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows are texts of their own; equal
 pieces take their places in any order; an empty table gives no rows; extra columns are ignored.
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import few, materialize
 from lodestrata.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
-RANK_GROUPS = 256
-#: One in so many of the three-length patterns is tried.
-TRIPLE_STEP = 32
+#: Pieces of one length that are ranked in one group, about.
+GROUP_PIECES = 100_000
+#: One in so many of the three-length patterns is tried, with every length as the smallest and as the middle one.
+TRIPLE_STEP = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,7 +64,7 @@ def _patterns(capacity: int, step: int = TRIPLE_STEP) -> np.ndarray:
     pairs = np.stack([np.zeros_like(b), b, capacity - b], axis=1)
     a, b = (x.ravel() for x in np.meshgrid(np.arange(1, capacity // 3 + 1), np.arange(1, capacity // 2 + 1), indexing="ij"))
     c = capacity - a - b
-    keep = (b >= a) & (c >= b) & ((a + 2 * b) % step == 0)
+    keep = (b >= a) & (c >= b) & ((b + 5 * a) % step == 0)
     return np.concatenate([pairs, np.stack([a, b, c], axis=1)[keep]])
 
 
@@ -175,12 +176,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             found = [where["sequence"][k] + i // each, where["offset"][k] + i % each * length]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names[:-2]), *map(pa.array, found)], names)
 
-    rows = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
+    # pieces of one length are dealt to as many groups as their number needs
+    groups = F.array(*[F.lit(max(1, -(-int(n) // GROUP_PIECES))) for n in counts])
+    hashed = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int")))
+    rows = pieces.withColumn("_group", hashed.cast("int"))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("length", "_group").agg(F.count("*").alias("_n"))
+    starts = rows.groupBy("length", "_group").agg(F.count("*").alias("_n"))  # a row for each group
     starts = starts.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("_k", F.row_number().over(inside)).join(starts, ["length", "_group"])
+    ranked = rows.withColumn("_k", F.row_number().over(inside)).join(few(materialize(pieces.sparkSession, starts, "pack-starts")), ["length", "_group"])
     ranked = ranked.select(*pieces.columns, (F.col("_start") + F.col("_k") - 1).cast("long").alias("_rank"))
     return ranked.mapInArrow(look_up, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
