@@ -2,7 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns rows; all but the last return the columns of ``documents``. ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them again for the next, so a lost executor costs one stage's tasks at
-most. ``doc_id`` names a document: rows that repeat an id stay or go, and are repeated, together.
+most. A document is named by its id and a hash of its text, so rows that share an id, or have none, are told apart.
+
+Defined results: null texts and texts without a letter have no language and go; very long texts are judged whole; of rows that
+repeat id and text one stays; a null id counts after all ids; ties keep what the stages' operators define; an empty table
+gives no rows; extra columns, whatever their names, stay with their rows.
 """
 
 from __future__ import annotations
@@ -13,25 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import jaccard, langid, mixing, packing, quality
-from lodestrata.llm.common import materialize, table
+from lodestrata.llm.common import few, materialize, table
 
 #: Below this probability of its best language a text is in none of them.
 LEAST_LANGUAGE_SCORE = 0.5
 #: Near duplicates share four fifths of their shingles of five words. (op9's contract has numbers of its own.)
 NEAR_WORDS, NEAR = 5, jaccard.Rule(80, 100)
-#: A list of ids is broadcast up to so many, and joined by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
-
-
 def _only_text(docs: DataFrame) -> DataFrame:
     """The same rows with every column but ``text`` under a name that can't clash with a result's."""
     return docs.toDF(*[c if c == "text" else f"_in{i}" for i, c in enumerate(docs.columns)])
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Join ``docs`` with (_id, ...), which is written already."""
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]), how)
+def _named(docs: DataFrame, names: DataFrame):
+    """Joins rows of ``docs`` with their (_id, _key) in ``names``."""
+    return docs["doc_id"].eqNullSafe(names["_id"]) & (F.xxhash64(docs["text"]) == names["_key"])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,16 +50,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; documents without words all stay."""
-    found = jaccard.join(docs, NEAR_WORDS, NEAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return _with_ids(docs, materialize(spark, found, "near-duplicates"), "left_anti").select(*docs.columns)
+    found = jaccard.join(docs, NEAR_WORDS, NEAR).filter("component is not null")
+    found = found.groupBy("component", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_n"))
+    found = materialize(spark, found, "near-duplicates")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first"))
+    stays = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_key") == F.col("first._key"))
+    told = materialize(spark, found.join(first, "component").select("_id", "_key", "_n", stays.alias("_stays")), "near-duplicates-told")
+    gone = few(told.filter("not _stays"))
+    kept = docs.join(gone, _named(docs, gone), "left_anti")
+    twice = few(told.filter("_stays and _n > 1"))  # rows that repeat id and text
+    again = docs.join(twice, _named(docs, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, _named(docs, twice), "left_anti").unionByName(again).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; those it doesn't take go."""
-    sizes = materialize(spark, mixing.word_sizes(docs), "mixture-sizes")
-    copies = mixing.mix(sizes).filter("epochs > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs"))
-    copies = materialize(spark, copies, "mixture-copies")
-    return _with_ids(docs, copies, "inner").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_epochs"))).alias("_copy")).drop("_copy")
+    sizes = materialize(spark, mixing.word_sizes(docs, F.xxhash64("text").alias("_key")), "mixture-sizes")
+    copies = mixing.mix(sizes, carry=("_key",)).filter("epochs > 0").groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.max("epochs").alias("_epochs"))
+    copies = few(materialize(spark, copies, "mixture-copies"))
+    repeated = docs.join(copies, _named(docs, copies), "inner")
+    return repeated.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["_epochs"])).alias("_copy")).toDF(*docs.columns, "_copy").drop("_copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
