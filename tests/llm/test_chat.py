@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from lodestrata.llm import chat, queries
 
@@ -52,3 +53,18 @@ def test_odd_rows(spark):
 def test_many_turns_and_back(spark):
     rows = [(9, k, "user" if k % 3 else "assistant", f"t{k}") for k in range(1500)]
     _check(rows, chat.digest(chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect())
+
+
+def test_time_is_in_proportion_to_turns(spark):
+    """Four times the turns in about four times the time: one role a turn, and one role for all."""
+    def seconds(n, roles):
+        turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", f"element_at(array({roles}), cast(id % 2 as int) + 1) as role", "repeat('says <|x ', 20) as text")
+        begin = time.perf_counter()
+        got = chat.digest(chat.read_back(chat.format_chat(turns))).collect()
+        assert got[0]["n_turns"] == n
+        return time.perf_counter() - begin
+
+    for roles in ("'user', 'assistant'", "'assistant', 'assistant'"):
+        seconds(1000, roles)
+        small, large = seconds(8000, roles), seconds(32000, roles)
+        assert large < 7 * small + 1 and large < 30
