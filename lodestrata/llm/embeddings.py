@@ -5,15 +5,17 @@ that over all dimensions; the rotated vectors are cut into blocks of ``BLOCK_DIM
 in proportion to its dimensions. If a pair keeps the whole budget it keeps that of at least one block, so the union of
 the range joins in all blocks has every pair.
 
-A block's range join puts the first few of its dimensions on a grid whose cells are as wide as the root of the budget. A vector
-is at home in its cell and a guest in half of the neighbouring cells, so two vectors in reach meet in exactly one cell.
-Cells that hold many rows are split into pairs of parts of at most about ``PART`` rows. In a task, the block's
+A block's range join cuts its dimensions into boxes by a k-d tree, whose depth follows the number of vectors, so that a box holds
+about ``LEAF`` of them at any size. The cuts are medians of a sample of at most about ``SAMPLE`` vectors; they decide where vectors
+meet, never whether. A vector is at home in its box and a guest in those later boxes that the budget reaches from it, so two
+vectors in reach meet in exactly one box. Boxes that hold more than ``PART`` rows are split into pairs of parts. In a task, the block's
 squared distances (a matrix product) pick candidates, a candidate is taken up in the first block whose budget it keeps and in no other,
 and its cosine is computed in double precision. What leaves a task is a link count for each vector and a spanning forest of the links, never the pairs.
 
 Equal vectors are one class with a weight. Defined results: null, empty or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different length don't link; rows that repeat a vec_id are vectors of their own, which bear one id;
-rows without a vec_id are left out; an empty table gives no rows; extra columns are ignored.
+a row without a vec_id takes part, isn't kept and counts after all ids, so a component of such rows alone has a null component_id; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,8 @@ from lodestrata.llm.graph import components
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
-PART = 8192
-#: Classes up to which one grid dimension is used; each fourfold number takes one more.
-ONE_DIMENSION = 65_536
+#: Rows of a part, classes at home in a box (about), classes in the sample (about) and the most cuts on the way to a box.
+PART, LEAF, SAMPLE, MOST_DEPTH = 32_768, 8192, 32_768, 11
 _SLACK = 1e-9
 
 
@@ -57,24 +58,35 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _keys(column: pa.Array) -> tuple[list, list, list]:
+    """For each vector of an array of lists of doubles: key, bytes and length; all None if it links with nothing."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False)  # null lists hold none
+    begin = np.cumsum(n) - n
+    keys, raws, dims = ([None] * len(n) for _ in range(3))
+    for size in np.unique(n[n > 0]).tolist():
+        where = np.flatnonzero(n == size)
+        x = values[begin[where][:, None] + np.arange(size)] + 0.0  # -0.0 becomes 0.0
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        where, x = where[good], x[good]
+        with np.errstate(over="ignore", under="ignore"):
+            short = x.astype("<f4")
+        exact = (short == x).all(axis=1)
+        for i, row, brief, fits in zip(where.tolist(), x, short, exact.tolist(), strict=True):
+            raw = row.tobytes()
+            keys[i], raws[i], dims[i] = hashlib.blake2b(raw, digest_size=16).digest(), brief.tobytes() if fits else raw, size
+    return keys, raws, dims
+
+
 def _classes(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) -> vec_id, key (null: links with nothing), raw (floats if they are exact, else doubles), dims."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raws, dims = [], [], []
-            for v in batch.column(1):
-                x = np.array([np.nan if c is None else c for c in v.as_py()], dtype=float) if v.is_valid else np.zeros(0)
-                good = len(x) and np.isfinite(x).all() and x.any()
-                raw = (x + 0.0).tobytes() if good else None  # -0.0 becomes 0.0
-                keys.append(raw and hashlib.blake2b(raw, digest_size=16).digest())
-                with np.errstate(over="ignore", under="ignore"):
-                    short = x.astype("<f4") if good else None
-                raws.append(raw if not good or (short != x).any() else (short + np.float32(0)).tobytes())
-                dims.append(len(x) if good else None)
+            keys, raws, dims = _keys(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "key", "raw", "dims"])
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(run, "vec_id long, key binary, raw binary, dims int")
 
 
@@ -85,10 +97,66 @@ def _doubles(raws: list[bytes], dims: int) -> np.ndarray:
     return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dims else "<f8").astype(float) for r in raws])
 
 
-def _cells(classes: DataFrame, threshold: float, grid: int) -> DataFrame:
-    """(class_id, weight, raw, dims) -> a row for each block and cell: cell, guest and those."""
+class Tree:
+    """Boxes of a space by medians of a sample: node k has the children 2 k + 1 (below the cut) and 2 k + 2."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        nodes = 2**depth - 1
+        self.depth, self.dim, self.at = depth, np.zeros(nodes, dtype=np.int64), np.zeros(nodes)
+        rows = {0: np.arange(len(sample))}
+        for k in range(nodes):
+            own = rows.pop(k)
+            if len(own):
+                spread = sample[own].std(axis=0)
+                self.dim[k] = spread.argmax()
+                self.at[k] = np.median(sample[own, self.dim[k]])
+            low = sample[own, self.dim[k]] < self.at[k]
+            rows[2 * k + 1], rows[2 * k + 2] = own[low], own[~low]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        node, every = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[every, self.dim[node]] >= self.at[node])
+        return node
+
+    def reach(self, x: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, box) of all boxes within a squared distance of ``budget``."""
+        row, node, away = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros_like(x)
+        for _ in range(self.depth):
+            every, dim = np.arange(len(row)), self.dim[node]
+            beyond = x[row, dim] - self.at[node]
+            below, above = away, away.copy()
+            below[every, dim] = np.maximum(below[every, dim], beyond)
+            above[every, dim] = np.maximum(above[every, dim], -beyond)
+            row, node, away = np.concatenate([row, row]), np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([below, above])
+            near = (away * away).sum(axis=1) <= budget * (1 + _SLACK)
+            row, node, away = row[near], node[near], away[near]
+        return row, node
+
+
+def _trees(classes: DataFrame, threshold: float, leaf: int) -> dict[int, list[Tree]]:
+    """For each length of vectors in a bounded sample, a tree for each block."""
+    n = classes.count()
+    depth = 0
+    while n > leaf * 2**depth and depth < MOST_DEPTH:
+        depth += 1
+    if not depth:
+        return {}
+    share = min(1.0, SAMPLE / n) * 1_000_000
+    sample = classes.filter(F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(1_000_000)) < share).select("raw", "dims").collect()
+    out = {}
+    for size in {r["dims"] for r in sample}:
+        y = unit(_doubles([r["raw"] for r in sample if r["dims"] == size], size)) @ rotation(size)
+        out[size] = [Tree(y[:, dims], depth) for dims, _ in blocks(size, threshold)]
+    return out
+
+
+def _cells(classes: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """(class_id, weight, raw, dims), which is written -> a row for each block and box: cell, guest and those."""
+    held = classes.sparkSession.sparkContext.broadcast(_trees(classes, threshold, leaf))  # 2^MOST_DEPTH cuts a block and length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -96,15 +164,16 @@ def _cells(classes: DataFrame, threshold: float, grid: int) -> DataFrame:
                 for size in sorted(set(sizes)):
                     where = [i for i, n in enumerate(sizes) if n == size]
                     y = unit(_doubles([raws[i] for i in where], size)) @ rotation(size)
-                    row = part.take(pa.array(where))
+                    rows = part.take(pa.array(where))
                     for b, (dims, budget) in enumerate(blocks(size, threshold)):
-                        cell = np.floor(y[:, dims][:, :grid] / (np.sqrt(budget) * (1 + _SLACK))).astype(np.int64)
-                        for step in product((-1, 0, 1), repeat=cell.shape[1]):
-                            if step < (0,) * len(step):
-                                continue  # the other half of the neighbours comes as guests here
-                            names = [f"{size}/{b}/" + ",".join(map(str, c)) for c in (cell + step).tolist()]
-                            guest = pa.array(np.full(len(where), int(any(step)), dtype=np.int32))
-                            yield pa.RecordBatch.from_arrays([pa.array(names), guest, *row.columns], ["cell", "guest", "class_id", "weight", "raw", "dims"])
+                        x = y[:, dims]
+                        tree = trees[size][b] if size in trees else Tree(x, 0)
+                        home, (row, box) = tree.home(x), tree.reach(x, budget)
+                        later = box > home[row]
+                        row, box = np.concatenate([np.arange(len(x)), row[later]]), np.concatenate([home, box[later]])
+                        guest = (np.arange(len(row)) >= len(x)).astype(np.int32)
+                        own = rows.take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{size}/{b}/{k}" for k in box.tolist()]), pa.array(guest), *own.columns], ["cell", "guest", "class_id", "weight", "raw", "dims"])
 
     return classes.mapInArrow(run, "cell string, guest int, class_id long, weight long, raw binary, dims int")
 
@@ -200,21 +269,14 @@ def _linked(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "a long, n long, b long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, grid: int | None = None, part: int = PART) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, part: int = PART) -> DataFrame:
     """(vec_id, embedding) -> vec_id, class_id, n_links, component_id, kept, a row for each vector."""
     spark = vectors.sparkSession
     rows = materialize(spark, _classes(vectors), "vectors")
-    sums = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight"))
-    sums = materialize(spark, sums, "vector-classes")
-    firsts = rows.select("key", F.col("vec_id").alias("class_id"), "raw", "dims").join(sums, ["key", "class_id"]).dropDuplicates(["class_id", "key"])
     # one id may stand for two vectors, so classes are numbered by their keys' hash; ids come back at the end
-    numbered = F.xxhash64("key")
-    n = sums.count()
-    if grid is None:
-        grid = 1
-        while n > ONE_DIMENSION * 4 ** (grid - 1) and grid < 3:
-            grid += 1
-    cells = materialize(spark, _cells(firsts.select(numbered.alias("class_id"), "weight", "raw", "dims"), threshold, grid), "vector-cells")
+    sums = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("raw").alias("raw"), F.first("dims").alias("dims"))
+    sums = materialize(spark, sums.select("key", F.xxhash64("key").alias("class_id"), "first_id", "weight", "raw", "dims"), "vector-classes")
+    cells = materialize(spark, _cells(sums.select("class_id", "weight", "raw", "dims"), threshold, leaf), "vector-cells")
     parts = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("guest").alias("_home")).filter("_n > 1 and _home = 0")
     parts = parts.select("cell", F.ceil(F.col("_n") / part).cast("int").alias("parts"))
     dealt = cells.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("parts")).cast("int"))
@@ -226,13 +288,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, grid: int
     found = materialize(spark, _linked(dealt, threshold), "vector-links")
     others = found.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("_others"))
     named = components(found.filter("b is not null").select("a", "b"))
-    known = sums.select("key", "class_id", "weight", numbered.alias("c")).join(others, "c", "left")
+    known = sums.select("key", "first_id", "weight", F.col("class_id").alias("c")).join(others, "c", "left")
     known = known.join(named.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = known.join(least, "component").select("key", "class_id", "component_id", (F.col("weight") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = known.join(least, "component").select("key", "first_id", "component_id", (F.col("weight") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
     out = rows.select("vec_id", "key").join(known, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
-        "vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
+        "vec_id", F.coalesce("first_id", "vec_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )

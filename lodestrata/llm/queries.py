@@ -53,7 +53,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_chat(turns.unionByName(own))))
 
 
-@_query("op2_embedding_dedup")
+@_query(
+    "op2_embedding_dedup",
+    """
+    with recursive v as (
+      select vec_id, embedding::double[] as e from embeddings
+      where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.95),
+    r as (select vec_id, vec_id as c from embeddings union select r.vec_id, l.b from r join l on l.a = r.c),
+    k as (select vec_id, min(c) as component_id from r group by vec_id),
+    n as (select a, count(*) as n from l group by a)
+    select k.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, k.component_id, k.vec_id = k.component_id as kept
+    from k left join n on n.a = k.vec_id""",
+)
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 

@@ -26,9 +26,9 @@ def _brute(ids, vectors):
     return sorted((ids[i], links[i], least[label[i]], ids[i] == least[label[i]]) for i in range(n))
 
 
-@pytest.mark.parametrize(("grid", "part"), [(1, 4096), (2, 7), (3, 50)])
-def test_equals_brute_force(spark, grid, part):
-    rng = np.random.default_rng(grid)
+@pytest.mark.parametrize(("leaf", "part"), [(1000, 4096), (10, 7), (3, 50)])
+def test_equals_brute_force(spark, leaf, part):
+    rng = np.random.default_rng(leaf)
     vectors = []
     for _ in range(12):
         base = rng.normal(size=20)
@@ -40,7 +40,7 @@ def test_equals_brute_force(spark, grid, part):
     vectors += [vectors[0], vectors[0], vectors[3], [0.0] * 20, None, [float("nan")] + [1.0] * 19, [float("inf")] + [1.0] * 19, [None] + [1.0] * 19, [1.0, 2.0], [2.0, 4.0], [], [1e-30] * 20, [1e30] * 20]
     ids = [int(k) for k in rng.permutation(len(vectors))]
     table = spark.createDataFrame([(i, v, k) for k, (i, v) in enumerate(zip(ids, vectors, strict=True))], "vec_id long, embedding array<float>, weight int")
-    got = embeddings.near_duplicates(table, grid=grid, part=part).select("vec_id", "n_links", "component_id", "kept").collect()
+    got = embeddings.near_duplicates(table, leaf=leaf, part=part).select("vec_id", "n_links", "component_id", "kept").collect()
     want = _brute(ids, vectors)
     assert sorted(map(tuple, got)) == want
     assert len({c for _, _, c, _ in want}) < len(want) * 0.7
@@ -57,6 +57,20 @@ def test_whole_table(spark):
 
 def test_repeated_ids_and_no_rows(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(table).collect())
-    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table).collect()]
+    assert [x for x in got if x[0] is None] == [(None, 2, 1, False)]
+    assert sorted(x for x in got if x[0] is not None) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False)]
+    alone = embeddings.near_duplicates(table.filter("vec_id is null")).first()
+    assert (alone["n_links"], alone["component_id"], alone["kept"]) == (0, None, False)
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_boxes_within_reach_are_all_found():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) / 8
+    tree = embeddings.Tree(x[:100], 5)
+    home, (row, box) = tree.home(x), tree.reach(x, 0.01)
+    met = set(zip(row.tolist(), box.tolist(), strict=True))
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.01
+    assert len(set(home.tolist())) > 20
+    assert all((i, home[j]) in met for i, j in np.argwhere(near).tolist())
