@@ -89,6 +89,7 @@ class Reader:
         self.fs, self.path = locate(uri)
         self.file = self.fs.open_input_file(self.path)
         self.size = self.file.size()
+        self.directory = self.size  # where the central directory begins, once ``members`` has read it
 
     def close(self) -> None:
         self.file.close()
@@ -115,6 +116,7 @@ class Reader:
             mark, *_, n, size, begin = struct.unpack("<4sQHHIIQQQQ", self.read(end64, 56))
             if mark != _END64:
                 raise ArchiveError(f"{self.path}: no ZIP64 end record")
+        self.directory = begin
         raw, at, out = self.read(begin, size), 0, []
         for _ in range(n):
             mark, _, _, _, method, _, _, crc, packed, whole, n_name, n_extra, n_note, _, _, _, header = struct.unpack_from("<4sHHHHHHIIIHHHHHII", raw, at)
@@ -143,6 +145,25 @@ class Reader:
             raise ArchiveError(f"{self.path}: no local header at {m.header}")
         return m.header + 30 + n_name + n_extra
 
+    def member_at(self, header: int) -> tuple[Member, int]:
+        """The member whose local header is at ``header``, and the place after its bytes."""
+        mark, _, flags, method, _, _, crc, packed, whole, n_name, n_extra = struct.unpack("<4sHHHHHIIIHH", self.read(header, 30))
+        if mark != _LOCAL:
+            raise ArchiveError(f"{self.path}: no local header at {header}")
+        if flags & 8:
+            raise ArchiveError(f"{self.path}: the sizes at {header} follow the bytes")
+        more = self.read(header + 30, n_name + n_extra)
+        extra = more[n_name:]
+        while len(extra) >= 4:
+            kind, length = struct.unpack_from("<HH", extra)
+            if kind == 1:
+                big = list(struct.unpack_from(f"<{length // 8}Q", extra, 4))
+                whole = big.pop(0) if whole == _MAX32 else whole
+                packed = big.pop(0) if packed == _MAX32 else packed
+            extra = extra[4 + length :]
+        m = Member(more[:n_name].decode(), header, whole, crc, method == 0 and packed == whole)
+        return m, header + 30 + n_name + n_extra + packed
+
     def data(self, m: Member) -> bytes:
         data = self.read(self.begin(m), m.size)
         if zlib.crc32(data) != m.crc:

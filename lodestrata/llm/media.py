@@ -1,12 +1,13 @@
 """Media columns: bytes stored losslessly as images in archives, and a Spark data source that reads them back.
 
 ``encode`` turns a payload into an 8-bit grey PNG of ``WIDTH`` samples a row. ``write_archives`` stores them as members of ZIP
-archives in a shared folder, one archive a task under a name of its own attempt, and returns the list of those that were
-committed; a task that runs twice leaves a file that no list names.
+archives in a shared folder, one archive a task under a name of its own attempt, and returns the byte ranges of those that were
+committed, of about ``RANGE_BYTES`` each; a task that runs twice leaves a file that no list names.
 
-The source ``lodestrata_media`` (``MediaSource``) plans byte-range partitions from the archives' directories: members in
-order of place, about ``partition_bytes`` a partition. A partition streams Arrow batches of bounded size. Each member
-is read and decoded by itself; one that fails is read again from its own offset, ``attempts`` times.
+The source ``lodestrata_media`` (``MediaSource``) plans its partitions as byte ranges of archives: those of its manifest, or, for an
+archive that a manifest names without ranges, those of members in the archive's own directory. A partition opens one archive, walks the
+members of its range by their local headers and streams Arrow batches of bounded size. Each member is read and decoded by itself;
+one that fails is read again from its own offset, through a new handle, ``attempts`` times.
 
 Defined results: a null text is an empty payload; a payload is padded with bytes 255 to a positive multiple of 576; repeated
 rows are members of their own; an empty table writes no archive and reads as no rows; further columns are ignored.
@@ -32,8 +33,8 @@ from lodestrata.llm.common import materialize, scratch
 WIDTH = 576
 PAD = b"\xff"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Payload bytes of a batch, of a planned partition and of an archive, about.
-BATCH_BYTES, PARTITION_BYTES, ARCHIVE_BYTES = 4 << 20, 16 << 20, 256 << 20
+#: Payload bytes of a batch, and stored bytes of a range and of an archive, about.
+BATCH_BYTES, RANGE_BYTES, ARCHIVE_BYTES = 4 << 20, 16 << 20, 256 << 20
 
 
 def pad(data: bytes) -> bytes:
@@ -83,8 +84,8 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.3f};std={x.std():.3f};hist=" + ",".join(map(str, histogram))
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(doc_id, text) -> (path, members, bytes) of the archives written under ``folder``.
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, text) -> (path, begin, end, members): byte ranges of whole members in the archives written under ``folder``.
 
     A member is named by the row's id and the length of its unpadded payload. Archives are cut at about ``archive_bytes``.
     """
@@ -93,7 +94,12 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         out: Writer | None = None
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{out_name}"]), pa.array([len(out.members)], pa.int64()), pa.array([out.commit()], pa.int64())], ["path", "members", "bytes"])
+            places = [m.header for m, _ in out.members]
+            ranges = plan(places, out.at, range_bytes)
+            out.commit()
+            begin, end, members = zip(*ranges, strict=True)
+            path = pa.array([f"{folder}/{out_name}"] * len(ranges))
+            return pa.RecordBatch.from_arrays([path, pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(members, pa.int64())], ["path", "begin", "end", "members"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -110,66 +116,79 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if out is not None:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "path string, members long, bytes long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "path string, begin long, end long, members long")
+
+
+def plan(places: list[int], end: int, range_bytes: int) -> list[tuple[int, int, int]]:
+    """(begin, end, members) of ranges of about ``range_bytes``, from the places of local headers in order; ``end`` follows the last member."""
+    out, begin, members = [], 0, 0
+    for k, place in enumerate(places):
+        if members and place - begin >= range_bytes:
+            out.append((begin, place, members))
+            members = 0
+        if not members:
+            begin = place
+        members += 1
+        if k + 1 == len(places):
+            out.append((begin, end, members))
+    return out
 
 
 class Range(InputPartition):
-    """Members [first, last) of an archive's directory, in order of place."""
+    """The members of an archive whose local headers lie in [begin, end)."""
 
-    def __init__(self, path: str, first: int, last: int):
-        super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, begin: int, end: int):
+        super().__init__((path, begin, end))
+        self.path, self.begin, self.end = path, begin, end
 
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.manifest = options["path"]
-        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", 3))
         self.open = Reader
 
-    def _archives(self) -> list[str]:
-        """Paths of the archives, from the text file the manifest is."""
+    def partitions(self) -> list[Range]:
+        """Ranges of the manifest, a text file with a line for each: path, begin and end, or a path alone."""
         from lodestrata.llm.archive import locate
 
         store, path = locate(self.manifest)
         with store.open_input_stream(path) as f:
-            return [x for x in f.read().decode().split("\n") if x]
-
-    def partitions(self) -> list[Range]:
+            lines = [x.split("\t") for x in f.read().decode().split("\n") if x]
         out = []
-        for path in self._archives():
+        for path, *place in lines:
+            if place:
+                out.append(Range(path, int(place[0]), int(place[1])))
+                continue
             reader = self.open(path)
-            members = sorted(reader.members(), key=lambda m: m.header)
+            places = sorted(m.header for m in reader.members())
+            out += [Range(path, begin, end) for begin, end, _ in plan(places, reader.directory, self.range_bytes)]
             reader.close()
-            first = held = 0
-            for k, m in enumerate(members, 1):
-                held += m.size
-                if held >= self.partition_bytes or k == len(members):
-                    out.append(Range(path, first, k))
-                    first, held = k, 0
         return out
 
-    def _member(self, reader: Reader, m) -> tuple[bytes, bytes]:
-        """The stored image and its samples; read again by its offset if anything is wrong with what came."""
+    def _member(self, path: str, reader: Reader, m) -> tuple[bytes, bytes, Reader]:
+        """The stored image, its samples and the reader; read again by its offset, from a newly opened archive, if anything is wrong with what came."""
         for k in range(self.attempts):
             try:
                 image = reader.data(m)
-                return image, decode(image)
+                return image, decode(image), reader
             except (ArchiveError, OSError, zlib.error, struct.error, ValueError):
+                reader.close()
                 if k + 1 == self.attempts:
                     raise
+                reader = self.open(path)
         raise AssertionError
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks once even where no partition was planned
             return
-        reader = self.open(partition.path)
-        members = sorted(reader.members(), key=lambda m: m.header)[partition.first : partition.last]
+        reader, at = self.open(partition.path), partition.begin
         rows: list[tuple] = []
         held = 0
-        for m in members:
-            image, samples = self._member(reader, m)
+        while at < partition.end:
+            m, at = reader.member_at(at)
+            image, samples, reader = self._member(partition.path, reader, m)
             doc_id, n_bytes, _ = m.name.split(".")
             rows.append((int(doc_id) if doc_id else None, int(n_bytes), samples, image))
             held += len(samples) + len(image)
@@ -187,7 +206,7 @@ class MediaReader(DataSourceReader):
 
 
 class MediaSource(DataSource):
-    """Reads the archives that a manifest (a text file of their paths) names."""
+    """Reads the ranges of archives that a manifest names."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,19 +219,19 @@ class MediaSource(DataSource):
         return MediaReader(self.options)
 
 
-def store(docs: DataFrame) -> str:
-    """Write the media of (doc_id, text); the path of the manifest. The list of archives grows with the number of archives, not of rows."""
+def store(docs: DataFrame, **sizes: int) -> str:
+    """Write the media of (doc_id, text); the path of the manifest, which has a line for every ``RANGE_BYTES`` and is streamed."""
     from lodestrata.llm.archive import locate
 
     spark = docs.sparkSession
     folder = scratch(spark, "media")
-    written = materialize(spark, write_archives(docs, folder), "media-list")
+    written = materialize(spark, write_archives(docs, folder, **sizes), "media-list")
     manifest = f"{folder}/manifest.txt"
     fs, path = locate(manifest)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(path) as f:
-        for row in written.select("path").toLocalIterator():
-            f.write(f"{row['path']}\n".encode())
+        for row in written.select("path", "begin", "end").toLocalIterator():
+            f.write(f"{row['path']}\t{row['begin']}\t{row['end']}\n".encode())
     return manifest
 
 

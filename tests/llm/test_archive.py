@@ -78,7 +78,7 @@ def test_media_of_the_whole_table(spark):
 def test_media_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é" * 400), (4, "long " * 50000), (5, "same"), (5, "same"), (6, "same"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as media")
-    got = media.describe(media.load(spark, media.store(docs), partition_bytes="1000")).collect()
+    got = media.describe(media.load(spark, media.store(docs, range_bytes=1000, archive_bytes=3000))).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted((i or 0, *_expected(t)) for i, t in rows)
     assert len({tuple(r)[1:] for r in got if r["n_bytes"] == 4}) == 1
     assert media.load(spark, media.store(docs.limit(0))).count() == 0
@@ -91,7 +91,7 @@ def test_a_member_is_read_again_by_its_offset(tmp_path):
         out.add(f"{k}.400.png", media.encode(p))
     out.commit()
     (tmp_path / "list.txt").write_text(f"{tmp_path}/m.zip\n")
-    source = media.MediaReader({"path": str(tmp_path / "list.txt"), "partition_bytes": "150"})
+    source = media.MediaReader({"path": str(tmp_path / "list.txt"), "range_bytes": "150"})
     failures = {2: 2, 4: 1}
 
     class Flaky(Reader):
@@ -105,6 +105,10 @@ def test_a_member_is_read_again_by_its_offset(tmp_path):
     source.open = Flaky
     parts = source.partitions()
     assert len(parts) > 1
+    (tmp_path / "list.txt").write_text("".join(f"{p.path}\t{p.begin}\t{p.end}\n" for p in parts))
+    planned = media.MediaReader({"path": str(tmp_path / "list.txt")})
+    planned.open = None  # ranges of a manifest open no archive
+    assert [(p.path, p.begin, p.end) for p in planned.partitions()] == [(p.path, p.begin, p.end) for p in parts]
     got = [s for p in parts for b in source.read(p) for s in b.column(2).to_pylist()]
     assert got == payloads and not any(failures.values())
     failures[1] = 3
