@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -21,6 +23,28 @@ def test_whole_table(spark):
     assert 0.07 < moved / len(rows) < 0.16
 
 
+def _draw(key, path, weight):
+    bits = int(hashlib.md5(f"{key}/{path}".encode()).hexdigest()[:12], 16)
+    return -math.log((bits + 0.5) / 2**48) / weight
+
+
+def _descend(doc_id, regions):
+    """regions: {region: {rack: [shards]}}, all of weight 1."""
+    key, path, at = hashlib.md5(str(doc_id).encode()).hexdigest(), "", regions
+    count = lambda x: sum(map(count, x.values())) if isinstance(x, dict) else len(x)
+    for name in ("region", "rack"):
+        best = min(at, key=lambda k: _draw(key, f"{path}{name}{k}", count(at[k])))
+        path, at = f"{path}{name}{best}.", at[best]
+    return min(at, key=lambda k: _draw(key, f"{path}shard{k}", 1))
+
+
+def test_shards_equal_a_plain_descent(spark):
+    tree = {0: {0: [0, 1], 1: [2, 3]}, 1: {2: [4, 5], 3: [6, 7]}}
+    rows = queries.op5_shard_tree(spark, SF).collect()
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (_descend(r["doc_id"], tree), _descend(r["doc_id"], tree | {2: {4: [8]}}))
+
+
 def test_weights_decide_shares_and_confine_movement(spark):
     tree = [sharding.Shard(0, 0, 0, 1), sharding.Shard(0, 0, 1, 3), sharding.Shard(0, 1, 2, 2), sharding.Shard(1, 2, 3, 2), sharding.Shard(1, 3, 4, 0)]
     swapped = [sharding.Shard(0, 0, 0, 3), sharding.Shard(0, 0, 1, 1), *tree[2:]]
