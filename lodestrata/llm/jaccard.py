@@ -239,20 +239,22 @@ def _shingled(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(class, shingles) of the first documents (class, first_id, first_key) in ``ids``, which is written, from their whole texts."""
+    """(class, shingles) of the first documents (class, first_id, first_key) in ``ids``, which is written, from their whole texts.
+    Where rows are repeated, a class comes once a task at most."""
     rows, own = _keyed(docs), few(ids)
     rows = rows.join(own, rows["doc_id"].eqNullSafe(own["first_id"]) & (rows["text_key"] == own["first_key"])).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, seen = Shingler(n), set()
         for batch in batches:
+            classes = batch.column(0).to_pylist()
+            batch = batch.take(pa.array([k for k, c in enumerate(classes) if c not in seen and not seen.add(c)], pa.int64()))  # rows may be repeated
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [s.tobytes() for s in shingler.sets(part.column(1).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    # repeated rows may give a class's first document twice
-    return rows.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, shingles binary")
 
 
 def _possible(n_a, n_b, p_a: list, p_b: list, rule: Rule):
@@ -359,6 +361,7 @@ def _linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, n: int, rule:
     sets = materialize(spark, _sets_of(docs, materialize(spark, ids, "jaccard-ids"), n), "jaccard-sets")
 
     def one(table: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        table = table.take(pa.array(np.unique(table["class"].to_numpy(), return_index=True)[1]))
         names = table["class"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingles"]]
         links = forest(table["component"].to_numpy(), sets, table["side"].to_numpy(), same, rule)
@@ -366,7 +369,7 @@ def _linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, n: int, rule:
             a, b = names[np.array(links)].T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _by_block(rows.join(sets, "class"), ["side", "class", "component", "shingles"], one, "a long, b long")
+    return _by_block(sets.join(few(rows), "class"), ["side", "class", "component", "shingles"], one, "a long, b long")
 
 
 def _cost():
@@ -386,7 +389,9 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
 
     emitted = rows.select("class", F.explode("sigs").alias("sig")).repartition("sig")
     shared = emitted.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last"), F.count("*").alias("cost")).filter("lead < last").drop("last")
-    groups = emitted.join(shared.hint("shuffle_hash"), "sig").distinct().join(classes.select("class", "spare"), "class")
+    # written by itself: a join by class in the same plan would filter one of two exchanges of the signatures, and make them two
+    met = materialize(spark, emitted.join(shared.hint("shuffle_hash"), "sig").distinct(), "jaccard-met")
+    groups = met.join(classes.select("class", "spare"), "class")
     dear = Window.partitionBy("class", F.expr("sig & 3")).orderBy(F.desc("cost"), "sig")
     spared = F.when(F.expr("sig & 2 = 0"), F.element_at("spare", (F.expr("sig & 1") + 1).cast("int"))).otherwise(0)
     groups = groups.withColumn("turn", F.row_number().over(dear)).filter(F.col("turn") > spared)
