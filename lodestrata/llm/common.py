@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of narrow rows is broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_ROWS = 250_000
+#: Bytes of rows that Spark gathers for a Python worker at a time; its default is 64 MB on either side, for each task.
+BATCH_BYTES = "4m"
 _left_over: list[tuple] = []
 _kept: list[tuple] = []
 
@@ -35,7 +37,7 @@ class WordIndex:
     #: What an entry takes beside the word itself, about.
     entry_bytes = 150
 
-    def __init__(self, most_bytes: int = 24 << 20):
+    def __init__(self, most_bytes: int = 40 << 20):
         self.most_bytes, self.held, self.known = most_bytes, 0, {}
 
     def add(self, split: list[list]) -> tuple[list, int]:
@@ -59,6 +61,13 @@ def rows_for(table: np.ndarray, end: int) -> np.ndarray:
     return table if end <= len(table) else np.concatenate([table, np.zeros((max(end, len(table) * 3 // 2) - len(table), *table.shape[1:]), dtype=table.dtype)])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small, so that a task's memory doesn't follow the length of texts. Smaller ones stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", f"{64 << 20}b"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,5 +127,6 @@ def few(written: DataFrame) -> DataFrame:
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
+    bound_batches(spark)
     df.write.parquet(path := scratch(spark, label))
     return spark.read.schema(df.schema).parquet(path)

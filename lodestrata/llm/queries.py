@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, embeddings, jaccard, langid, media, mixing, packing, quality, sharding, warc
-from lodestrata.llm.common import materialize, table
+from lodestrata.llm.common import bound_batches, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def add(run):
-        QUERIES[name] = run
+        def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bound_batches(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = bounded
         if sql:
             ORACLES[name] = sql
         return run
