@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import jaccard, langid, mixing, packing, quality
-from lodestrata.llm.common import few, materialize, table
+from lodestrata.llm.common import bound_batches, few, materialize, table
 
 #: Below this probability of its best language a text is in none of them.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -77,12 +77,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _bounded(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("quality", good_quality),
-    ("near_duplicates", near_duplicates),
-    ("mixture", mixture),
-    ("packed", packed),
+    ("language", _bounded(language)),
+    ("quality", _bounded(good_quality)),
+    ("near_duplicates", _bounded(near_duplicates)),
+    ("mixture", _bounded(mixture)),
+    ("packed", _bounded(packed)),
 ]
 
 #: The language model, the classifier and the tokenizer are no SQL; tests compare with a brute-force version.
