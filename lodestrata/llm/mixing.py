@@ -16,6 +16,8 @@ rows are documents of their own; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from lodestrata.llm.common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Copies in one range of finish times, about.
-RANGE_ROWS = 1_000_000
+#: Copies in one range of finish times, about; beyond some 10^9 copies ranges and their number grow alike.
+RANGE_ROWS = 50_000
 SHUFFLE_DIGITS = 3
 
 
@@ -96,7 +98,8 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple[int, ...] = WEIGHTS,
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
     served = queued.filter("first_time is not null")
     copies = served.select("upto", "source_size", "target", "source", "shuffled", "size", F.explode(epochs).alias("epoch")).select(_served_at(F.col("epoch")).alias("at"))
-    ranges = max(1, -(-max_epochs * served.count() // RANGE_ROWS))
+    n = max_epochs * served.count()
+    ranges = max(1, -(-n // max(RANGE_ROWS, math.isqrt(3 * n))))
     ordered = copies.repartitionByRange(ranges, "at").select("at", F.col("at.size").alias("size"), F.spark_partition_id().alias("range"))
     ordered = materialize(spark, ordered, "mix-order")
     budget = queued.agg(F.sum("size")).first()[0] or 0
