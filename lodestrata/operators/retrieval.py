@@ -13,8 +13,11 @@ from lodestrata.functions import text as T
 K1, B = 1.5, 0.75  # fixed values of BM25
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512  # rows of each side that a task compares at once
 
-# Phrases of a refusal.
-REFUSALS = ("insufficient evidence", "cannot answer", "can't answer", "cannot determine", "no evidence", "not enough information", "unable to answer", "do not have enough", "don't have enough", "not found in the")
+# Patterns of a refusal.
+REFUSALS = (
+    "not found", "does not (contain|implement|exist|have|support)", "no mention", "not implemented", "no record",
+    "i don't know", "cannot find", "unanswerable", "outside the scope", "not present",
+)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +129,18 @@ def overlap_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return held.join(F.broadcast(words) if words.count() <= 100_000 else words, "term").groupBy("query_id", "id", "size").agg(F.count("*").alias("n")).select("query_id", "id", (F.col("n") / F.col("size")).alias("score"))
 
 
-def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def top(scores: DataFrame, k: int, digits: int = 9, documents: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """The k best of each query, ties by id. With ``documents`` (id) and ``queries`` (query_id), documents without a score have 0
+    and fill up a query that has fewer than k: of the first 2 k ids at most k are hits, so the rest are enough."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if documents is None:
+        return best
+    first = documents.select("id").orderBy("id").limit(2 * k).agg(F.collect_list("id").alias("ids"))
+    hits = best.groupBy("query_id").agg(F.collect_set("id").alias("hits"))  # k ids at most
+    short = queries.select("query_id").distinct().join(hits, "query_id", "left").filter(F.coalesce(F.size("hits"), F.lit(0)) < k)
+    rest = short.join(F.broadcast(first)).select("query_id", F.explode(F.array_except("ids", F.coalesce("hits", F.slice("ids", 1, 0)))).alias("id"), F.lit(0.0).alias("score"))
+    return best.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def evidence(blocks: Column, budget: int, least: int = 20) -> Column:

@@ -166,29 +166,47 @@ def cache_eviction(spark, d):
     return rows.withColumn("upto", F.sum("bytes").over(inside)).join(sums, "part").select("doc_id", "bytes", (F.col("upto") + F.col("start") > budget).alias("evicted"))
 
 
+_PINS = """case p_partkey % 6 when 0 then concat('==', p_size, '.', p_partkey % 7) when 1 then '>=1.0 ; python_version == "3"' when 2 then '  # pinned later'
+      when 3 then concat(' ', p_size) when 4 then '[extra]==2.0' else ' == 1.5 # why; not' end"""
+
+
 @query(
     "requirement_parse",
-    r"""with p as (select distinct p_name || case when p_partkey % 3 = 0 then '==' || p_size || '.' || p_partkey % 7 when p_partkey % 3 = 1 then '>=1.0 ; python_version > "3"' else '  # pinned later' end as line from part)
-    select regexp_extract(line, '^\s*([A-Za-z0-9][A-Za-z0-9._ -]*?)\s*(\[[^\]]*\])?\s*(==|>=|<=|~=|!=|>|<|;|#|$)', 1) as package, nullif(regexp_extract(line, '==\s*([^\s;#,]+)', 1), '') as version from p""",
+    rf"""with p as (select distinct replace(p_name, ' ', '-') || {_PINS} as line from part),
+    c as (select trim(split_part(split_part(line, ' #', 1), ';', 1)) as line from p)
+    select regexp_extract(line, '^[A-Za-z0-9_.-]+') as package,
+      case when contains(line, '==') then regexp_extract(split_part(line, '==', 2), '[^\s]+')
+        when regexp_matches(line, '[<>~!]') then '' else regexp_extract(line, '^[A-Za-z0-9_.-]+\s*([A-Za-z0-9_.-]*)', 1) end as version from c""",
 )
 def requirement_parse(spark, d):
     from lodestrata.sources.manifests import parse_requirements
 
-    ending = "case when p_partkey % 3 = 0 then concat('==', p_size, '.', p_partkey % 7) when p_partkey % 3 = 1 then '>=1.0 ; python_version > \"3\"' else '  # pinned later' end"
-    return parse_requirements(V.table(spark, d, "part").select(F.expr(f"concat(p_name, {ending})").alias("line")).distinct()).select("package", "version")
+    lines = V.table(spark, d, "part").select(F.expr(f"concat(replace(p_name, ' ', '-'), {_PINS})").alias("line")).distinct()
+    return parse_requirements(lines).select("package", "version")
 
 
-_URL = r"""case when url is null or trim(url) = '' then 'empty' when length(url) > 2048 then 'too_long' when regexp_matches(url, '[\x00-\x20\x7F]') then 'control_or_space'
-      when not regexp_matches(url, '^https://') then 'scheme' when regexp_matches(url, '^https://[^/]*@') then 'credentials' when regexp_matches(url, '^https://[^/]*:[0-9]+') then 'port'
-      when not regexp_matches(url, '^https://(www\.)?github\.com/') then 'host' when regexp_matches(url, '[?#]') then 'query_or_fragment'
-      when not regexp_matches(url, '^https://[^/]+/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+/?$') then 'path' end"""
+_ADDRESS = """case page_id % 12 when 0 then 'https://github.com/own' || page_id || '/r.git/' when 1 then 'HTTPS://GitHub.com/Own/r' when 2 then 'https://www.github.com/a/b'
+      when 3 then 'https://github.com/a%20b/c' when 4 then '-https://github.com/a/b' when 5 then 'https://u:p@github.com/a/b' when 6 then 'https://github.com:8443/a/b'
+      when 7 then 'https://github.com/a/b?x=1' when 8 then 'https://github.com/a/b#L1' when 9 then 'https://github.com/a/b/c' when 10 then 'https://github.com/.a/b' else url end"""
 
 
-@query("url_validation", f"select page_id, {_URL} as reason, regexp_extract(url, '^https?://([^/]+)', 1) as host from pages")
+@query(
+    "url_validation",
+    rf"""with u as (select page_id, url as given, {_ADDRESS} as url from pages),
+    p as (select *, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) as place from u)
+    select page_id, case when url is null or url = '' then 'empty' when length(url) > 2048 then 'too_long' when contains(url, '%') then 'percent'
+      when regexp_matches(url, '[\x00-\x20\x7F]') then 'control_or_space' when url[1] = '-' then 'leading_dash' when lower(url[1:6]) <> 'https:' then 'scheme'
+      when contains(place, '@') then 'credentials' when lower(split_part(place, ':', 1)) <> 'github.com' then 'host' when contains(place, ':') then 'port'
+      when regexp_matches(url, '\?.') then 'query' when regexp_matches(url, '#.') then 'fragment'
+      when not regexp_matches(url, '^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/?$', 'i') then 'path'
+      when not regexp_matches(url, '^https://[^/]*/[A-Za-z0-9]', 'i') then 'owner' when not regexp_matches(url, '^https://[^/]*/[^/]*/[A-Za-z0-9]', 'i') then 'repository' end as reason,
+      regexp_extract(given, '^https?://([^/]+)', 1) as host from p""",
+)
 def url_validation(spark, d):
     from lodestrata.functions.urls import rejection
 
-    return V.table(spark, d, "pages").select("page_id", rejection(F.col("url")).alias("reason"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    pages = V.table(spark, d, "pages").select("page_id", F.col("url").alias("given"), F.expr(_ADDRESS).alias("url"))
+    return pages.select("page_id", rejection(F.col("url")).alias("reason"), F.regexp_extract("given", "^https?://([^/]+)", 1).alias("host"))
 
 
 @query("redaction", r"select page_id, regexp_replace('clone https://user' || page_id || ':pw@' || regexp_extract(url, '^https?://(.*)$', 1), '(//)[^/@\s]+@', '\1***@', 'g') as message from pages")

@@ -112,7 +112,7 @@ def stratified_sample(spark, d):
 @query(
     "inheritance_closure",
     """with recursive p as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey > 1 and p_partkey % 7 <> 0),
-    up as (select child, parent as ancestor, 1 as depth from p union all select u.child, p.parent, u.depth + 1 from up u join p on u.ancestor = p.child where u.depth < 10 and p.parent <> u.child)
+    up as (select child, parent as ancestor, 1 as depth from p union all select u.child, p.parent, u.depth + 1 from up u join p on u.ancestor = p.child where p.parent <> u.child)
     select child, ancestor, min(depth)::int as depth from up group by all""",
 )
 def inheritance_closure(spark, d):

@@ -19,14 +19,14 @@ def _vectors(spark, d):
 _COS = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9)"
 
 
-@query("vector_topk", f"select q.vec_id as query_id, e.vec_id as id, round({_COS} + 1e-12, 7) as score, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e, embeddings q where q.vec_id < 10 qualify rank <= 5")
+@query("vector_topk", f"select q.vec_id as query_id, e.vec_id as id, round({_COS} + 1e-12, 7) as score, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e, embeddings q where q.vec_id % 20 = 0 qualify rank <= 5")
 def vector_topk(spark, d):
     v = _vectors(spark, d)
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return retrieval.cosine_top_k(v, q, 5).withColumn("score", F.round(F.col("score") + 1e-12, 7))
 
 
-@query("vector_topk_scoped", f"select q.vec_id as query_id, e.vec_id as id, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e join embeddings q on e.label = q.label where q.vec_id < 20 qualify rank <= 3")
+@query("vector_topk_scoped", f"select q.vec_id as query_id, e.vec_id as id, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e join embeddings q on e.label = q.label where q.vec_id % 20 = 0 qualify rank <= 3")
 def vector_topk_scoped(spark, d):
     v = _vectors(spark, d)
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "run")
@@ -52,18 +52,19 @@ def hash_embedding(spark, d):
 
 _TERMS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"
 _BM25 = f"""t as (select doc_id as id, {_TERMS.format("text")} as t from documents), s as (select count(*)::double as n, avg(len(t)) as mean from t),
-  q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TERMS.format("text")}) as term from benchmark where item_id < 20) group by all),
+  q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TERMS.format("text")}) as term from benchmark) group by all),
   tf as (select id, length, term, count(*) as tf from (select id, len(t) as length, unnest(t) as term from t) where term in (select term from q) group by all),
   df as (select term, count(*) as df from tf group by term),
   scores as (select query_id, id, sum(times * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean))) as score
     from tf join df using (term) join q using (term) cross join s group by query_id, id),
-  ranked as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from scores)"""
+  pairs as (select item_id as query_id, doc_id as id, coalesce(score, 0) as score from benchmark cross join documents left join scores on query_id = item_id and id = doc_id),
+  ranked as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from pairs)"""
 
 
 def _bm25(spark, d, k):
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top(retrieval.bm25(docs, items), k)
+    return retrieval.top(retrieval.bm25(docs, items), k, documents=docs, queries=items)
 
 
 @query("bm25_topk", f"with {_BM25} select query_id, id, round(score, 7) as score, rank from ranked where rank <= 10")
@@ -71,17 +72,18 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 10).withColumn("score", F.round("score", 7))
 
 
-_LEX = """lq as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) as t from benchmark where item_id < 20),
+_LEX = """lq as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) as t from benchmark),
   lt as (select doc_id as id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'))) as term from documents),
   ls as (select query_id, id, count(*) / len(t)::double as score from (select query_id, t, unnest(t) as term from lq) join lt using (term) group by query_id, id, t),
-  lr as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from ls)"""
+  lp as (select q.query_id, doc_id as id, coalesce(score, 0) as score from lq q cross join documents left join ls on ls.query_id = q.query_id and ls.id = doc_id),
+  lr as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from lp)"""
 
 
 @query("lexical_topk", f"with {_LEX} select query_id, id, round(score, 8) as score, rank from lr where rank <= 5")
 def lexical_topk(spark, d):
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top(retrieval.overlap_scores(docs, items), 5).withColumn("score", F.round("score", 8))
+    return retrieval.top(retrieval.overlap_scores(docs, items), 5, documents=docs, queries=items).withColumn("score", F.round("score", 8))
 
 
 @query(
@@ -140,10 +142,18 @@ def citation_validation(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.sort_array(good), ",").alias("cited"), F.array_join(F.sort_array(bad), ",").alias("dropped"), F.sha2(clean, 256).alias("answer_hash"))
 
 
-@query("refusal_rate", f"select role, count(*) as answers, count(*) filter (where regexp_matches(lower(text || case when turn = 3 then ' I cannot answer' else '' end), '{'|'.join(x.replace(chr(39), chr(39) * 2) for x in retrieval.REFUSALS)}')) as refusals from conversations group by role")
+_SAID = "text || case turn % 5 when 1 then ' It was NOT FOUND' when 2 then ' The code does not support it' when 3 then ' This is outside the scope' else '' end"
+
+
+@query(
+    "refusal_rate",
+    f"""select role, count(*) as answers, count(*) filter (where regexp_matches(lower({_SAID}),
+      'not found|does not (contain|implement|exist|have|support)|no mention|not implemented|no record|i don''t know|cannot find|unanswerable|outside the scope|not present')) as refusals
+    from conversations group by role""",
+)
 def refusal_rate(spark, d):
-    text = F.concat("text", F.when(F.col("turn") == 3, " I cannot answer").otherwise(""))
-    return V.table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("answers"), F.count_if(retrieval.is_refusal(text)).alias("refusals"))
+    rows = V.table(spark, d, "conversations").select("role", F.expr(_SAID).alias("said"))
+    return rows.groupBy("role").agg(F.count("*").alias("answers"), F.count_if(retrieval.is_refusal(F.col("said"))).alias("refusals"))
 
 
 @query(
@@ -224,7 +234,14 @@ def event_sessions(spark, d):
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begin"), "n")
 
 
-@query("rate_limit")
+@query(
+    "rate_limit",
+    """with recursive e as (select event_id as request_id, sha256(user_id::varchar) as key, epoch(ts)::double as moment, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    f as (select request_id, key, k, moment, 0.0::double as rest, true as allowed, 0 as retry_after from e where k = 1
+      union all select x.request_id, x.key, x.k, x.moment, case when t >= 1 then t - 1 else t end, t >= 1, case when t >= 1 then 0 else greatest(1, ceil((1 - t) / (1 / 60.0::double)))::int end
+      from (select e.*, least(1, f.rest + greatest(0, e.moment - f.moment) / 60.0::double) as t from f join e on e.key = f.key and e.k = f.k + 1) as x)
+    select request_id, key, allowed, retry_after from f""",
+)
 def rate_limit(spark, d):
     from lodestrata.streaming.rate_limit import admit
 

@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._ -]*?)\s*(\[[^\]]*\])?\s*(==|>=|<=|~=|!=|>|<|;|#|$)"
+#: A name, then what may stand for a version without an operator.
+_NAME, _PLAIN = r"^([A-Za-z0-9_.-]+)", r"^[A-Za-z0-9_.-]+\s*([A-Za-z0-9_.-]*)"
 
 
 def parse_requirements(lines: DataFrame) -> DataFrame:
-    """(line, ...) -> those, package and version (null unless pinned); comments, options and blank lines go."""
-    rows = lines.filter(~F.rlike(F.col("line"), F.lit(r"^\s*($|#|-)")))
-    rows = rows.withColumn("package", F.regexp_extract("line", _REQUIREMENT, 1)).filter("package <> ''")
-    return rows.withColumn("version", F.nullif(F.regexp_extract("line", r"==\s*([^\s;#,]+)", 1), F.lit("")))
+    """(line, ...) -> those, package and version (empty unless pinned); comments, environment markers, options and blank lines go."""
+    bare = F.trim(F.substring_index(F.substring_index(F.regexp_replace("line", r"^\s+|\s+$", ""), " #", 1), ";", 1))
+    rows = lines.filter(~F.rlike(F.col("line"), F.lit(r"^\s*($|#|-)"))).withColumn("_bare", bare)
+    rows = rows.withColumn("package", F.regexp_extract("_bare", _NAME, 1)).filter("package <> ''")
+    pinned = F.regexp_extract(F.get(F.split("_bare", "=="), F.lit(1)), r"(\S+)", 1)
+    version = F.when(F.contains(F.col("_bare"), F.lit("==")), pinned).when(F.rlike(F.col("_bare"), F.lit("[<>]|~=|!=")), "").otherwise(F.regexp_extract("_bare", _PLAIN, 1))
+    return rows.withColumn("version", version).drop("_bare")
 
 
 def parse_package_json(files: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ def admit(requests: DataFrame, rpm: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tokens, last = None, 0.0, None
         for pdf in batches:
-            for k, own in pdf.groupby("key", sort=False):
-                if k != key:
+            for k, own in pdf.groupby("key", sort=False, dropna=False):
+                k = None if pd.isna(k) else k  # requests without a key share one
+                if k != key or last is None:
                     key, tokens, last = k, 0.0, None
                 out, tokens, last = _fold(own.itertuples(index=False, name=None), tokens, last, rpm)
                 yield out

@@ -48,11 +48,14 @@ def test_text_functions(spark):
 
 def test_urls(spark):
     cases = {
-        None: "empty", "http://github.com/a/b": "scheme", "https://u@github.com/a/b": "credentials", "https://github.com:1/a/b": "port", "https://x.com/a/b": "host",
-        "https://github.com/a/b?x": "query_or_fragment", "https://github.com/a": "path", "https://github.com/a/b": None, "https://www.github.com/a/b.git/": None, "https://github.com/a /b": "control_or_space",
+        None: "empty", "": "empty", " ": "control_or_space", "http://github.com/a/b": "scheme", "git@github.com:a/b": "scheme", "https://u@github.com/a/b": "credentials",
+        "https://github.com@evil.com/a/b": "credentials", "https://github.com:1/a/b": "port", "https://x.com:1/a/b": "host", "https://www.github.com/a/b": "host",
+        "https://github.com/a/b?x": "query", "https://github.com/a/b#x?y": "fragment", "https://github.com/a/b?": "path", "https://github.com/a": "path", "https://github.com/a/b/c": "path",
+        "https://github.com/a%2Fb": "percent", "-https://github.com/a/b": "leading_dash", "https://github.com/-a/b": "owner", "https://github.com/a/.b": "repository", "https://github.com/" + "a" * 2048: "too_long",
+        "https://github.com/a /b": "control_or_space", "https://github.com/a/b": None, "HTTPS://GitHub.com/A/b.git/": None,
     }
     rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", rejection(F.col("u")).alias("r"), normal_url(F.col("u")).alias("n"), is_sha(F.col("u")).alias("s")).collect()
-    assert {r["u"]: r["r"] for r in rows} == cases and rows[-2]["n"] == "https://www.github.com/a/b"
+    assert {r["u"]: r["r"] for r in rows} == cases and rows[-1]["n"] == "https://github.com/A/b"
 
 
 def test_composites(spark):
@@ -106,7 +109,7 @@ def test_evidence_and_citations(spark):
     assert [len(t) for t in _one(spark, k=kept)["k"]] == [50, 50]
     good, bad, clean = retrieval.citations(F.lit("yes [E1] and [E99]  ok"), F.array(F.lit("E1")))
     assert tuple(_one(spark, g=good, b=bad, c=clean)) == (["E1"], ["E99"], "yes [E1] and ok")
-    assert _one(spark, r=retrieval.is_refusal(F.lit("I CANNOT answer that")))["r"]
+    assert _one(spark, r=retrieval.is_refusal(F.lit("The code DOES NOT support that")))["r"]
 
 
 def test_ladders(spark):
@@ -153,7 +156,7 @@ def test_paging_grid(spark):
 
 def test_manifests(spark):
     lines = spark.createDataFrame([("a==1.2 # pin",), ("# no",), ("B[x] >= 2",), ("-r other",), ("",), ("c",)], "line string")
-    assert sorted((r["package"], r["version"]) for r in parse_requirements(lines).collect()) == [("B", None), ("a", "1.2"), ("c", None)]
+    assert sorted((r["package"], r["version"]) for r in parse_requirements(lines).collect()) == [("B", ""), ("a", "1.2"), ("c", "")]
     js = spark.createDataFrame([("p.json", '{"dependencies": {"x": "^1.0"}, "devDependencies": {"y": "~2"}}'), ("q.json", "broken")], "file_path string, text string")
     assert sorted((r["package"], r["version"]) for r in parse_package_json(js).collect()) == [("x", "1.0"), ("y", "2")]
     toml = spark.createDataFrame([("pyproject.toml", '[project]\ndependencies = ["m==3", "n>1"]\n[tool.poetry.dependencies]\npython = "3"\no = {version = "^4"}'), ("bad.toml", "=")], "file_path string, text string")
