@@ -86,14 +86,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(hit, "import_id", "left")
 
 
+def checkpoint_dir(spark) -> None:
+    """The session's checkpoint folder; a private one is made only in a local session that configures none, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", "")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+
+
 def closure(parents: DataFrame, spark) -> DataFrame:
     """(child, parent) -> (child, ancestor, depth), the shortest way, however long; a pair that is there already ends a walk.
 
     Ways up to a length are joined with those of just that length, so the length doubles in each round. A shortest way has
     one point at each length, so it is found from there and a pair that comes later is no shorter. Rounds are checkpointed.
     """
-    if spark.sparkContext.getCheckpointDir() is None:  # only where none is configured, as in tests
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+    checkpoint_dir(spark)
     ways = parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
     reach = 1
     while True:

@@ -2,4 +2,4 @@
 
 from lodestrata.plans import REGISTRY
 
-from lodestrata.plans import chunks, graph, health, retrieval  # noqa: F401
+from lodestrata.plans import chunks, graph, health, records, retrieval  # noqa: F401
