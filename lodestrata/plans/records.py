@@ -8,12 +8,14 @@ from lodestrata.operators import code_graph
 from lodestrata.plans import query
 from lodestrata.sources import views as V
 
-_FILE = "concat('pkg', p_partkey % 7, '/m', p_partkey % 211, case p_partkey % 3 when 0 then '.ts' else '.py' end)"
-_IMPORTED = """case p_partkey % 4 when 0 then concat('pkg', p_partkey % 5, '.m', p_partkey * 3 % 211) when 1 then concat('./m', p_partkey * 7 % 211)
-  when 2 then concat('pkg', p_partkey % 6, '.m', p_partkey * 11 % 211, '.f', p_partkey % 53) else concat('m', p_partkey * 5 % 211) end"""
+#: Four parts in a row are a class and three functions of one file.
+_OWN = "(p_partkey - p_partkey % 4)"
+_FILE = f"concat('pkg', {_OWN} % 3, '/m', {_OWN} % 13, case {_OWN} % 3 when 0 then '.ts' else '.py' end)"
+_IMPORTED = """case p_partkey % 8 when 0 then concat('pkg', p_partkey % 3, '.m', p_partkey * 3 % 13) when 2 then concat('./m', p_partkey * 7 % 13)
+  when 4 then concat('pkg', p_partkey % 4, '.m', p_partkey * 11 % 13, '.f', p_partkey % 53) else concat('m', p_partkey * 5 % 17) end"""
 _ALIAS = "case when p_partkey % 6 = 0 then concat('f', p_partkey % 53) end"
 _RAW = """case l_linenumber % 7 when 0 then concat('self.f', l_suppkey % 53) when 1 then concat('new C', l_partkey % 97) when 2 then concat('C', l_suppkey % 97, '.f', l_partkey % 53)
-  when 3 then concat('m', l_suppkey * 3 % 211, '.f', l_partkey % 53) when 4 then concat('super.f', l_partkey % 53) else concat('f', l_suppkey % 71) end"""
+  when 3 then concat('m', l_suppkey * 3 % 13, '.f', l_partkey % 53) when 4 then concat('super.f', (l_partkey + l_suppkey % 3) % 53) else concat('f', l_suppkey % 71) end"""
 
 
 def records(spark, d):
@@ -22,7 +24,7 @@ def records(spark, d):
     key = F.col("p_partkey")
     of = part.select("p_partkey", F.expr(_FILE).alias("file"), key.alias("ord"))
     name = lambda kind, n: F.concat(F.lit(kind), (key % n).cast("string"))
-    functions = of.filter("p_partkey % 4 <> 0").select(F.concat(F.lit("fn"), key.cast("string")).alias("id"), "file", name("f", 53).alias("name"), F.when(key % 3 == 0, name("C", 97)).alias("class_owner"), "ord")
+    functions = of.filter("p_partkey % 4 <> 0").select(F.concat(F.lit("fn"), key.cast("string")).alias("id"), "file", name("f", 53).alias("name"), F.when(key % 4 < 3, F.concat(F.lit("C"), F.expr(f"{_OWN} % 97").cast("string"))).alias("class_owner"), "ord")
     classes = of.filter("p_partkey % 4 = 0").select(F.concat(F.lit("cls"), key.cast("string")).alias("id"), "file", name("C", 97).alias("name"), F.array(name("C", 89), name("pkg.C", 101)).alias("bases"), "ord")
     imports = of.filter("p_partkey % 2 = 0").select("file", F.expr(_IMPORTED).alias("imported"), F.expr(_ALIAS).alias("alias"), "ord")
     files = of.groupBy("file").agg(F.min("ord").alias("ord"))
