@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.95996  # fixed value: of the 95 % interval
+LEAST_PAIRS, LEAST_RHO, LEAST_TAU = 15, 0.60, 0.80  # fixed values: of the protocol for ratings
 
 
 def wilson(good: Column, total: Column) -> tuple[Column, Column]:
@@ -90,3 +91,47 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, query: str, item: str
     rows = sizes.join(found, query, "left")
     n = F.coalesce("found", F.lit(0))
     return rows.select(query, (n > 0).cast("int").alias("hit"), (n / F.col("wanted")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def review_state(reviewed: Column, total: Column) -> Column:
+    """Validated once every row is reviewed, not validated while none is."""
+    return F.when(reviewed == 0, "NOT VALIDATED").when((reviewed == total) & (total > 0), "VALIDATED").otherwise("INCOMPLETE")
+
+
+def quorum(pairs: Column, rho: Column, tau: Column, total: Column, excluded: Column) -> list[Column]:
+    """What a correlation of ratings shows: state, validated, and whether rho and tau reach their bars; below 15 pairs nothing is shown."""
+    enough = pairs >= LEAST_PAIRS
+    state = F.when(~enough | (pairs < total), "INCOMPLETE").otherwise("VALIDATED")
+    meets = lambda v, bar: F.coalesce(enough & (v >= bar), F.lit(False))
+    return [state.alias("state"), (enough & (pairs == total) & (excluded == 0)).alias("validated"), meets(rho, LEAST_RHO).alias("meets_rho"), meets(tau, LEAST_TAU).alias("meets_tau")]
+
+
+def answer_report(answers: DataFrame, group: str) -> DataFrame:
+    """(group, state, answerable, unanswerable, cited, expected, refused) -> a row for each group and one over all.
+
+    ``state`` is success, failed or skipped; ``cited`` is the file of each citation, ``expected`` the files that hold the answer.
+    Precision counts citations, recall distinct files; an answer without citations has 0 for both. A question is answerable if it
+    says so or doesn't say that it is unanswerable.
+    """
+    ok = F.col("state") == "success"
+    answerable = F.coalesce("answerable", F.lit(False)) | ~F.coalesce("unanswerable", F.lit(False))
+    cited, wanted = F.coalesce("cited", F.array().cast("array<string>")), F.array_distinct(F.coalesce("expected", F.array().cast("array<string>")))
+    good = F.size(F.filter(cited, lambda c: F.array_contains(wanted, c)))
+    both = F.size(F.array_intersect(cited, wanted))
+    none = F.size(cited) == 0
+    precision = F.when(none, 0.0).otherwise(good / F.nullif(F.size(cited), F.lit(0)))
+    recall = F.when(none, 0.0).when(F.size(wanted) == 0, 1.0).otherwise(both / F.nullif(F.size(wanted), F.lit(0)))
+    rows = answers.select(group, "state", answerable.alias("_a"), "refused", F.when(ok & answerable, precision).alias("_p"), F.when(ok & answerable, recall).alias("_r"))
+    asked = ok & ~F.col("_a")
+    counted = rows.rollup(group).agg(
+        F.grouping(group).cast("int").alias("overall"), F.count("*").alias("total"), F.count_if(ok).alias("succeeded"),
+        F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "skipped").alias("skipped"),
+        F.round(F.avg("_p"), 4).alias("precision"), F.round(F.avg("_r"), 4).alias("recall"),
+        F.count_if(asked).alias("_u"), F.count_if(asked & F.col("refused")).alias("_ur"),
+    )
+    tried, n, failed, skipped = F.col("succeeded") + F.col("failed"), F.col("succeeded"), F.col("failed"), F.col("skipped")
+    state = F.when(tried == 0, "BLOCKED").when(n == F.col("total"), "COMPLETED").when((n > 0) & (failed + skipped > 0), "PARTIAL").when(n == 0, "FAILED").otherwise("BLOCKED")
+    return counted.select(
+        "*", F.round(100.0 * n / F.nullif(F.col("total"), F.lit(0)), 1).alias("coverage"),
+        F.round(1 - F.col("_ur") / F.nullif(F.col("_u"), F.lit(0)), 4).alias("hallucination"), state.alias("state"),
+    ).drop("_u", "_ur")

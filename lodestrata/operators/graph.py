@@ -142,3 +142,17 @@ def stratified(edges: DataFrame, quota: int, seed: str, keys: list[str]) -> Data
     order = F.md5(F.encode(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]), "UTF-8"))
     ranked = edges.withColumn("_k", F.row_number().over(Window.partitionBy("relation").orderBy(order, *keys)))
     return ranked.filter(F.col("_k") <= quota).drop("_k")
+
+
+def stored_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_type), (relation, confidence) of a stored run -> one row: totals, calls by confidence as ``name=n`` in order of names, and
+    the share of calls that are resolved. A missing confidence counts as flagged; unknown ones are counted under their names."""
+    kind = lambda name: F.count_if(F.col("node_type") == name)
+    relation = lambda name: F.sum(F.when(F.col("relation") == name, F.col("n")).otherwise(0)).alias(name)
+    calls = F.col("relation") == "calls"
+    n = nodes.agg(F.count("*").alias("nodes"), kind("finding").alias("findings"), kind("class").alias("classes"), kind("function").alias("functions"), kind("file").alias("files"))
+    each = edges.groupBy("relation", F.coalesce("confidence", F.lit("flagged")).alias("confidence")).agg(F.count("*").alias("n"))
+    good = F.sum(F.when(calls & F.col("confidence").isin("high_confidence", "low_confidence"), F.col("n")).otherwise(0))
+    listed = F.sort_array(F.collect_list(F.when(calls, F.concat_ws("=", "confidence", F.col("n").cast("string")))))  # a row for each confidence
+    e = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), *[F.coalesce(relation(x), F.lit(0)).alias(x) for x in ("calls", "inherits", "depends_on", "has_finding")], F.coalesce(good, F.lit(0)).alias("good"), F.array_join(listed, ",").alias("by_confidence"))
+    return n.join(F.broadcast(e)).withColumn("resolved_pct", F.round(100.0 * F.col("good") / F.greatest("calls", F.lit(1)), 1)).drop("good")  # one row with one row

@@ -11,6 +11,7 @@ SECURITY_PENALTY = {"HIGH": 15, "MEDIUM": 7, "LOW": 2}
 SAST_PENALTY = {"HIGH": 15, "ERROR": 15, "WARNING": 7, "MEDIUM": 7, "INFO": 2, "LOW": 2}
 WEIGHTS = {"complexity": 0.25, "maintainability": 0.25, "security": 0.20, "sast": 0.15, "secrets": 0.10, "vulnerabilities": 0.05}
 LEGACY_WEIGHTS = {"complexity": 0.35, "maintainability": 0.35, "security": 0.30}
+STATUSES = ("success", "partial", "failed", "unsupported", "unavailable")  # fixed values: of a component's analysis
 
 
 def _mapped(value: Column, values: dict[str, int], other: int) -> Column:
@@ -100,3 +101,13 @@ def status_fold(rows: DataFrame, key: str, ok: Column) -> DataFrame:
     return rows.groupBy(key).agg(
         F.when(good == F.count("*"), "success").when(good == 0, "failed").otherwise("partial").alias("status"), good.alias("good"), F.count("*").alias("total")
     )
+
+
+def overall_status(components: DataFrame, key: str) -> DataFrame:
+    """(key, status, has_score) -> key, status: failed where no component has a score, complete where all are a success, else partial.
+
+    An unknown status is an error.
+    """
+    known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")))).cast("string"))
+    counted = components.select(key, known.alias("status"), "has_score").groupBy(key).agg(F.coalesce(F.bool_or("has_score"), F.lit(False)).alias("any"), F.bool_and(F.col("status") == "success").alias("all"))
+    return counted.select(key, F.when(~F.col("any"), "failed").when(F.col("all"), "complete").otherwise("partial").alias("status"))

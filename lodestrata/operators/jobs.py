@@ -33,3 +33,35 @@ def rank(status: Column) -> Column:
 def final_run(run: str, status: str, old_run: str, old_status: str) -> Column:
     """The stored run if it is at least as good as the fresh one."""
     return F.when(F.col(old_run).isNotNull() & (rank(F.col(old_status)) >= rank(F.col(status))), F.col(old_run)).otherwise(F.col(run))
+
+
+def complete(jobs: DataFrame, stages: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs (job_id, status, ...) and stages (job_id, stage, status, started_at, completed_at) after the jobs in ``done`` (job_id, run_id,
+    final_status, at) have ended: their pending and running stages are completed, failed ones stay failed. Keys of ``done`` are unique."""
+    ended = jobs.join(done, "job_id", "left")
+    hit = F.col("final_status").isNotNull()
+    new = ended.select(
+        "job_id",
+        F.when(hit, F.col("final_status")).otherwise(F.col("status")).alias("status"),
+        F.when(hit, F.lit(100)).otherwise(F.col("progress")).alias("progress"),
+        F.when(hit, F.col("run_id")).alias("run_id"),
+    )
+    marked = stages.join(done.select("job_id", "at"), "job_id", "left")
+    open_ = F.col("at").isNotNull() & F.col("status").isin("pending", "running")
+    return new, marked.select(
+        "job_id", "stage",
+        F.when(open_, "completed").otherwise(F.col("status")).alias("status"),
+        F.when(open_, F.coalesce("started_at", "at")).otherwise(F.col("started_at")).alias("started_at"),
+        F.when(open_, F.col("at")).otherwise(F.col("completed_at")).alias("completed_at"),
+    )
+
+
+def fail(jobs: DataFrame, stages: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for jobs in ``failed`` (job_id, error, at): only the stage a job was in fails with it."""
+    ended = jobs.join(failed, "job_id", "left")
+    hit = F.col("at").isNotNull()
+    new = ended.select("job_id", F.when(hit, "failed").otherwise(F.col("status")).alias("status"), "progress", F.when(hit, F.col("error")).alias("error"))
+    current = failed.join(jobs.select("job_id", F.col("current_stage").alias("stage")), "job_id").select("job_id", "stage", F.col("at").alias("_at"))
+    marked = stages.join(current, ["job_id", "stage"], "left")
+    hit = F.col("_at").isNotNull()
+    return new, marked.select("job_id", "stage", F.when(hit, "failed").otherwise(F.col("status")).alias("status"), "started_at", F.when(hit, F.col("_at")).otherwise(F.col("completed_at")).alias("completed_at"))

@@ -19,6 +19,8 @@ REFUSALS = (
     "i don't know", "cannot find", "unanswerable", "outside the scope", "not present",
 )
 
+INSUFFICIENT = "The available repository evidence is insufficient to determine this."  # fixed value
+
 
 def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Rows filled up with zeros, and their lengths; -1 for no vector."""
@@ -184,3 +186,56 @@ def budget_fold(costs: Column, budget: float) -> Column:
         return F.struct(spent.alias("spent"), (a["halted"] | (spent > budget)).alias("halted"), F.concat(a["states"], F.array(state)).alias("states"))
 
     return F.aggregate(costs, zero, step)["states"]
+
+
+def file_ranking(scores: DataFrame, files: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, id, score) and (id, file) -> (query_id, file, score, rank): files in the order in which a ranking of chunks first
+    meets them. Files without a scored chunk come after all others and aren't listed.
+
+    The first chunk of each file is found by aggregation before anything is sorted.
+    """
+    rounded = F.round("score", digits)
+    best = scores.join(files, "id").groupBy("query_id", "file").agg(F.min(F.struct((-rounded).alias("s"), "id")).alias("b"))
+    order = Window.partitionBy("query_id").orderBy("b.s", "b.id")
+    return best.select("query_id", "file", (-F.col("b.s")).alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def labelled_evidence(chunks: Column, budget: int) -> Column:
+    """Chunks in order (chunk_id, path, first, last, lang, entity, sha, text) as blocks headed E1, E2, ... under a budget of characters.
+
+    A block that overflows is cut and marked; it is left out if even its header does not fit, unless it is the first.
+    -> array of (label, chunk_id, block)
+    """
+    mark = "\n[truncated]"
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    numbered = F.transform(chunks, lambda c, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("label"), c.alias("c")))
+
+    def header(x):
+        c = x["c"]
+        line = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(name), v, F.lit("\n"))).otherwise("")
+        return F.concat(
+            F.lit("["), x["label"], F.lit("]\nFile: "), text(c["path"]), F.lit("\nLines: "), text(c["first"]), F.lit("-"), text(c["last"]),
+            F.lit("\nLanguage: "), F.coalesce(c["lang"], F.lit("unknown")), F.lit("\n"), line("Entity: ", c["entity"]), line("Commit: ", c["sha"]),
+            F.lit("ChunkID: "), text(c["chunk_id"]), F.lit("\n\n"),
+        )
+
+    headed = F.transform(numbered, lambda x: F.struct(x["label"].alias("label"), x["c"]["chunk_id"].alias("chunk_id"), header(x).alias("head"), text(x["c"]["text"]).alias("text")))
+    kind = "array<struct<label:string,chunk_id:string,block:string>>"
+    zero = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast(kind).alias("kept"))
+
+    def step(a, x):
+        room = F.lit(budget) - a["used"]
+        whole = F.length(x["head"]) + F.length(x["text"])
+        left = F.greatest(F.lit(0), room - F.length(x["head"]) - len(mark))
+        block = F.when(whole <= room, F.concat(x["head"], x["text"])).otherwise(F.concat(x["head"], F.substring(x["text"], F.lit(1), left), F.lit(mark)))
+        stop = a["full"] | (room <= 0) | ((F.length(block) > room) & (F.size(a["kept"]) > 0))
+        more = F.array(F.struct(x["label"].alias("label"), x["chunk_id"].cast("string").alias("chunk_id"), block.alias("block")))
+        return F.struct(F.when(stop, a["used"]).otherwise(a["used"] + F.length(block)).alias("used"), stop.alias("full"), F.when(stop, a["kept"]).otherwise(F.concat(a["kept"], more)).alias("kept"))
+
+    return F.aggregate(headed, zero, step)["kept"]
+
+
+def settle(answer: Column, cited: Column) -> tuple[Column, Column]:
+    """An empty answer, or one that calls the evidence insufficient, becomes the one refusal and loses its citations."""
+    poor = (F.coalesce(answer, F.lit("")) == "") | F.contains(F.lower(answer), F.lit("insufficient"))
+    return F.when(poor, INSUFFICIENT).otherwise(answer), F.when(poor, F.slice(cited, 1, 0)).otherwise(cited)
