@@ -34,7 +34,7 @@ class WordEncoder:
     #: What an entry takes beside a word and its ids, about.
     entry_bytes = 190
 
-    def __init__(self, path: str, most_bytes: int = 20 << 20, longest: int = 64):
+    def __init__(self, path: str, most_bytes: int = 96 << 20, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
