@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 250_000
 #: Bytes of rows that Spark gathers for a Python worker at a time; its default is 64 MB on either side, for each task.
 BATCH_BYTES = "4m"
+_BREAK = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 _left_over: list[tuple] = []
 _kept: list[tuple] = []
 
@@ -77,6 +80,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """``text`` in pieces of about ``most`` bytes. They are cut before an ASCII character that is no letter or digit, so words stay whole."""
+    at = 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def others(docs: DataFrame, *names: str) -> list[str]:
     """The columns of ``docs`` but those that a result with columns ``names`` replaces."""
     return [c for c in docs.columns if c.lower() not in names]

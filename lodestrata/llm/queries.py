@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embeddings, jaccard, langid, media, mixing, packing, quality, sharding, warc
+from lodestrata.llm import chat, embeddings, jaccard, langid, media, mixing, packing, quality, sharding, spelling, warc
 from lodestrata.llm.common import bound_batches, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,37 @@ def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
     scored = quality.score(rows, weights).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+#: crc32 byte by byte; its 256 remainders follow from the polynomial.
+_REMAINDERS = """(select list(r order by i) as remainders from (
+      select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as r
+      from range(256) as b(i)))"""
+
+
+@_query(
+    "op12_spelling_variants",
+    rf"""
+    with recursive t as {_REMAINDERS},
+    o as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+    c as (select doc_id, run, count(*) as k from o group by all),
+    b as (select run, k, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''),
+        lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint] else [195, unicode(ch)::bigint - 64] end)) as bytes from c),
+    h as (select run, k, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, remainders[1 + (xor(c, x) & 255)]))) as h from b, t),
+    w as (select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, (h % length(run))::bigint + 2) else run end as word, sum(k) as n
+      from h group by 1 having sum(k) >= 3),
+    v as (select word, n::bigint as n, length(word) as len from w where length(word) >= 5),
+    d as (select word, n, len, i, left(word, i - 1) || substr(word, i + 1) as rest from v, lateral (select unnest(range(1, len + 1)) as i)),
+    s as (select distinct word, n, rest from d),
+    p as (select a.word, b.word as other, b.n as other_n from d a join d b on a.len = b.len and a.i = b.i and a.rest = b.rest and a.word <> b.word
+      union all select s.word, v.word, v.n from s join v on s.rest = v.word
+      union all select v.word, s.word, s.n from s join v on s.rest = v.word),
+    q as (select word, count(*) as n_near, max(other_n) as top from p group by word),
+    f as (select p.word, min(other) as form, top from p join q using (word) where other_n = top group by all),
+    g as (select v.word, v.n, coalesce(q.n_near, 0) as n_near, case when f.top >= 2 * v.n then f.form end as form, case when f.top >= 2 * v.n then f.top end as form_n
+      from v left join q using (word) left join f using (word)),
+    r as (select word, word as root, form as further from g union all select r.word, g.word, g.form from r join g on g.word = r.further)
+    select g.word, g.form, r.root, g.n, cast(g.n_near as bigint) as n_near, g.form_n from g join r on r.word = g.word and r.further is null""",
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
