@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embeddings, jaccard, langid, media, mixing, packing, quality, sharding, spelling, warc
+from lodestrata.llm import chat, embeddings, jaccard, langid, licenses, media, mixing, packing, quality, sharding, spelling, warc
 from lodestrata.llm.common import bound_batches, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,8 @@ _REMAINDERS = """(select list(r order by i) as remainders from (
 )
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_license_scan")
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
