@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embeddings, jaccard, langid, licenses, media, mixing, packing, quality, sharding, spelling, warc
+from lodestrata.llm import chat, embeddings, jaccard, langid, licenses, media, mixing, negatives, packing, quality, sharding, spelling, warc
 from lodestrata.llm.common import bound_batches, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,21 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_license_scan")
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query(
+    "op11_hard_negatives",
+    """
+    with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding::double[], lambda x: floor(256 * x)) as x
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+    s as (select a.vec_id as anchor, a.label as own, b.vec_id as other, b.label, list_dot_product(a.x, b.x)::bigint as score
+      from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 100 = 0),
+    p as (select anchor, other, score from s where own = label qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+    n as (select p.anchor as anchor_id, p.other as positive_id, s.other as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.anchor, p.other order by s.score desc, s.other) as rank
+      from p join s on s.anchor = p.anchor and s.own <> s.label and 80 * p.score <= 100 * s.score and s.score <= p.score)
+    select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5""",
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
