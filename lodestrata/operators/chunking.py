@@ -28,23 +28,24 @@ def islands(rows: DataFrame, keys: list[str], position: str, more: dict[str, Col
 def windows(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """(file_path, text, ...) -> a chunk for every ``size`` lines. One pass over arrays: no shuffle."""
     cut = files.withColumn("_lines", lines(F.col("text"))).filter(F.size("_lines") > 0)
-    starts = F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / size).cast("int"))
-    parts = cut.select(*[c for c in files.columns if c != "text"], "_lines", F.explode(starts).alias("_w"))
-    body = F.slice("_lines", F.col("_w") * size + 1, F.lit(size))
-    parts = parts.withColumn("_body", body).withColumn("start_line", F.col("_w") * size + 1)
-    parts = parts.withColumn("end_line", F.col("start_line") + F.size("_body") - 1).withColumn("chunk_text", F.array_join("_body", "\n"))
-    return parts.withColumn("chunk_id", chunk_id(F.lit(None).cast("string"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_text"))).drop("_lines", "_w", "_body")
+    starts = F.sequence(F.lit(1), F.size("_lines"), F.lit(size))
+    texts = F.transform(starts, lambda s: F.struct(s.alias("start_line"), F.least(s + size - 1, F.size("_lines")).alias("end_line"), F.array_join(F.slice("_lines", s, F.lit(size)), "\n").alias("chunk_text")))
+    parts = cut.select(*[c for c in files.columns if c != "text"], F.explode(texts).alias("_c")).select(*[c for c in files.columns if c != "text"], "_c.*")
+    return parts.withColumn("chunk_id", chunk_id(F.lit(None).cast("string"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_text")))
 
 
 def entity_chunks(files: DataFrame, entities: DataFrame, size: int = WINDOW_LINES, whole: int = WHOLE_ENTITY_LINES) -> DataFrame:
     """Chunks of entities, in windows beyond ``whole`` lines, then of the lines that no entity covers.
 
     (file_path, text), (file_path, start_line, end_line, name) -> file_path, start_line, end_line, name (null: uncovered), chunk_text, chunk_id.
-    Entities may overlap: each is chunked. They are gathered for each file, so the text is shuffled once.
+    Entities may overlap: each is chunked. Their spans end with the file at both ends, and those that have no line in it give no chunk.
+    They are gathered for each file, so the text is shuffled once; chunks are cut before they are exploded, so lines aren't copied for each.
     """
     spans = entities.groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", "name")).alias("_spans"))
-    rows = files.select("file_path", lines(F.col("text")).alias("_lines")).join(spans, "file_path", "left")
-    rows = rows.withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start_line:int,end_line:int,name:string>>")))
+    rows = files.select("file_path", lines(F.coalesce("text", F.lit(""))).alias("_lines")).join(spans, "file_path", "left")
+    inside = F.transform("_spans", lambda s: F.struct(F.greatest(F.lit(1), s.start_line).alias("start_line"), F.least(F.size("_lines"), s.end_line).alias("end_line"), s["name"].alias("name")))
+    none = F.array().cast("array<struct<start_line:int,end_line:int,name:string>>")
+    rows = rows.withColumn("_spans", F.coalesce(F.filter(inside, lambda s: s.start_line <= s.end_line), none))
     cut = F.flatten(
         F.transform(
             "_spans",
@@ -72,8 +73,8 @@ def entity_chunks(files: DataFrame, entities: DataFrame, size: int = WINDOW_LINE
             lambda g: F.transform(F.sequence(g["s"], g["e"], F.lit(size)), lambda b: F.struct(b.alias("s"), F.least(b + size - 1, g["e"]).alias("e"), F.lit(None).cast("string").alias("n"))),
         )
     )
-    out = rows.select("file_path", "_lines", F.explode(F.concat(cut, loose)).alias("c"))
-    out = out.select("file_path", F.col("c.s").alias("start_line"), F.col("c.e").alias("end_line"), F.col("c.n").alias("name"), F.array_join(F.slice("_lines", F.col("c.s"), F.col("c.e") - F.col("c.s") + 1), "\n").alias("chunk_text"))
+    texts = F.transform(F.concat(cut, loose), lambda c: F.struct(c["s"].alias("start_line"), c["e"].alias("end_line"), c["n"].alias("name"), F.array_join(F.slice("_lines", c["s"], c["e"] - c["s"] + 1), "\n").alias("chunk_text")))
+    out = rows.select("file_path", F.explode(texts).alias("c")).select("file_path", "c.*")
     return out.withColumn("chunk_id", chunk_id(F.lit(None).cast("string"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_text")))
 
 

@@ -19,6 +19,11 @@ from lodestrata.operators.graph import CERTAIN, FLAGGED, HIGH, LOW, base_class_l
 EDGE = ("source", "target", "relation", "confidence")
 
 
+def stripped(name: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(name, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+
+
 def last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
@@ -41,7 +46,7 @@ def modules(files: DataFrame) -> DataFrame:
 
 def dependencies(imports: DataFrame, files: DataFrame) -> DataFrame:
     """file, imported, target, confidence: the file that an import means; a path that exists is certain, a module's name is strong."""
-    asked = imports.select("file", F.trim("imported").alias("imported")).filter("imported <> ''").distinct()
+    asked = imports.select("file", stripped(F.col("imported")).alias("imported")).filter("imported <> ''").distinct()
     directory = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
     tried = asked.select("file", "imported", F.posexplode(import_candidates(directory, F.col("imported"))).alias("place", "path"))
     hit = tried.filter("path <> file").join(files.select(F.col("file").alias("path")), "path").groupBy("file", "imported").agg(F.min_by("path", "place").alias("path"))
@@ -97,10 +102,10 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     bound = bound_imports(imports)
     known = modules(files)
     homes = functions.select(F.col("id").alias("caller"), "file", "class_owner", F.col("name").alias("own_name"))
-    raw = F.trim("raw")
+    raw = stripped(F.col("raw"))
     kind = F.when(F.startswith(raw, F.lit("new ")), "new").when(F.rlike(raw, F.lit(r"^(self|this|super)\.")), "receiver").when(F.contains(raw, F.lit(".")), "qualified").otherwise("bare")
     rows = calls.join(homes, "caller").withColumn("kind", kind)
-    subject = F.when(F.col("kind") == "new", last_part(F.trim(F.substring(raw, 5, 1 << 20)))).when(F.col("kind") == "bare", raw).otherwise(last_part(raw))
+    subject = F.when(F.col("kind") == "new", last_part(stripped(F.substr(raw, F.lit(5))))).when(F.col("kind") == "bare", raw).otherwise(last_part(raw))
     receiver = F.when(F.col("kind") == "qualified", last_part(F.regexp_extract(raw, r"^(.*)\.[^.]*$", 1)))
     rows = rows.withColumn("name", subject).withColumn("receiver", receiver).withColumn("bound", F.coalesce("receiver", "name"))
 
@@ -132,7 +137,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     rows = rows.join(class_far.toDF("receiver", "rc_n", "rc_id", "rc_2"), "receiver", "left")
     rows = rows.join(methods.toDF("rc_id", "name", "rm_n", "rm_id", "rm_2"), ["rc_id", "name"], "left")
     # the first module, in order of imports, that has one function of the name
-    order = imports.select("file", F.trim("imported").alias("imported"), "ord").groupBy("file", "imported").agg(F.min("ord").alias("ord"))
+    order = imports.select("file", stripped(F.col("imported")).alias("imported"), "ord").groupBy("file", "imported").agg(F.min("ord").alias("ord"))
     offered = depends.join(order, ["file", "imported"]).select("file", "ord", F.col("target").alias("t")).join(of_file.filter("near_n = 1").select(F.col("file").alias("t"), "name", F.col("near_id").alias("offer")), "t")
     wanted = rows.filter("kind = 'bare'").select("file", "name").distinct()
     offered = offered.join(wanted, ["file", "name"]).groupBy("file", "name").agg(F.min_by("offer", "ord").alias("offer"))

@@ -32,12 +32,18 @@ def complexity_points(cc: Column) -> Column:
 
 
 def security_penalty(severity: Column) -> Column:
-    return _mapped(severity, SECURITY_PENALTY, 2)
+    """Severities count in any case; others, and a missing one, cost 2."""
+    return _mapped(F.upper(severity), SECURITY_PENALTY, 2)
 
 
 def sast_penalty(severity: Column) -> Column:
-    """A missing severity counts as INFO."""
-    return _mapped(F.coalesce(severity, F.lit("INFO")), SAST_PENALTY, 5)
+    """Severities count in any case, a missing one as INFO; others cost 5."""
+    return _mapped(F.upper(F.coalesce(severity, F.lit("INFO"))), SAST_PENALTY, 5)
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded to so many digits, halves to the even side."""
+    return F.rint(value * 10**digits) / 10**digits
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -111,3 +117,60 @@ def overall_status(components: DataFrame, key: str) -> DataFrame:
     known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")))).cast("string"))
     counted = components.select(key, known.alias("status"), "has_score").groupBy(key).agg(F.coalesce(F.bool_or("has_score"), F.lit(False)).alias("any"), F.bool_and(F.col("status") == "success").alias("all"))
     return counted.select(key, F.when(~F.col("any"), "failed").when(F.col("all"), "complete").otherwise("partial").alias("status"))
+
+
+def _usable(status: Column) -> Column:
+    return status.isin("success", "partial")
+
+
+def score_document(blocks: DataFrame, results: DataFrame, key: str = "run_id") -> DataFrame:
+    """(run, component, status) and (run, component, rank, cc, mi, severity) -> the score of each run.
+
+    Components are those of ``WEIGHTS`` and ``lizard``, an informational count of complexities that stands in for ``complexity`` where that
+    is neither a success nor partial; its status then counts as complexity's. A component that ran and found nothing has 100, one that
+    failed, is unsupported or unavailable (or has no row) has no sub-score: it is missing, and the weights of the others are renormalised.
+    A run without any of the three newer components is scored by ``LEGACY_WEIGHTS``. A run is failed without a sub-score, complete
+    if all its components are a success, else partial. An unknown status is an error.
+
+    Sub-scores and the composite have two digits, weights four. Results are aggregated once, on the map side first.
+    """
+    known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")))).cast("string"))
+    of = lambda c, value: F.max(F.when(F.col("component") == c, value))
+    parts = [*WEIGHTS, "lizard"]
+    states = blocks.withColumn("status", known).groupBy(key).agg(*[F.coalesce(of(c, F.col("status")), F.lit("unavailable")).alias(f"s_{c}") for c in parts], F.bool_or(F.col("component").isin("sast", "secrets", "vulnerabilities")).alias("newer"))
+    own = lambda c, value: F.when(F.col("component") == c, value)
+    found = results.groupBy(key).agg(
+        F.avg(own("complexity", rank_points(F.col("rank")))).alias("complexity"),
+        F.avg(own("lizard", complexity_points(F.coalesce("cc", F.lit(1))))).alias("lizard"),
+        F.avg(own("maintainability", clamp(F.coalesce("mi", F.lit(100.0))))).alias("maintainability"),
+        *[F.sum(own(c, penalty)).alias(c) for c, penalty in (("security", security_penalty(F.col("severity"))), ("sast", sast_penalty(F.col("severity"))), ("secrets", F.lit(25)), ("vulnerabilities", F.lit(20)))],
+    )
+    rows = states.join(found, key, "left")
+    stands_in = ~_usable(F.col("s_complexity")) & _usable(F.col("s_lizard"))
+    full = lambda c: half_even(F.coalesce(c, F.lit(100.0)), 2)
+    left = lambda c: half_even(F.greatest(F.lit(0.0), 100.0 - F.coalesce(c, F.lit(0))), 2)
+    score = {c: F.when(_usable(F.col(f"s_{c}")), full(c) if c in ("complexity", "maintainability") else left(c)) for c in WEIGHTS}
+    score["complexity"] = F.when(stands_in, full("lizard")).otherwise(score["complexity"])
+    score |= {c: F.when(F.col("newer"), v) for c, v in score.items() if c not in LEGACY_WEIGHTS}
+    status = {c: F.col(f"s_{c}") for c in WEIGHTS} | {"complexity": F.when(stands_in, F.col("s_lizard")).otherwise(F.col("s_complexity"))}
+    rows = rows.select(key, "newer", *[score[c].alias(c) for c in WEIGHTS], *[status[c].alias(f"{c}_status") for c in WEIGHTS])
+    weight = {c: F.when(F.col(c).isNotNull(), F.when(F.col("newer"), w).otherwise(LEGACY_WEIGHTS.get(c, 0.0))) for c, w in WEIGHTS.items()}
+    # in hundredths, as whole numbers, so that halves are exact
+    weight = {c: F.rint(w * 100) for c, w in weight.items()}
+    total = sum((F.coalesce(w, F.lit(0.0)) for w in weight.values()), F.lit(0.0))
+    summed = sum((F.coalesce(F.rint(F.col(c) * 100) * w, F.lit(0.0)) for c, w in weight.items()), F.lit(0.0))
+    expected = F.when(F.col("newer"), F.array(*map(F.lit, WEIGHTS))).otherwise(F.array(*map(F.lit, LEGACY_WEIGHTS)))
+    scored = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in WEIGHTS]))
+    fine = lambda names: F.forall(F.array(*[F.col(f"{c}_status") for c in names]), lambda s: s == "success")
+    rows = rows.withColumns({"_total": total, "_summed": summed, "_expected": expected, "components_scored": scored})
+    rows = rows.withColumn("missing_components", F.array_except("_expected", "components_scored"))
+    few, n = F.size("missing_components") > 0, lambda c: F.size(c).cast("string")
+    reduced = F.concat(F.lit("Score computed from a reduced component set: "), n("components_scored"), F.lit(" of "), n("_expected"), F.lit(" components (missing: "), F.array_join("missing_components", ", "), F.lit("); weights renormalized over the components scored. "))
+    none = F.size("components_scored") == 0
+    return rows.select(
+        key, F.when(~none, F.rint(F.col("_summed") / F.nullif(F.col("_total"), F.lit(0.0))) / 100).alias("composite"),
+        F.when(none, "failed").when(F.when(F.col("newer"), fine(WEIGHTS)).otherwise(fine(LEGACY_WEIGHTS)), "complete").otherwise("partial").alias("status"),
+        *WEIGHTS, *[F.col(f"{c}_status") for c in WEIGHTS],
+        *[F.when(F.col(c).isNotNull(), half_even(weight[c] / F.nullif(F.col("_total"), F.lit(0.0)), 4)).alias(f"{c}_weight") for c in WEIGHTS],
+        "components_scored", "missing_components", few.alias("reduced"), F.when(few & ~none, reduced).otherwise("").alias("reduced_note"),
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Final states, and how good a stored result is.
-FINAL = ("complete", "partial", "failed", "cancelled")
+# States that a job ends in, and how good a stored result is.
+FINAL = ("completed", "partial", "failed")
 STATUS_RANK = {"complete": 2, "partial": 1}
 
 

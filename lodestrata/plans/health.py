@@ -36,6 +36,60 @@ def health_composite(spark, d):
     return health.composite(_scores(spark, d)).select("run_id", F.round(F.col("composite") + 1e-11, 8).alias("composite"), F.round("weight_total", 8).alias("weight_total"))
 
 
+#: Analyzer blocks of a run and their results: each order has a block for most components, each line item is a result of one.
+_PARTS = ("complexity", "maintainability", "security", "sast", "secrets", "vulnerabilities", "lizard")
+_STATE = "case (run_id * 7 + repo_id * 3 + k * 5) % 11 when 0 then 'failed' when 1 then 'unavailable' when 2 then 'unsupported' when 3 then 'partial' else 'success' end"
+_HAS = "((run_id + k) % 9 <> 0 and (k < 3 or k = 6 or version <> '5-LOW'))"
+_RANK = "case l_suppkey % 8 when 0 then null when 1 then 'A' when 2 then 'B' when 3 then 'C' when 4 then 'D' when 5 then 'E' when 6 then 'F' else 'Z' end"
+_SEVERITY = "case l_suppkey % 7 when 0 then 'high' when 1 then 'Medium' when 2 then 'LOW' when 3 then 'error' when 4 then 'Warning' when 5 then null else 'odd' end"
+
+
+def _blocks(spark, d):
+    runs = V.runs(spark, d).select("run_id", "repo_id", "version", F.posexplode(F.array(*map(F.lit, _PARTS))).alias("k", "component"))
+    blocks = runs.filter(_HAS).select("run_id", "component", F.expr(_STATE).alias("status"))
+    part = F.get(F.array(*map(F.lit, _PARTS)), F.col("l_linenumber") % 7)
+    results = V.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), part.alias("component"), F.expr(_RANK).alias("rank"), F.col("l_quantity").cast("int").alias("cc"), (F.col("l_extendedprice") / 900 - 5).alias("mi"), F.expr(_SEVERITY).alias("severity"),
+    )
+    return blocks, results
+
+
+_SIX, _THREE = _PARTS[:6], _PARTS[:3]
+_GOOD = "in ('success', 'partial')"
+_DOCUMENT = f"""{sql("runs")},
+  b as (select run_id, component, {_STATE} as status from (select run_id, repo_id, version, unnest(range(7))::int as k, unnest({list(_PARTS)!r}) as component from runs) where {_HAS}),
+  r as (select l_orderkey as run_id, {list(_PARTS)!r}[1 + l_linenumber % 7] as component, {_RANK} as rank, l_quantity::int as cc, l_extendedprice / 900 - 5 as mi, upper({_SEVERITY}) as severity from lineitem),
+  s as (select run_id, bool_or(component in ('sast', 'secrets', 'vulnerabilities')) as newer, {", ".join(f"coalesce(max(status) filter (where component = '{c}'), 'unavailable') as s_{c}" for c in _PARTS)} from b group by run_id),
+  f as (select run_id,
+    avg(case coalesce(rank, 'C') when 'A' then 100 when 'B' then 85 when 'C' then 70 when 'D' then 50 when 'E' then 30 when 'F' then 10 else 50 end) filter (where component = 'complexity') as complexity,
+    avg(case when cc <= 5 then 100 when cc <= 10 then 85 when cc <= 20 then 70 when cc <= 30 then 50 when cc <= 40 then 30 else 10 end) filter (where component = 'lizard') as lizard,
+    avg(least(100, greatest(0, mi))) filter (where component = 'maintainability') as maintainability,
+    sum(case severity when 'HIGH' then 15 when 'MEDIUM' then 7 else 2 end) filter (where component = 'security') as security,
+    sum(case coalesce(severity, 'INFO') when 'HIGH' then 15 when 'ERROR' then 15 when 'WARNING' then 7 when 'MEDIUM' then 7 when 'INFO' then 2 when 'LOW' then 2 else 5 end) filter (where component = 'sast') as sast,
+    25 * count(*) filter (where component = 'secrets') as secrets, 20 * count(*) filter (where component = 'vulnerabilities') as vulnerabilities from r group by run_id),
+  c as (select run_id, newer, not s_complexity {_GOOD} and s_lizard {_GOOD} as stands_in,
+    case when stands_in then s_lizard else s_complexity end as x_complexity, {", ".join(f"s_{c} as x_{c}" for c in _SIX[1:])},
+    round_even(case when stands_in then coalesce(lizard, 100) when s_complexity {_GOOD} then coalesce(complexity, 100) end, 2) as complexity,
+    round_even(case when s_maintainability {_GOOD} then coalesce(maintainability, 100) end, 2) as maintainability,
+    case when s_security {_GOOD} then greatest(0, 100 - coalesce(security, 0))::double end as security,
+    {", ".join(f"case when newer and s_{c} {_GOOD} then greatest(0, 100 - coalesce({c}, 0))::double end as {c}" for c in _SIX[3:])}
+    from s left join f using (run_id)),
+  w as (select *, {", ".join(f"case when {c} is not null then case when newer then {round(100 * _W[c])} else {dict(complexity=35, maintainability=35, security=30).get(c, 0)} end end::double as w_{c}" for c in _SIX)} from c),
+  t as (select *, {" + ".join(f"coalesce(w_{c}, 0)" for c in _SIX)} as total, {" + ".join(f"coalesce(round({c} * 100) * w_{c}, 0)" for c in _SIX)} as summed,
+    list_filter([{", ".join(f"case when {c} is not null then '{c}' end" for c in _SIX)}], lambda x: x is not null) as scored from w)
+  select run_id, round_even(summed / nullif(total, 0), 0) / 100 as composite,
+    case when len(scored) = 0 then 'failed' when {" and ".join(f"x_{c} = 'success'" for c in _THREE)} and (not newer or {" and ".join(f"x_{c} = 'success'" for c in _SIX[3:])}) then 'complete' else 'partial' end as status,
+    {", ".join(_SIX)}, {", ".join(f"round_even(w_{c} / total, 4) as {c}_weight" for c in _SIX)},
+    array_to_string(scored, ',') as components_scored, len(scored) < case when newer then 6 else 3 end as reduced from t"""
+
+
+@query("health_document", _DOCUMENT)
+def health_document(spark, d):
+    """Scores by status of analyzers and by their results, with fallbacks, weights by presence and what is disclosed."""
+    rows = health.score_document(*_blocks(spark, d))
+    return rows.select("run_id", "composite", "status", *_SIX, *[f"{c}_weight" for c in _SIX], F.array_join("components_scored", ",").alias("components_scored"), "reduced")
+
+
 _LONG = "long_ as (" + " union all ".join(f"select run_id, {k} as position, '{c}' as component, {c} as score, {w}::double as weight from gone where {c} is not null" for k, (c, w) in enumerate(_W.items())) + ")"
 
 

@@ -35,26 +35,38 @@ def parse_package_json(files: DataFrame) -> DataFrame:
 
 
 def parse_pyproject(files: DataFrame) -> DataFrame:
-    """(file_path, text) -> package, version, ecosystem, manifest_file; broken files give no rows."""
+    """(file_path, text) -> package, version, ecosystem, manifest_file, error. A file that can't be read, or a table of dependencies
+    that isn't one, gives a row with its error and no package."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
         import tomllib
 
+        def within(doc: dict, *names: str) -> dict:
+            for name in names:
+                doc = doc.get(name) if isinstance(doc, dict) else None
+            return doc if isinstance(doc, dict) else {}
+
         for pdf in batches:
             rows = []
             for path, text in zip(pdf["file_path"], pdf["text"], strict=True):
+                broken = lambda what, path=path: rows.append((None, None, "PyPI", path, what))
                 try:
-                    doc = tomllib.loads(text)
-                except (tomllib.TOMLDecodeError, TypeError):
+                    doc = tomllib.loads(text or "text = {")  # a missing text is unreadable
+                except (tomllib.TOMLDecodeError, TypeError) as e:
+                    broken(f"unreadable: {e}")
                     continue
-                for spec in doc.get("project", {}).get("dependencies", []):
-                    if m := re.match(r"\s*([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*(?:==\s*([^\s;,]+))?", spec):
-                        rows.append((m[1], m[2], "PyPI", path))
-                for name, spec in doc.get("tool", {}).get("poetry", {}).get("dependencies", {}).items():
+                specs = within(doc, "project").get("dependencies", [])
+                if not isinstance(specs, list):
+                    broken("project.dependencies is no list")
+                    specs = []
+                for spec in specs:
+                    if m := isinstance(spec, str) and re.match(r"\s*([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*(?:==\s*([^\s;,]+))?", spec):
+                        rows.append((m[1], m[2], "PyPI", path, None))
+                for name, spec in within(doc, "tool", "poetry", "dependencies").items():
                     version = spec.get("version") if isinstance(spec, dict) else spec
                     if name.lower() != "python":
-                        rows.append((name, version.lstrip("^~=>") if isinstance(version, str) else None, "PyPI", path))
-            yield pd.DataFrame(rows, columns=["package", "version", "ecosystem", "manifest_file"])
+                        rows.append((name, version.lstrip("^~=>") if isinstance(version, str) else None, "PyPI", path, None))
+            yield pd.DataFrame(rows, columns=["package", "version", "ecosystem", "manifest_file", "error"])
 
-    return files.select("file_path", "text").mapInPandas(run, "package string, version string, ecosystem string, manifest_file string").dropDuplicates()
+    return files.select("file_path", "text").mapInPandas(run, "package string, version string, ecosystem string, manifest_file string, error string").dropDuplicates()

@@ -1,12 +1,14 @@
 """Golden rows of single operators."""
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions.urls import is_sha, normal_url, rejection
-from lodestrata.operators import chunking, evaluation, graph, health, paging, retrieval
+from lodestrata.operators import chunking, evaluation, graph, health, jobs, paging, retrieval
 from lodestrata.sources.manifests import parse_package_json, parse_pyproject, parse_requirements
 from lodestrata.streaming.rate_limit import admit, take
 
@@ -32,6 +34,13 @@ def test_entities_overlap_and_gaps_are_covered(spark):
     assert sorted((r["start_line"], r["end_line"]) for r in rows if not r["name"]) == [(1, 1), (7, 8), (10, 12)]
 
 
+def test_spans_end_with_the_file(spark):
+    files = spark.createDataFrame([("a", "1\n2\n3"), ("b", None), ("c", "1")], "file_path string, text string")
+    spans = [("a", 2, 9, "f"), ("a", 7, 9, "g"), ("a", -3, 1, "h"), ("a", 3, 2, "i"), ("c", 5, 6, "j"), ("b", 1, 2, "k")]
+    rows = chunking.entity_chunks(files, spark.createDataFrame(spans, "file_path string, start_line int, end_line int, name string")).collect()
+    assert sorted((r["file_path"], r["start_line"], r["end_line"], r["name"] or "", r["chunk_text"]) for r in rows) == [("a", 1, 1, "h", "1"), ("a", 2, 3, "f", "2\n3"), ("c", 1, 1, "", "1")]
+
+
 def test_text_functions(spark):
     r = _one(
         spark,
@@ -160,7 +169,10 @@ def test_manifests(spark):
     js = spark.createDataFrame([("p.json", '{"dependencies": {"x": "^1.0"}, "devDependencies": {"y": "~2"}}'), ("q.json", "broken")], "file_path string, text string")
     assert sorted((r["package"], r["version"]) for r in parse_package_json(js).collect()) == [("x", "1.0"), ("y", "2")]
     toml = spark.createDataFrame([("pyproject.toml", '[project]\ndependencies = ["m==3", "n>1"]\n[tool.poetry.dependencies]\npython = "3"\no = {version = "^4"}'), ("bad.toml", "=")], "file_path string, text string")
-    assert sorted((r["package"], r["version"]) for r in parse_pyproject(toml).collect()) == [("m", "3"), ("n", None), ("o", "4")]
+    toml = toml.unionByName(spark.createDataFrame([("odd.toml", "[project]\ndependencies = 3\n[tool]\npoetry = 4"), ("list.toml", "[project]\ndependencies = [1, 'p==2']"), ("none.toml", None)], toml.schema))
+    rows = parse_pyproject(toml).collect()
+    assert sorted((r["package"], r["version"]) for r in rows if r["package"]) == [("m", "3"), ("n", None), ("o", "4"), ("p", "2")]
+    assert sorted(r["manifest_file"] for r in rows if r["error"]) == ["bad.toml", "none.toml", "odd.toml"]
 
 
 def test_token_bucket(spark):
@@ -169,3 +181,58 @@ def test_token_bucket(spark):
     frame = spark.createDataFrame(data, "request_id long, key string, at double")
     got = {r["request_id"]: (r["allowed"], r["retry_after"]) for r in admit(frame, 2).collect()}
     assert [got[k][0] for k in range(8)] == [True, True, True, True, False, False, True, True]
+
+
+def test_a_finished_job_is_not_reaped(spark):
+    jobs_ = spark.createDataFrame([(1, "completed", 1, 1), (2, "partial", 1, 1), (3, "parsing", 1, 9), (4, "failed", 1, 1), (5, "queued", 9, 9)], "job_id int, status string, updated_at int, created_at int")
+    assert [tuple(r) for r in jobs.reap(jobs_, F.lit(5)).collect()] == [(3, "parsing", "failed", "stale while parsing")]
+
+
+def _plain_score(blocks, results):
+    """The score of one run by hand: blocks {component: status}, results [(component, rank, cc, mi, severity)]."""
+    good = ("success", "partial")
+    newer = bool({"sast", "secrets", "vulnerabilities"} & set(blocks))
+    own = lambda c: [r for r in results if r[0] == c]
+    mean = lambda xs: round(sum(xs) / len(xs), 2) if xs else 100.0
+    bands = lambda cc: next((p for most, p in ((5, 100), (10, 85), (20, 70), (30, 50), (40, 30)) if cc <= most), 10)
+    cost = {
+        "security": lambda r: {"HIGH": 15, "MEDIUM": 7, "LOW": 2}.get((r[4] or "").upper(), 2),
+        "sast": lambda r: {"HIGH": 15, "ERROR": 15, "WARNING": 7, "MEDIUM": 7, "INFO": 2, "LOW": 2}.get((r[4] or "INFO").upper(), 5),
+        "secrets": lambda r: 25,
+        "vulnerabilities": lambda r: 20,
+    }
+    status = {c: blocks.get(c, "unavailable") for c in (health.WEIGHTS if newer else health.LEGACY_WEIGHTS)}
+    subs = {c: max(0.0, 100.0 - sum(cost[c](r) for r in own(c))) if c in cost else None for c in status}
+    subs["maintainability"] = mean([min(100.0, max(0.0, 100.0 if r[3] is None else r[3])) for r in own("maintainability")])
+    subs["complexity"] = mean([{"A": 100, "B": 85, "C": 70, "D": 50, "E": 30, "F": 10}.get(r[1] or "C", 50) for r in own("complexity")])
+    if status["complexity"] not in good and blocks.get("lizard") in good:
+        status["complexity"], subs["complexity"] = blocks["lizard"], mean([bands(r[2] or 1) for r in own("lizard")])
+    subs = {c: v for c, v in subs.items() if status[c] in good}
+    weights = health.WEIGHTS if newer else health.LEGACY_WEIGHTS
+    total = sum(weights[c] for c in subs)
+    state = "failed" if not subs else "complete" if set(status.values()) == {"success"} else "partial"
+    exact = sum(Decimal(str(weights[c])) * Decimal(str(v)) for c, v in subs.items()) / Decimal(str(round(total, 2)) if subs else 1)
+    return float(round(exact, 2)) if subs else None, state, subs, [c for c in status if c not in subs]
+
+
+def test_score_documents_of_random_runs(spark):
+    rng = np.random.default_rng(8)
+    parts, pick = [*health.WEIGHTS, "lizard"], lambda xs: xs[int(rng.integers(len(xs)))]
+    blocks, results = {}, {}
+    for run in range(120):
+        blocks[run] = {c: pick(["success", "success", "success", "partial", "failed", "unsupported", "unavailable"]) for c in parts if rng.random() < 0.85 and (run % 4 or c in (*health.LEGACY_WEIGHTS, "lizard"))}
+        results[run] = [(pick(parts), pick([None, *"ABCDEFZ"]), pick([None, 1, 7, 15, 25, 33, 80]), pick([None, -3.0, 55.25, 120.0]), pick([None, "high", "High", "LOW", "medium", "error", "Warning", "info", "odd"])) for _ in range(int(rng.integers(12)))]
+    blocks[500] = {c: "success" for c in health.WEIGHTS}
+    results[500] = []
+    b = spark.createDataFrame([(run, c, s) for run, x in blocks.items() for c, s in x.items()], "run_id int, component string, status string")
+    r = spark.createDataFrame([(run, *x) for run, xs in results.items() for x in xs], "run_id int, component string, rank string, cc int, mi double, severity string")
+    got = {x["run_id"]: x for x in health.score_document(b, r).collect()}
+    assert set(got) == {run for run, x in blocks.items() if x}
+    for run, row in got.items():
+        composite, state, subs, missing = _plain_score(blocks[run], results[run])
+        assert (row["composite"], row["status"], row["components_scored"], row["missing_components"]) == (composite, state, [c for c in health.WEIGHTS if c in subs], missing), run
+        assert {c: row[c] for c in health.WEIGHTS if row[c] is not None} == subs and row["reduced"] == bool(missing)
+        assert sum(row[f"{c}_weight"] or 0 for c in health.WEIGHTS) == pytest.approx(1.0 if subs else 0.0, abs=3e-4)
+    assert got[500]["composite"] == 100.0 and got[500]["status"] == "complete" and got[500]["reduced_note"] == ""
+    with pytest.raises(Exception, match="unknown status odd"):
+        health.score_document(spark.createDataFrame([(1, "sast", "odd")], b.schema), r).collect()
