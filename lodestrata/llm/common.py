@@ -142,4 +142,25 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     bound_batches(spark)
     df.write.parquet(path := scratch(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes what ``materialize`` has written, once all that reads it is written itself."""
+    for df in written:
+        entry = (df.sparkSession, df.written_to)
+        if entry in _left_over:
+            _left_over.remove(entry)
+            remove(*entry)
+
+
+@contextlib.contextmanager
+def only_result(spark: SparkSession):
+    """Removes what was written inside, but for the frames that the block adds to the list it is given."""
+    mark, kept_ = len(_left_over), []
+    yield kept_
+    for entry in [e for e in _left_over[mark:] if e[1] not in {df.written_to for df in kept_}]:
+        _left_over.remove(entry)
+        remove(*entry)

@@ -22,9 +22,9 @@ From signatures to components, without all pairs of a group and without losing a
 3. Verified links give components. A group whose classes are in one component is done, and that is what becomes of groups of near copies.
 4. Groups that still span components are gathered by their first class, in blocks of bounded size: classes outside the main component
    of a lead meet all others, those inside meet only the ones outside. Sizes and parity sketches (a sketch keeps the parity of the number
-   of shingles in each of its cells, two cells a shingle; sets that differ in d shingles differ in at most d cells) leave the
-   classes for which some pair across components is open. Only these get their whole sets, and are compared where
-   they are; what leaves a task is a link where it joins two components, never the pairs.
+   of shingles in each of its cells, two cells a shingle; sets that differ in d shingles differ in at most d cells) are sent to ``TOGETHER``
+   blocks at a time and leave the pairs of blocks in which some pair across components is open. Only classes of open pairs get their whole
+   sets, for those pairs of blocks, and are compared where they are; what leaves a task is a link where it joins two components, never the pairs.
 
 Sets are compared as sets of 64-bit hashes of shingles, all of them.
 
@@ -46,13 +46,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WordIndex, few, materialize, rows_for, words
+from lodestrata.llm.common import WordIndex, discard, few, materialize, rows_for, words
 from lodestrata.llm.graph import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SKETCH = 4  # words of 64 bits
 #: Shingles of a lead's classes that a block of pairs takes from each side, about; a class counts for ``LEAST_COST`` at least.
 BLOCK, LEAST_COST = 1_000_000, 500
+#: Blocks whose sketches a task compares with those of as many others; a sketch has a thirtieth of a set's bytes, about.
+TOGETHER = 8
 #: Open pairs of a class that are verified before its component is looked at again.
 TURN = 256
 
@@ -316,18 +318,24 @@ def _open_pairs(label: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], side
 
 
 def _open(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(lead, block_a, block_b, side, class, component, n, sketch) -> those, without the last two, for which some pair is open."""
+    """(lead, block_a, block_b, side, class, component, n, block, sketch), of pairs of several blocks -> lead, block_a, block_b (single blocks),
+    side, class and component of the classes that have an open pair with a class of the other block."""
 
     def one(table: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
         sketch = [np.frombuffer(x, "<u8") for x in table["sketch"].to_pylist()]
-        side, label, n = (table[c].to_numpy() for c in ("side", "component", "n"))
-        hit = np.zeros(len(n), dtype=bool)
+        side, label, n, block = (table[c].to_numpy() for c in ("side", "component", "n", "block"))
+        own, place = np.unique(block, return_inverse=True)
+        hit = np.zeros((len(n), len(own)), dtype=bool)  # of each class, the blocks in which it has an open pair
         for x, ys in _open_pairs(label, n, sketch, side, same, rule):
-            hit[x] = hit[ys] = True
-        if hit.any():
-            yield from table.select([*_KEY, "side", "class", "component"]).filter(pa.array(hit)).to_batches()
+            hit[x, place[ys]] = True
+            hit[ys, place[x]] = True
+        at, other = np.nonzero(hit)
+        if len(at):
+            mine, theirs, names = block[at], own[other], table["class"].to_numpy()
+            out = [np.full(len(at), table["lead"][0].as_py()), np.minimum(mine, theirs), np.maximum(mine, theirs), (mine > theirs).astype(np.int32), names[at], label[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*_KEY, "side", "class", "component"])
 
-    return _by_block(rows, ["side", "class", "component", "n", "sketch"], one, "lead long, block_a int, block_b int, side int, class long, component long")
+    return _by_block(rows, ["side", "class", "component", "n", "block", "sketch"], one, "lead long, block_a int, block_b int, side int, class long, component long")
 
 
 def forest(label: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, rule: Rule) -> list[tuple[int, int]]:
@@ -355,10 +363,11 @@ def forest(label: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bo
 
 
 def _linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, n: int, rule: Rule) -> DataFrame:
-    """(lead, block_a, block_b, side, class, component), which is written -> links (a, b) of classes that join components."""
+    """(lead, block_a, block_b, side, class, component), which is written -> links (a, b) of classes that join components, written."""
     spark = docs.sparkSession
     ids = classes.select("class", "first_id", "first_key").join(rows.select("class").distinct(), "class", "left_semi")
-    sets = materialize(spark, _sets_of(docs, materialize(spark, ids, "jaccard-ids"), n), "jaccard-sets")
+    ids = materialize(spark, ids, "jaccard-ids")
+    sets = materialize(spark, _sets_of(docs, ids, n), "jaccard-sets")
 
     def one(table: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
         table = table.take(pa.array(np.unique(table["class"].to_numpy(), return_index=True)[1]))
@@ -369,7 +378,9 @@ def _linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, n: int, rule:
             a, b = names[np.array(links)].T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _by_block(sets.join(few(rows), "class"), ["side", "class", "component", "shingles"], one, "a long, b long")
+    links = materialize(spark, _by_block(sets.join(few(rows), "class"), ["side", "class", "component", "shingles"], one, "a long, b long"), "jaccard-links")
+    discard(ids, sets, rows)
+    return links
 
 
 def _cost():
@@ -396,6 +407,7 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
     spared = F.when(F.expr("sig & 2 = 0"), F.element_at("spare", (F.expr("sig & 1") + 1).cast("int"))).otherwise(0)
     groups = groups.withColumn("turn", F.row_number().over(dear)).filter(F.col("turn") > spared)
     groups = materialize(spark, groups.select("sig", "lead", "class"), "jaccard-groups")
+    discard(met)
 
     # one pair for each class: with the lead it shares most groups with, of those that sizes and sketches allow
     a, b = (classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", *_SKETCHES)]) for x in "ab")
@@ -410,15 +422,17 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
     )
     leads = dealt.select("lead", "block_a", "block_b", F.lit(0).alias("side"), F.col("lead").alias("class")).distinct()
     dealt = materialize(spark, dealt.unionByName(leads).withColumn("component", F.col("class")), "jaccard-dealt")
-    links = materialize(spark, _linked(dealt, classes, docs, n, rule), "jaccard-links")
+    links = _linked(dealt, classes, docs, n, rule)
     known = materialize(spark, components(links), "jaccard-known")
+    discard(stars, links)
 
     # groups that still span components, gathered by their lead: a pair of near copies shares many groups, but few leads
     of = classes.select("class", "n", "first_id").join(known.withColumnRenamed("node", "class"), "class", "left")
     of = materialize(spark, of.select("class", F.coalesce("component", "class").alias("component"), "n", "first_id"), "jaccard-components")
     placed = groups.join(of.select("class", "component", "n"), "class")
     spans = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("sig")
-    left = materialize(spark, placed.join(spans, "sig", "left_semi").select("lead", "class", "component", "n").distinct(), "jaccard-open")
+    left = open_ = materialize(spark, placed.join(spans, "sig", "left_semi").select("lead", "class", "component", "n").distinct(), "jaccard-open")
+    discard(groups)
     parts = left.groupBy("lead", "component").agg(F.sum(_cost()).alias("cost"))
     big = parts.groupBy("lead").agg(F.sum("cost").alias("cost"), F.max(F.struct("cost", "component")).alias("main")).filter(F.col("cost") > BLOCK)
     big = big.select("lead", F.col("main.component").alias("main"), F.ceil((F.col("cost") - F.col("main.cost")) / BLOCK).cast("int").alias("outside"), F.ceil(F.col("main.cost") / BLOCK).cast("int").alias("inside"))
@@ -427,13 +441,16 @@ def join(docs: DataFrame, n: int = 4, rule: Rule | None = None) -> DataFrame:
     left = left.withColumn("inner", F.coalesce(F.col("component") == F.col("main"), F.lit(False))).withColumn(
         "block", (F.pmod(F.xxhash64("class"), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside"))) + F.when(F.col("inner"), F.col("outside")).otherwise(0)).cast("int")
     )
-    meets = F.sequence(F.lit(0), F.when(F.col("inner"), F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
-    spread = left.join(classes.select("class", "sketch"), "class").select("*", F.explode(meets).alias("other")).select(
-        "lead", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "component", "n", "sketch",
+    # blocks go together in eights, those outside the main component by themselves
+    eights = lambda c: F.ceil(c / TOGETHER).cast("int")
+    of_eight = F.when(F.col("inner"), eights(F.col("outside")) + F.floor((F.col("block") - F.col("outside")) / TOGETHER)).otherwise(F.floor(F.col("block") / TOGETHER)).cast("int")
+    meets = F.sequence(F.lit(0), eights(F.col("outside")) + F.when(F.col("inner"), 0).otherwise(eights(F.col("inside"))) - 1)
+    spread = left.withColumn("eight", of_eight).join(classes.select("class", "sketch"), "class").select("*", F.explode(meets).alias("other")).select(
+        "lead", F.least("eight", "other").alias("block_a"), F.greatest("eight", "other").alias("block_b"),
+        (F.col("eight") > F.col("other")).cast("int").alias("side"), "class", "component", "n", "block", "sketch",
     )
-    unsure = materialize(spark, _open(spread, rule), "jaccard-unsure")
-    more = materialize(spark, _linked(unsure, classes, docs, n, rule), "jaccard-more")
+    more = _linked(materialize(spark, _open(spread, rule), "jaccard-unsure"), classes, docs, n, rule)
+    discard(open_)
     # the new links join components, so only those are walked again
     name = of.select("class", "component")
     between = more.join(name.select(F.col("class").alias("a"), F.col("component").alias("ca")), "a").join(name.select(F.col("class").alias("b"), F.col("component").alias("cb")), "b")

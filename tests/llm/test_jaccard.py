@@ -91,8 +91,9 @@ def test_families_below_the_threshold(spark, monkeypatch):
     want = _brute(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert 5 < len({c for *_, c in want}) < 85
-    for block in (jaccard.BLOCK, 7 * jaccard.LEAST_COST):
+    for block, together in ((jaccard.BLOCK, 8), (7 * jaccard.LEAST_COST, 8), (7 * jaccard.LEAST_COST, 2)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "TOGETHER", together)
         monkeypatch.setattr(jaccard, "TURN", 4)
         assert sorted(map(tuple, jaccard.join(docs).select("doc_id", "n_shingles", "component_id").collect())) == want
 
