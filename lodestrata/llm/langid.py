@@ -41,9 +41,14 @@ ROUNDS = 3
 PSEUDO_COUNT = 0.05
 #: Characters whose places are in memory at once.
 BLOCK = 1 << 16
+#: Letters, and numbers that are no digits (of other scripts, fractions, superscripts), which are told apart by ``str.isalpha``.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _words(text: str) -> list[str]:
     return text.lower().split()
 
@@ -215,11 +220,9 @@ def train(docs: DataFrame, path: str | None = None, per_language: int = DOCS_PER
     """
     path = path or default_path(VOCABULARY)
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return [], np.zeros((0, 0))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sizes.items()])
-    sample = labelled.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) < share * 1_000_000)
+    labelled = labelled.select("lang", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)).alias("draw"))
+    sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    sample = labelled.join(sizes, "lang").filter(F.col("draw") < F.col("share") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +278,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None
                 part = batch.slice(at, 1024)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if langs else []
+                known = [i for i, t in enumerate(texts) if has_letter(t)] if langs else []
                 if known:
                     ll = scorer.score([texts[i] for i in known])
                     best = ll.argmax(axis=1)

@@ -164,6 +164,14 @@ def test_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_numbers_of_any_script_are_no_letters(spark):
+    texts = ["² ½ Ⅷ", "①②", "٣ 三 x"[:2], "೬", "_ _", "Ⅷ a", "三", "ª", "\u0301"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(["the and of that"] * 9)], "doc_id long, text string")
+    langs, p = langid.train(docs.selectExpr("*", "'en' as lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langs, p).collect()}
+    assert [got[k] == ("und", 0.0) for k in range(len(texts))] == [True, True, True, True, True, False, False, False, True]
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     langs, p = langid.train(docs)
