@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import jaccard, langid, mixing, packing, quality
-from lodestrata.llm.common import bound_batches, few, materialize, table
+from lodestrata.llm.common import bound_batches, discard, few, materialize, only_result, table
 
 #: Below this probability of its best language a text is in none of them.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -100,5 +100,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with only_result(spark) as result:
+            before, docs = docs, materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+            result.append(docs)
+        if hasattr(before, "written_to"):  # the next stage has read it
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
