@@ -2,4 +2,4 @@
 
 from lodestrata.plans import REGISTRY
 
-from lodestrata.plans import chunks, graph, health, labels, records, retrieval, states  # noqa: F401
+from lodestrata.plans import chunks, graph, health, labels, records, retrieval, states, store  # noqa: F401
