@@ -3,7 +3,11 @@
 Tables: files (file, ord), functions (id, file, name, class_owner, ord), classes (id, file, name, bases, ord),
 imports (file, imported, alias, ord), calls (call_id, caller, raw). ``ord`` is the order of parsing; where a name stands for
 several things, the first or the last by it counts, as each rung says. Paths are normal already. Every rung of a ladder is a
-count of matches and the first of them, joined by key; one ``when`` picks the first rung that decides.
+count of matches and the first and last of them, joined by key; one ``when`` picks the first rung that decides.
+
+A call's answer depends on its file, the class that holds it, what it says and, only where it bears its caller's name, on the caller. Each
+such question is answered once, and calls are joined with the answers. Tables of definitions are broadcast where they are counted
+to be small, and shuffled by key where not.
 
 Defined results: names that nothing bears are targets of their own kind (``class_target::``, ``unresolved_call::``); null aliases
 and owners mean none; empty tables give no edges; a repeated class or function counts as often as it comes.
@@ -16,9 +20,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.graph import CERTAIN, FLAGGED, HIGH, LOW, base_class_ladder, checkpoint_dir, import_candidates
 
-EDGE = ("source", "target", "relation", "confidence")
-
-
 def stripped(name: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(name, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
@@ -28,13 +29,14 @@ def last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+#: A table of definitions is broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
+
+
 def _counted(rows: DataFrame, keys: list[str], prefix: str, value: str = "id") -> DataFrame:
-    """How many rows bear a key, and the first two of them."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct("ord", value))), 1, 2)
-    two = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", value))).filter("_k <= 2")
-    counts = rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"))
-    firsts = two.groupBy(*keys).agg(first.alias("_f"))
-    return counts.join(firsts, keys).select(*keys, f"{prefix}_n", F.get("_f", F.lit(0))[value].alias(f"{prefix}_id"), F.get("_f", F.lit(1))[value].alias(f"{prefix}_2"))
+    """How many rows bear a key, and the first and the last of them."""
+    pair = F.struct("ord", value)
+    return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.min(pair)[value].alias(f"{prefix}_id"), F.max(pair)[value].alias(f"{prefix}_2"))
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -98,43 +100,48 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     that x is bound to, else the method of the only class x. ``f``: the function that an import of f means, that of the first module the
     file depends on, the only other one in the file unless its name is also imported. All but ``new`` end with the only other function of the name.
     """
+    small = max(t.count() for t in (functions, classes, imports, files)) <= BROADCAST_ROWS
+    near_by = F.broadcast if small else lambda df: df  # a table that is broadcast has at most three rows for each of one of these
     depends = dependencies(imports, files)
     bound = bound_imports(imports)
     known = modules(files)
     homes = functions.select(F.col("id").alias("caller"), "file", "class_owner", F.col("name").alias("own_name"))
     raw = stripped(F.col("raw"))
     kind = F.when(F.startswith(raw, F.lit("new ")), "new").when(F.rlike(raw, F.lit(r"^(self|this|super)\.")), "receiver").when(F.contains(raw, F.lit(".")), "qualified").otherwise("bare")
-    rows = calls.join(homes, "caller").withColumn("kind", kind)
+    made = calls.join(near_by(homes), "caller").withColumn("kind", kind)
     subject = F.when(F.col("kind") == "new", last_part(stripped(F.substr(raw, F.lit(5))))).when(F.col("kind") == "bare", raw).otherwise(last_part(raw))
     receiver = F.when(F.col("kind") == "qualified", last_part(F.regexp_extract(raw, r"^(.*)\.[^.]*$", 1)))
-    rows = rows.withColumn("name", subject).withColumn("receiver", receiver).withColumn("bound", F.coalesce("receiver", "name"))
+    made = made.withColumn("name", subject).withColumn("receiver", receiver)
+    asked = ("file", "class_owner", "raw", "self_id")  # the caller counts itself out of its own name
+    made = made.withColumn("self_id", F.when(F.col("own_name") == F.col("name"), F.col("caller")))
+    rows = made.select(*asked, "kind", "name", "receiver").distinct().withColumn("bound", F.coalesce("receiver", "name"))
 
     # the file that the import of the bound name means
-    rows = rows.join(bound, ["file", "bound"], "left")
+    rows = rows.join(near_by(bound), ["file", "bound"], "left")
     module = F.when(F.contains("imported", F.lit(".")), F.regexp_extract("imported", r"^(.*)\.[^.]*$", 1)).otherwise(F.col("imported"))
     rows = rows.withColumn("module", module).withColumn("symbol", last_part(F.col("imported")))
     target = depends.select("file", F.col("imported").alias("key"), F.col("target").alias("to"))
-    rows = rows.join(target.toDF("file", "imported", "d_whole"), ["file", "imported"], "left").join(target.toDF("file", "module", "d_module"), ["file", "module"], "left")
-    rows = rows.join(known.toDF("imported", "m_whole"), "imported", "left").join(known.toDF("module", "m_module"), "module", "left")
+    rows = rows.join(near_by(target.toDF("file", "imported", "d_whole")), ["file", "imported"], "left").join(near_by(target.toDF("file", "module", "d_module")), ["file", "module"], "left")
+    rows = rows.join(near_by(known.toDF("imported", "m_whole")), "imported", "left").join(near_by(known.toDF("module", "m_module")), "module", "left")
     means = F.when(F.col("kind") == "bare", F.coalesce("d_whole", "d_module", "m_module", "m_whole")).otherwise(F.coalesce("d_whole", "m_whole"))
     rows = rows.withColumn("means", means).withColumn("sought", F.when((F.col("kind") == "bare") & F.col("alias").eqNullSafe(F.col("name")), F.col("symbol")).otherwise(F.col("name")))
 
     of_file = _counted(functions, ["file", "name"], "near")
     of_name = _counted(functions, ["name"], "far")
     class_near, class_far = _counted(classes, ["file", "name"], "cn"), _counted(classes, ["name"], "cf")
-    methods = _counted(functions.select("file", F.col("class_owner").alias("owner"), F.col("name").alias("method"), "id", "ord").join(classes.select("file", F.col("name").alias("owner"), F.col("id").alias("class_id")), ["file", "owner"]), ["class_id", "method"], "m")
-    rows = rows.join(of_file.toDF("means", "sought", "im_n", "im_id", "im_2"), ["means", "sought"], "left")
-    rows = rows.join(of_file.toDF("means", "symbol", "is_n", "is_id", "is_2"), ["means", "symbol"], "left")
-    rows = rows.join(class_near.toDF("means", "name", "ic_n", "ic_id", "ic_2"), ["means", "name"], "left")
-    rows = rows.join(class_near, ["file", "name"], "left").join(class_far, "name", "left")
-    rows = rows.join(of_file, ["file", "name"], "left").join(of_name, "name", "left")
+    methods = _counted(functions.select("file", F.col("class_owner").alias("owner"), F.col("name").alias("method"), "id", "ord").join(near_by(classes.select("file", F.col("name").alias("owner"), F.col("id").alias("class_id"))), ["file", "owner"]), ["class_id", "method"], "m")
+    rows = rows.join(near_by(of_file.toDF("means", "sought", "im_n", "im_id", "im_2")), ["means", "sought"], "left")
+    rows = rows.join(near_by(of_file.toDF("means", "symbol", "is_n", "is_id", "is_2")), ["means", "symbol"], "left")
+    rows = rows.join(near_by(class_near.toDF("means", "name", "ic_n", "ic_id", "ic_2")), ["means", "name"], "left")
+    rows = rows.join(near_by(class_near), ["file", "name"], "left").join(near_by(class_far), "name", "left")
+    rows = rows.join(near_by(of_file), ["file", "name"], "left").join(near_by(of_name), "name", "left")
     # methods of the caller's class and its ancestors, and of the one class that a receiver names
-    rows = rows.join(class_near.toDF("file", "class_owner", "own_n", "own_class", "own_2").drop("own_n", "own_2"), ["file", "class_owner"], "left")
+    rows = rows.join(near_by(class_near.toDF("file", "class_owner", "own_n", "own_class", "own_2").drop("own_n", "own_2")), ["file", "class_owner"], "left")
     rows = rows.join(methods.toDF("own_class", "name", "om_n", "om_id", "om_2"), ["own_class", "name"], "left")
     up = ancestors(inheritance(classes)).join(methods.withColumnRenamed("class_id", "ancestor"), "ancestor")
     up = up.groupBy("class_id", "method").agg(F.min_by(F.struct("m_n", "m_id"), F.struct(F.size("way"), "way")).alias("u"))
     rows = rows.join(up.select(F.col("class_id").alias("own_class"), F.col("method").alias("name"), F.col("u.m_n").alias("um_n"), F.col("u.m_id").alias("um_id")), ["own_class", "name"], "left")
-    rows = rows.join(class_far.toDF("receiver", "rc_n", "rc_id", "rc_2"), "receiver", "left")
+    rows = rows.join(near_by(class_far.toDF("receiver", "rc_n", "rc_id", "rc_2")), "receiver", "left")
     rows = rows.join(methods.toDF("rc_id", "name", "rm_n", "rm_id", "rm_2"), ["rc_id", "name"], "left")
     # the first module, in order of imports, that has one function of the name
     order = imports.select("file", stripped(F.col("imported")).alias("imported"), "ord").groupBy("file", "imported").agg(F.min("ord").alias("ord"))
@@ -143,12 +150,12 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     offered = offered.join(wanted, ["file", "name"]).groupBy("file", "name").agg(F.min_by("offer", "ord").alias("offer"))
     rows = rows.join(offered, ["file", "name"], "left")
     imported_too = bound.join(imports.select("file", F.coalesce("alias", last_part(F.col("imported"))).alias("bound")).distinct(), ["file", "bound"]).select("file", F.col("bound").alias("name"), F.lit(True).alias("imported_too"))
-    rows = rows.join(imported_too, ["file", "name"], "left")
+    rows = rows.join(near_by(imported_too), ["file", "name"], "left")
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    same = (F.col("own_name") == F.col("name")).cast("int")
+    same = F.col("self_id").isNotNull().cast("int")
     rows = rows.withColumn("n1", zero("near_n") - same).withColumn("n2", zero("far_n") - same)
-    other = lambda p: F.when(F.col(f"{p}_id") == F.col("caller"), F.col(f"{p}_2")).otherwise(F.col(f"{p}_id"))
+    other = lambda p: F.when(F.col(f"{p}_id") == F.col("self_id"), F.col(f"{p}_2")).otherwise(F.col(f"{p}_id"))
     flag = lambda what, name: F.concat(F.lit(f"{what}::"), name)
     lost, many = flag("unresolved_call", F.col("raw")), flag("ambiguous_call", F.col("name"))
     several = F.concat(F.col("n2").cast("string"), F.lit("_candidate_definitions"))
@@ -182,22 +189,31 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     for holds, to, confidence, rung in rungs:
         a = F.struct(to.alias("target"), F.lit(confidence).alias("confidence"), (F.lit(rung) if isinstance(rung, str) else rung).alias("rung"))
         answer = F.when(holds, a) if answer is None else answer.when(holds, a)
-    return rows.withColumn("_a", answer).select("call_id", "caller", "raw", "_a.target", "_a.confidence", "_a.rung")
+    answers = rows.select(*[F.col(c).alias(f"_{c}") for c in asked], answer.alias("_a"))
+    told = made.join(answers, [made[c].eqNullSafe(F.col(f"_{c}")) for c in asked])
+    return told.select("call_id", "caller", "raw", "_a.target", "_a.confidence", "_a.rung", *(["line"] if "line" in calls.columns else []))
 
 
 def edges(calls: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
-    """All edges of the graph: contains, imports, inherits, depends_on and calls."""
-    edge = lambda df, source, target, relation, confidence: df.select(F.col(source).alias("source"), target.alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"))
-    sure = F.lit(CERTAIN)
+    """All edges of the graph: contains, imports, inherits, depends_on and calls, each with what it was found by (``provenance``) and, where
+    the record says so, the line it stands on and the alias it binds. Parallel edges stay apart."""
+    no_line, no_alias = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def edge(df: DataFrame, source: str, target: Column, relation: str, confidence: Column, provenance: Column, alias: Column = no_alias) -> DataFrame:
+        line = F.col("line").cast("int") if "line" in df.columns else no_line
+        return df.select(F.col(source).alias("source"), target.alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), provenance.alias("provenance"), line.alias("line"), alias.alias("alias"))
+
+    sure, parsed = F.lit(CERTAIN), F.lit("parse_record")
     owners = _counted(classes, ["file", "name"], "c").select("file", F.col("name").alias("class_owner"), F.col("c_id").alias("parent"))
     held = functions.join(owners, ["file", "class_owner"], "left").withColumn("parent", F.coalesce("parent", "file"))
+    found = F.when(F.col("confidence") == CERTAIN, "import_path").otherwise("module_name")
     parts = [
-        edge(classes, "file", F.col("id"), "contains", sure),
-        edge(held, "parent", F.col("id"), "contains", sure),
-        edge(imports, "file", F.concat(F.lit("import::"), "imported"), "imports", sure),
-        edge(inheritance(classes), "class_id", F.col("target"), "inherits", F.col("confidence")),
-        edge(dependencies(imports, files), "file", F.col("target"), "depends_on", F.col("confidence")),
-        edge(resolve_calls(calls, functions, classes, imports, files), "caller", F.col("target"), "calls", F.col("confidence")),
+        edge(classes, "file", F.col("id"), "contains", sure, parsed),
+        edge(held, "parent", F.col("id"), "contains", sure, parsed),
+        edge(imports, "file", F.concat(F.lit("import::"), "imported"), "imports", sure, parsed, F.col("alias")),
+        edge(inheritance(classes), "class_id", F.col("target"), "inherits", F.col("confidence"), F.concat(F.lit("base:"), F.col("base"))),
+        edge(dependencies(imports, files), "file", F.col("target"), "depends_on", F.col("confidence"), found),
+        edge(resolve_calls(calls, functions, classes, imports, files), "caller", F.col("target"), "calls", F.col("confidence"), F.col("rung")),
     ]
     out = parts[0]
     for p in parts[1:]:

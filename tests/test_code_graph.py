@@ -33,110 +33,101 @@ def _repo(functions, classes=(), imports=(), calls=(), files=None):
     }
 
 
+#: The rules of resolution, for each kind of call: the name of a set of candidates, and what follows if it has one, several or no members.
+#: "take" answers with the one, "many" calls it ambiguous, "lost" unresolved, "next" asks the next rule.
+RULES = {
+    "new": [("imported class", "take", "first", "next"), ("class here", "take", "next", "next"), ("class anywhere", "take", "many", "lost")],
+    "receiver": [("own method", "take", "many", "next"), ("inherited method", "take", "next", "next"), ("others anywhere", "take", "many", "lost")],
+    "qualified": [("of the module", "take", "next", "next"), ("of the class", "take", "next", "next"), ("others anywhere", "take", "lost", "lost")],
+    "bare": [("imported", "take", "next", "next"), ("imported by symbol", "take", "next", "next"), ("of a module in use", "take", "next", "next"), ("others here", "unless bound", "many", "next"), ("others anywhere", "take", "many", "lost")],
+}
+
+
+class Plain:
+    """Candidates of a call as comprehensions over the records."""
+
+    def __init__(self, repo):
+        self.files, self.functions, self.classes, self.imports = ([tuple(r) for r in repo[k]] for k in ("files", "functions", "classes", "imports"))
+        stems = [(f, f[: -len(posixpath.splitext(f)[1]) or None]) for f, _ in sorted(self.files, key=lambda r: r[1])]
+        self.module = {name: f for f, stem in stems for name in (stem.replace("/", "."), stem, posixpath.basename(stem))}
+        self.uses = {(f, i): to for f, i in {r[:2] for r in self.imports} if (to := self.file_of(f, i))}
+        self.bound = {(f, n): (i, a) for f, i, a, _ in sorted(self.imports, key=lambda r: r[3]) for n in ((a, i) if a else (i.split(".")[-1],))}
+
+    def file_of(self, file, name):
+        """What an import means: a path that exists, else a module of the name or of what stands before its last dot."""
+        slashed, near = name.replace(".", "/"), posixpath.normpath(posixpath.join(posixpath.dirname(file), name))
+        endings = {"dotted": [".py", ".js", ".ts", ".jsx", ".tsx", ".java", "/index.js", "/index.ts"], "relative": ["", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts"]}
+        paths = [name, *((slashed + e).lstrip("./") for e in endings["dotted"])]
+        paths += [(near + e).lstrip("./") for e in endings["relative"] if name.startswith(("./", "../"))]
+        exists = {f for f, _ in self.files} - {file}
+        by_name = self.module.get(name, self.module.get(name.rpartition(".")[0] or name))
+        return next(filter(exists.__contains__, paths), by_name if by_name != file else None)
+
+    def named(self, name, file=None, owner=None):
+        return [f[0] for f in self.functions if f[2] == name and file in (None, f[1]) and (owner is None or (f[1], f[3]) == owner)]
+
+    def classes_named(self, name, file=None):
+        return [c for c in self.classes if c[2] == name and file in (None, c[1])]
+
+    def methods(self, cls, name):
+        return self.named(name, owner=(cls[1], cls[2]))
+
+    def parents(self, cls):
+        for base in cls[3]:
+            short = base.split(".")[-1]
+            found = self.classes_named(short, cls[1]) or self.classes_named(short)
+            if len(found) == 1:
+                yield found[0]
+
+    def levels(self, cls):
+        """Ancestors, a generation at a time, in the order in which bases name them; each once."""
+        met, now = [], [cls]
+        while now := list(dict.fromkeys(p[0] for c in now for p in self.parents(c) if p[0] not in met)):
+            met += now
+            now = [next(c for c in self.classes if c[0] == k) for k in now]
+            yield from now
+
+    def candidates(self, caller, raw):
+        """name, kind and, for each set of RULES, its members."""
+        _, file, _, owner, _ = next(f for f in self.functions if f[0] == caller)
+        kind = "new" if raw.startswith("new ") else "receiver" if raw.split(".")[0] in ("self", "this", "super") and "." in raw else "qualified" if "." in raw else "bare"
+        name = raw.removeprefix("new ").strip().split(".")[-1]
+        holder = raw.split(".")[-2] if kind == "qualified" else name
+        imported, alias = self.bound.get((file, holder), (None, None))
+        known = imported is not None
+        symbol, head = (imported.split(".")[-1], imported.rpartition(".")[0] or imported) if known else (None, None)
+        whole = self.uses.get((file, imported)) or self.module.get(imported) if known else None
+        of = lambda f, n: self.named(n, f) if f else []
+        home = self.classes_named(owner, file)[:1] if owner else []
+        others = lambda found: [f for f in found if f != caller]
+        sets = {"others anywhere": others(self.named(name)), "others here": others(self.named(name, file))}
+        sets["imported class"] = [c[0] for c in self.classes_named(name, whole)] if whole else []
+        sets["class here"], sets["class anywhere"] = ([c[0] for c in self.classes_named(name, f)] for f in (file, None))
+        sets["own method"] = [m for c in home for m in self.methods(c, name)]
+        sets["inherited method"] = next((m for c in home for a in self.levels(c) if (m := self.methods(a, name))), [])
+        sets["of the module"] = of(whole, name)
+        sets["of the class"] = self.methods(c[0], name) if len(c := self.classes_named(holder)) == 1 else []
+        means = self.uses.get((file, imported)) or self.uses.get((file, head)) or self.module.get(head) or self.module.get(imported) if known else None
+        sets["imported"] = of(means, symbol if alias and alias == raw else name)
+        sets["imported by symbol"] = of(means, symbol) if not sets["imported"] else []
+        offers = [of(self.uses[f, i], name) for f, i, _, _ in sorted(self.imports, key=lambda r: r[3]) if f == file and (f, i) in self.uses]
+        sets["of a module in use"] = next((o for o in offers if len(o) == 1), [])
+        bound_here = any(f == file and (a or i.split(".")[-1]) == name for f, i, a, _ in self.imports)
+        return kind, name, sets, bound_here
+
+    def answer(self, caller, raw):
+        kind, name, sets, bound_here = self.candidates(caller, raw)
+        ambiguous, lost = f"ambiguous_call::{name}", f"unresolved_call::{raw}"
+        for rule, one, several, none in RULES[kind]:
+            found = sets[rule]
+            then = one if len(found) == 1 else several if found else none
+            if then != "next":
+                return {"take": found[:1], "first": found[:1], "many": [ambiguous], "lost": [lost], "unless bound": [ambiguous] if bound_here else found[:1]}[then][0]
+
+
 def _plain(repo):
-    """The same answers by looking everything up call by call."""
-    files = [f for f, _ in repo["files"]]
-    functions, classes, imports = repo["functions"], repo["classes"], repo["imports"]
-    mods = {}
-    for f in files:
-        stem = posixpath.splitext(f)[0]
-        for key in (stem.replace("/", "."), stem, stem.split("/")[-1]):
-            mods[key] = f
-
-    def module_of(file, name):
-        tries = [name] + [(name.replace(".", "/") + e).lstrip("./") for e in (".py", ".js", ".ts", ".jsx", ".tsx", ".java", "/index.js", "/index.ts")]
-        if name.startswith(("./", "../")):
-            base = posixpath.normpath(posixpath.join(posixpath.dirname(file), name))
-            tries += [(base + e).lstrip("./") for e in ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")]
-        for t in tries:
-            if t in files and t != file:
-                return t
-        found = mods.get(name) or mods.get(name.rsplit(".", 1)[0])
-        return found if found != file else None
-
-    depends, bound, names = {}, {}, {}
-    for f, imported, alias, _ in imports:
-        if (to := module_of(f, imported)) is not None:
-            depends.setdefault(f, {})[imported] = to
-        bound[f, alias or imported.split(".")[-1]] = (imported, alias)
-        names.setdefault(f, set()).add(alias or imported.split(".")[-1])
-        if alias:
-            bound[f, imported] = (imported, alias)
-    in_file = lambda f, n: [x[0] for x in functions if x[1] == f and x[2] == n]
-    class_in = lambda f, n: [c[0] for c in classes if c[1] == f and c[2] == n]
-    class_any = lambda n: [c[0] for c in classes if c[2] == n]
-    by_id = {c[0]: c for c in classes}
-    methods = lambda c, n: [x[0] for x in functions if c in by_id and x[1] == by_id[c][1] and x[3] == by_id[c][2] and x[2] == n]
-
-    def parents(c):
-        out = []
-        for b in by_id[c][3] if c in by_id else ():
-            near, far = class_in(by_id[c][1], b.split(".")[-1]), class_any(b.split(".")[-1])
-            pick = near or far
-            out += pick if len(pick) == 1 else []
-        return out
-
-    def answer(caller, raw):
-        _, file, own, owner, _ = next(x for x in functions if x[0] == caller)
-        short = raw.split(".")[-1]
-        elsewhere = [x[0] for x in functions if x[2] == short and x[0] != caller]
-        dep = depends.get(file, {})
-        if raw.startswith("new "):
-            short = raw[4:].strip().split(".")[-1]
-            if (file, short) in bound:
-                imported = bound[file, short][0]
-                hit = class_in(dep.get(imported) or mods.get(imported), short)
-                if hit:
-                    return hit[0]
-            if len(class_in(file, short)) == 1:
-                return class_in(file, short)[0]
-            n = class_any(short)
-            return n[0] if len(n) == 1 else f"ambiguous_call::{short}" if n else f"unresolved_call::{raw}"
-        if raw.startswith(("self.", "this.", "super.")):
-            home = class_in(file, owner)[:1] if owner else []
-            if home:
-                if len(m := methods(home[0], short)) == 1:
-                    return m[0]
-                if m:
-                    return f"ambiguous_call::{short}"
-                line, seen = parents(home[0]), set()
-                while line:
-                    c = line.pop(0)
-                    if c in seen:
-                        continue
-                    seen.add(c)
-                    if m := methods(c, short):
-                        if len(m) == 1:
-                            return m[0]
-                        break
-                    line += parents(c)
-            return elsewhere[0] if len(elsewhere) == 1 else f"ambiguous_call::{short}" if elsewhere else f"unresolved_call::{raw}"
-        if "." in raw:
-            holder = raw.rsplit(".", 1)[0].split(".")[-1]
-            if (file, holder) in bound:
-                imported = bound[file, holder][0]
-                if len(m := in_file(dep.get(imported) or mods.get(imported), short)) == 1:
-                    return m[0]
-            if len(c := class_any(holder)) == 1 and len(m := methods(c[0], short)) == 1:
-                return m[0]
-            return elsewhere[0] if len(elsewhere) == 1 else f"unresolved_call::{raw}"
-        if (file, raw) in bound:
-            imported, alias = bound[file, raw]
-            module, symbol = imported.rsplit(".", 1)[0], imported.split(".")[-1]
-            to = dep.get(imported) or dep.get(module) or mods.get(module) or mods.get(imported)
-            if to:
-                m = in_file(to, symbol if alias and raw == alias else raw) or in_file(to, symbol)
-                if len(m) == 1:
-                    return m[0]
-        for to in dep.values():
-            if len(m := in_file(to, raw)) == 1:
-                return m[0]
-        near = [x for x in in_file(file, raw) if x != caller]
-        if near:
-            return near[0] if len(near) == 1 and raw not in names.get(file, ()) else f"ambiguous_call::{raw}"
-        return elsewhere[0] if len(elsewhere) == 1 else f"ambiguous_call::{raw}" if elsewhere else f"unresolved_call::{raw}"
-
-    return {k: answer(caller, raw) for k, caller, raw in repo["calls"]}
+    records = Plain(repo)
+    return {k: records.answer(caller, raw) for k, caller, raw in repo["calls"]}
 
 
 def _resolved(spark, repo):
@@ -183,7 +174,9 @@ def test_random_repositories(spark, seed):
 def test_edges_and_empty_tables(spark):
     repo = _repo([("a.py", "f", "A"), ("b.py", "g", None)], [("a.py", "A", ["X"])], [("b.py", "a", None)], [(1, "f")])
     f = _frames(spark, repo)
-    got = {tuple(r) for r in code_graph.edges(f["calls"], f["functions"], f["classes"], f["imports"], f["files"]).collect()}
+    rows = code_graph.edges(f["calls"], f["functions"], f["classes"], f["imports"], f["files"]).collect()
+    got = {tuple(r)[:4] for r in rows}
+    assert {r["relation"]: r["provenance"] for r in rows} == {"contains": "parse_record", "imports": "parse_record", "inherits": "base:X", "depends_on": "import_path", "calls": "imported_call"}
     sure = "structural_certain"
     assert got == {
         ("a.py", "a.py::A@0", "contains", sure), ("a.py::A@0", "a.py::A.f#0", "contains", sure), ("b.py", "b.py::g#1", "contains", sure), ("b.py", "import::a", "imports", sure),
@@ -193,6 +186,17 @@ def test_edges_and_empty_tables(spark):
     assert code_graph.edges(none["calls"], none["functions"], none["classes"], none["imports"], none["files"]).count() == 0
 
 
+def test_lines_aliases_and_white_space(spark):
+    repo = _repo([("a.py", "f", "A"), ("a.py", "g", "A"), ("b.py", "h", None)], [("a.py", "A", [])], [("b.py", "a", "x"), ("b.py", "a", "y")], [(0, "\t self.g\n"), (2, " h\t"), (0, "new\tA"), (0, "\xa0new A ")])
+    f = _frames(spark, repo)
+    calls = f["calls"].selectExpr("*", "call_id + 10 as line")
+    rows = code_graph.edges(calls, f["functions"], f["classes"], f["imports"], f["files"]).collect()
+    assert sorted(r["alias"] for r in rows if r["relation"] == "imports") == ["x", "y"]
+    assert {r["line"]: (r["target"], r["provenance"]) for r in rows if r["relation"] == "calls"} == {
+        10: ("a.py::A.g#1", "class_receiver"), 11: ("unresolved_call:: h\t", "no_matching_definition_found"), 12: ("unresolved_call::new\tA", "no_matching_definition_found"), 13: ("a.py::A@0", "constructor_same_file"),
+    }
+
+
 def test_records_of_the_tables_against_the_plain_resolver(spark):
     from lodestrata.plans.records import records
 
