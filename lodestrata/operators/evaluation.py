@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.prefix import running_sum
+
 Z = 1.95996  # fixed value: of the 95 % interval
+KENDALL_PART = 1 << 18
 LEAST_PAIRS, LEAST_RHO, LEAST_TAU = 15, 0.60, 0.80  # fixed values: of the protocol for ratings
 
 
@@ -43,12 +51,16 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, value: str, name: str, group: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged. Ranks come from counts of distinct values, so equal values don't meet in one task."""
+    """Ranks with ties averaged. Ranks come from running sums of counts of distinct values, so equal values don't meet in one
+    task, and neither do all distinct ones or those of one group."""
     group = group or []
     counts = rows.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
-    return rows.join(ranks, [*group, value])
+    summed = running_sum(counts, [*group, value], "_n", "_upto")
+    if group:
+        start = summed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min("_upto").alias("_first"))
+        summed = summed.join(start, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]).withColumn("_upto", F.col("_upto") - F.col("_first"))
+    ranks = summed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*group, value])], (F.col("_upto") + (F.col("_n") + 1) / 2.0).alias(name))
+    return rows.join(ranks, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*group, value])]).select(*rows.columns, name)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -57,21 +69,72 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.coalesce(F.nanvl(F.corr("_rx", "_ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
 
 
-def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b from the table of distinct (x, y) and their counts.
-
-    Pairs are compared between cells of that table, a theta join whose size is the square of the number of distinct
-    values, not of rows; give it rated values, which are few.
+def inversions(order: np.ndarray, weight: np.ndarray) -> int:
+    """The weight of pairs i < j with order[i] > order[j], of distinct whole numbers: digit by digit of their binary places."""
+    place = np.empty(len(order), dtype=np.int64)
+    place[np.argsort(order, kind="stable")] = np.arange(len(order))
+    total = 0
+    for bit in range(max(0, len(order) - 1).bit_length()):
+        # among numbers that agree in their higher digits, in order of i: a 1 before a 0 is an inversion
+        turn = np.argsort(place >> (bit + 1), kind="stable")
+        group, high, w = place[turn] >> (bit + 1), (place[turn] >> bit) & 1, weight[turn]
+        ones = np.cumsum(w * high) - w * high
+        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, dtype=bool)
+        base = np.maximum.accumulate(np.where(first, ones, 0))
+        total += int(((ones - base) * w * (1 - high)).sum())
+    return total
+
+
+def kendall(rows: DataFrame, x: str, y: str, part: int = KENDALL_PART) -> DataFrame:
+    """Kendall's tau-b of raw values, without pairs.
+
+    Distinct (x, y) are numbered in the order of (x, y) and in that of (y, x), by distributed running sums; a discordant pair is an
+    inversion of the two numbers. Numbers are cut into parts of ``part``: inversions inside a part of the first order are counted in one
+    task, those between parts inside a part of the second order in another, and those that differ in both parts follow from the counts of the
+    grid of parts. Null and NaN values take no part. Weights must sum up to less than 3 x 10^9 in a part.
     """
-    cells = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, F.expr("a.x < b.x")).agg(F.sum(F.expr("case when a.y < b.y then a.n * b.n else 0 end")).alias("c"), F.sum(F.expr("case when a.y > b.y then a.n * b.n else 0 end")).alias("d"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2")))
-    total = cells.agg(F.sum("n"))
-    one = pairs.select("c", "d").withColumn("n", F.lit(total.first()[0] or 0)).withColumn("tx", F.lit(float(ties("x").first()[0] or 0))).withColumn("ty", F.lit(float(ties("y").first()[0] or 0)))
-    all_ = F.col("n") * (F.col("n") - 1) / 2
-    scale = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
-    return one.select(F.coalesce("c", F.lit(0)).alias("concordant"), F.coalesce("d", F.lit(0)).alias("discordant"), F.coalesce((F.col("c") - F.col("d")) / F.nullif(scale, F.lit(0.0)), F.lit(0.0)).alias("tau"))
+    number = lambda c: F.col(c).cast("double") if dict(rows.dtypes)[c] in ("float", "double") else F.col(c)
+    cells = rows.groupBy(number(x).alias("x"), number(y).alias("y")).agg(F.count("*").alias("n")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    one = running_sum(running_sum(cells.withColumn("_1", F.lit(1)), ["x", "y"], "_1", "a"), ["y", "x"], "_1", "b").select("x", "y", "n", "a", "b", F.floor(F.col("a") / part).alias("p"), F.floor(F.col("b") / part).alias("q"))
+    one = one.checkpoint()
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        return pd.DataFrame({"d": [inversions(pdf["b"].to_numpy(), pdf["n"].to_numpy())]})
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        own = sum(inversions(g["b"].to_numpy(), g["n"].to_numpy()) for _, g in pdf.groupby("p"))
+        return pd.DataFrame({"d": [inversions(pdf["b"].to_numpy(), pdf["n"].to_numpy()) - own]})
+
+    narrow = one.select("a", "b", "n", "p", "q")
+    counted = narrow.groupBy("p").applyInPandas(inside, "d long").unionByName(narrow.groupBy("q").applyInPandas(between, "d long"))
+    grid = narrow.groupBy("p", "q").agg(F.sum("n").alias("n"))
+    # of a grid's cell: the weight in earlier parts of the first order and later ones of the second
+    after = grid.groupBy("p").agg(F.collect_list(F.struct("q", "n")).alias("row"))
+
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, seen = 0, Counter()
+        for row in pdf.sort_values("p")["row"]:
+            keys = sorted(seen)
+            tail = np.cumsum([seen[k] for k in keys][::-1])[::-1] if keys else np.zeros(0, dtype=np.int64)
+            total += sum(int(tail[k]) * int(c["n"]) for c in row if (k := bisect_right(keys, c["q"])) < len(keys))
+            for c in row:
+                seen[c["q"]] += c["n"]
+        return pd.DataFrame({"d": [total]})
+
+    counted = counted.unionByName(after.groupBy().applyInPandas(cross, "d long"))  # parts squared, not rows
+    big = lambda c: c.cast("decimal(38,0)")
+    pairs = lambda n: F.sum(big(n) * (n - 1) / 2)
+    d = counted.agg(F.coalesce(F.sum(big(F.col("d"))), F.lit(0)).alias("d"))
+    ties = lambda c: one.groupBy(c).agg(F.sum("n").alias("m")).agg(F.coalesce(pairs(F.col("m")), F.lit(0)).alias(f"t{c}"))
+    both = one.agg(F.coalesce(pairs(F.col("n")), F.lit(0)).alias("txy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    row = d.join(F.broadcast(ties("x"))).join(F.broadcast(ties("y"))).join(F.broadcast(both))  # one row each
+    whole = big(F.col("n")) * (F.col("n") - 1) / 2
+    row = row.withColumn("all_", whole).withColumn("c", F.col("all_") - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d"))
+    scale = F.sqrt((F.col("all_") - F.col("tx")).cast("double")) * F.sqrt((F.col("all_") - F.col("ty")).cast("double"))
+    tau = (F.col("c") - F.col("d")).cast("double") / F.nullif(scale, F.lit(0.0))
+    return row.select(F.col("c").cast("long").alias("concordant"), F.col("d").cast("long").alias("discordant"), F.coalesce(tau, F.lit(0.0)).alias("tau"))
 
 
 def exclusive_quantile(values: Column, q: float) -> Column:

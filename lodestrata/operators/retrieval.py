@@ -105,6 +105,22 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | No
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text, ...) joined with the (part, ...) that it contains.
+
+    A part's inner words, those with a blank on either side of them, are words of any text that contains it. Texts and parts are joined by
+    the longest of them and verified. A part of fewer than three words has no inner word: only such parts are looked for in every text.
+    Nulls meet nothing, an empty part is in every text.
+    """
+    inner = F.filter(F.split("part", " "), lambda w, i: (i > 0) & (w != ""))
+    inner = F.when(F.endswith("part", F.lit(" ")), inner).otherwise(F.slice(inner, 1, F.greatest(F.lit(0), F.size(inner) - 1)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    parts = parts.withColumn("_word", longest)
+    long, short = parts.filter("_word is not null"), parts.filter("_word is null and part is not null").drop("_word")
+    met = texts.select("*", F.explode(F.array_distinct(F.split("text", " "))).alias("_word")).join(long, "_word").filter(F.contains("text", "part")).drop("_word")
+    return met.unionByName(texts.join(short, F.contains("text", "part")))
+
+
 def bm25(documents: DataFrame, queries: DataFrame, terms=T.terms) -> DataFrame:
     """(id, text), (query_id, text) -> (query_id, id, score) of documents that share a term with the query.
 

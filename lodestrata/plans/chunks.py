@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import chunking, intervals, paging
+from lodestrata.operators import chunking, intervals, paging, prefix
 from lodestrata.plans import query
 from lodestrata.sources import views as V
 from lodestrata.sources.views import sql
@@ -86,6 +86,25 @@ def finding_functions(spark, d):
     return intervals.stab(V.findings(spark, d), V.entities(spark, d), "doc_id", bin_lines=100).select("finding_id", "doc_id", "line", "start_line", "name")
 
 
+_ASKED = "event_id as window_id, event_id % (select count(*) from documents) as doc_id, case when event_id % 9 > 0 then user_id % 90 end as start, case when event_id % 7 > 0 then user_id % 90 + event_id % 40 - 3 end as \"end\""
+
+
+@query(
+    "window_overlaps",
+    f"""{sql("entities")}, w as (select {_ASKED} from events)
+    select window_id, doc_id, start_line::int as start_line, end_line::int as end_line, name from w join entities using (doc_id)
+    where (start is null or end_line >= start) and ("end" is null or start_line <= "end") and (start is null or "end" is null or start <= "end")""",
+)
+def window_overlaps(spark, d):
+    """A table of windows, some of them open, joined with the entities that they meet."""
+    docs = V.table(spark, d, "documents").count()
+    windows = V.table(spark, d, "events").select(
+        F.col("event_id").alias("window_id"), (F.col("event_id") % docs).alias("doc_id"), F.when(F.col("event_id") % 9 > 0, F.col("user_id") % 90).alias("start"),
+        F.when(F.col("event_id") % 7 > 0, F.col("user_id") % 90 + F.col("event_id") % 40 - 3).alias("end"),
+    )
+    return intervals.overlaps(windows, V.entities(spark, d), "doc_id").select("window_id", "doc_id", "start_line", "end_line", "name")
+
+
 @query("missing_file_nodes", f"{sql('findings')} select distinct doc_id from findings where doc_id not in (select doc_id from labels)")
 def missing_file_nodes(spark, d):
     return paging.missing(V.findings(spark, d), V.table(spark, d, "labels"), ["doc_id"])
@@ -154,16 +173,10 @@ def test_path_split(spark, d):
     select doc_id, bytes, kept_so_far > 0.6 * (select sum(n_chars) from documents) as evicted from s""",
 )
 def cache_eviction(spark, d):
-    """The newest files that fit a budget stay. Sizes are summed up in groups of ids first, so no task walks all rows."""
-    from pyspark.sql import Window
-
-    rows = V.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes"), F.floor(F.col("doc_id") / 1024).alias("part"))
+    """The newest files that fit a budget stay."""
+    rows = V.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes"), (-F.col("doc_id")).alias("age"))
     budget = 0.6 * (rows.agg(F.sum("bytes")).first()[0] or 0)
-    sums = rows.groupBy("part").agg(F.sum("bytes").alias("n"))
-    newer = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over group sums
-    sums = sums.select("part", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("upto", F.sum("bytes").over(inside)).join(sums, "part").select("doc_id", "bytes", (F.col("upto") + F.col("start") > budget).alias("evicted"))
+    return prefix.within_budget(rows, ["age"], "bytes", F.lit(budget)).select("doc_id", "bytes", (~F.col("kept")).alias("evicted"))
 
 
 _PINS = """case p_partkey % 6 when 0 then concat('==', p_size, '.', p_partkey % 7) when 1 then '>=1.0 ; python_version == "3"' when 2 then '  # pinned later'

@@ -203,17 +203,14 @@ def spearman(spark, d):
 
 @query(
     "kendall",
-    """with r as (select (n_chars // 2000) as x, quality + toxic as y, row_number() over () as i from labels join documents using (doc_id)),
+    """with r as (select n_chars as x, quality + toxic as y, row_number() over () as i from labels join documents using (doc_id)),
     p as (select sign(a.x - b.x) * sign(a.y - b.y) as s, a.x = b.x as tx, a.y = b.y as ty from r a join r b on a.i < b.i)
     select count(*) filter (where s > 0) as concordant, count(*) filter (where s < 0) as discordant,
     round((count(*) filter (where s > 0) - count(*) filter (where s < 0)) / sqrt(count(*) filter (where not tx)::double * count(*) filter (where not ty)), 8) as tau from p""",
 )
 def kendall(spark, d):
     rows = V.table(spark, d, "labels").join(V.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    out = evaluation.kendall(rows.select(F.expr("n_chars div 2000").alias("x"), F.expr("quality + toxic").alias("y")), "x", "y")
-    return out.withColumn("tau", F.round("tau", 8)).withColumns({c: F.col(c).cast("long") for c in ("concordant", "discordant")})
-
-
+    return evaluation.kendall(rows.select(F.col("n_chars").alias("x"), F.expr("quality + toxic").alias("y")), "x", "y").withColumn("tau", F.round("tau", 8))
 
 
 @query("event_windows", "select time_bucket(interval 1 hour, ts) as begin, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")

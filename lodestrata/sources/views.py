@@ -73,12 +73,11 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, doc_id): documents that contain the text of a benchmark item.
+    """(item_id, doc_id): documents that contain the text of a benchmark item."""
+    from lodestrata.operators.retrieval import containing
 
-    Items are a stated query set of fixed size; the texts of all documents are searched for all of them in one pass.
-    """
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("head"))
-    return files(spark, d).join(F.broadcast(items), F.contains("text", "head")).select("item_id", "doc_id")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("part"))
+    return containing(files(spark, d).select("doc_id", "text"), items).select("item_id", "doc_id")
 
 
 CTE = {
