@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WordIndex, crc32_of_id, kept, others, rows_for
+from lodestrata.llm.common import WordIndex, crc32_of_id, few, kept, materialize, others, rows_for
 from lodestrata.llm.tokens import default_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -222,7 +222,7 @@ def train(docs: DataFrame, path: str | None = None, per_language: int = DOCS_PER
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     labelled = labelled.select("lang", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)).alias("draw"))
     sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
-    sample = labelled.join(sizes, "lang").filter(F.col("draw") < F.col("share") * 1_000_000)
+    sample = labelled.join(few(materialize(docs.sparkSession, sizes, "languages")), "lang").filter(F.col("draw") < F.col("share") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
