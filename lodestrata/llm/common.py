@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,21 @@ def kept(key, make):
     """What a Python worker keeps between its tasks: one object, of the operator that ran last. Another key takes its place,
     so a worker that serves one stage after another holds the cache of one of them."""
     if not _kept or _kept[0][0] != key:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            _give_back()
         _kept.append((key, make()))
     return _kept[0][1]
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the machine, where the C library can; else a worker stays as large as its largest stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordIndex:
     """Numbers for words met lately, from 0. ``most_bytes`` bounds what the words take; when they would take more, all are
     forgotten and numbering starts again, so long words are forgotten the sooner."""

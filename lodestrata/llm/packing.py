@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import few, materialize
-from lodestrata.llm.tokens import default_path, encoder
+from lodestrata.llm.tokens import CACHE_BYTES, default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,12 +34,13 @@ TRIPLE_STEP = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, text) -> a row for each piece; with ``keep_ids`` also ``ids``, little-endian unsigned 32-bit."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """(doc_id, text) -> a row for each piece; with ``keep_ids`` also ``ids``, little-endian unsigned 32-bit. A worker keeps two
+    generations of ``cache_bytes`` of words."""
     path = path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
+        enc, end = encoder(path, cache_bytes), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -189,6 +190,6 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(look_up, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(doc_id, text) -> pieces with their places."""
-    return place(materialize(docs.sparkSession, pieces(docs, capacity, path, keep_ids), "pieces"), capacity)
+    return place(materialize(docs.sparkSession, pieces(docs, capacity, path, keep_ids, cache_bytes), "pieces"), capacity)

@@ -17,8 +17,12 @@ from lodestrata.llm.common import kept, words
 _MARKS = ".,!?;:"
 
 
-def encoder(path: str) -> WordEncoder:
-    return kept(("tokens", path), lambda: WordEncoder(path))
+#: Bytes of words that a worker keeps in each of two generations.
+CACHE_BYTES = 96 << 20
+
+
+def encoder(path: str, most_bytes: int = CACHE_BYTES) -> WordEncoder:
+    return kept(("tokens", path, most_bytes), lambda: WordEncoder(path, most_bytes))
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,7 +38,7 @@ class WordEncoder:
     #: What an entry takes beside a word and its ids, about.
     entry_bytes = 190
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20, longest: int = 64):
+    def __init__(self, path: str, most_bytes: int = CACHE_BYTES, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
