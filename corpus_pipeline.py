@@ -23,6 +23,10 @@ from lodestrata.llm.common import bound_batches, discard, few, materialize, only
 LEAST_LANGUAGE_SCORE = 0.5
 #: Near duplicates share four fifths of their shingles of five words. (op9's contract has numbers of its own.)
 NEAR_WORDS, NEAR = 5, jaccard.Rule(80, 100)
+#: Bytes of words that a worker keeps in the last stage, in each of two generations; executors hold what earlier stages took as well.
+WORD_CACHE = 32 << 20
+
+
 def _only_text(docs: DataFrame) -> DataFrame:
     """The same rows with every column but ``text`` under a name that can't clash with a result's."""
     return docs.toDF(*[c if c == "text" else f"_in{i}" for i, c in enumerate(docs.columns)])
@@ -74,7 +78,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_bytes=WORD_CACHE)
 
 
 def _bounded(stage):
