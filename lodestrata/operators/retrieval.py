@@ -39,7 +39,7 @@ def _dots(a: np.ndarray, i, b: np.ndarray, j) -> np.ndarray:
 
 
 def _block_best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
-    """(query_id, id, score) of all in a block that may be among a query's k best once scores are rounded to 9 digits.
+    """(query_id, id, score) of all in a block that may be among a query's k best.
 
     A matrix product finds who comes near the k-th best, and only those are scored exactly. Of equal scores the k first
     ids are enough, so copies of one vector send no more than k rows a query. No vector: -inf.
@@ -100,7 +100,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | No
 
     types = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
     scored = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(best, types)
-    scored = scored.withColumn("score", F.round(F.when(F.col("score") != float("-inf"), F.col("score")), 9))
+    scored = scored.withColumn("score", F.when(F.col("score") != float("-inf"), F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -136,7 +136,9 @@ def bm25(documents: DataFrame, queries: DataFrame, terms=T.terms) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
-    return weighted.withColumn("part", part).join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    parts = weighted.withColumn("part", part).join(asked, "term").select("query_id", "id", "term", (F.col("part") * F.col("times")).alias("part"))
+    listed = F.array_sort(F.collect_list(F.struct("term", "part")))  # a query's terms; added in their order, so equal documents score equally
+    return parts.groupBy("query_id", "id").agg(F.aggregate(listed, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
 
 
 def overlap_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
@@ -147,10 +149,10 @@ def overlap_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return held.join(F.broadcast(words) if words.count() <= 100_000 else words, "term").groupBy("query_id", "id", "size").agg(F.count("*").alias("n")).select("query_id", "id", (F.col("n") / F.col("size")).alias("score"))
 
 
-def top(scores: DataFrame, k: int, digits: int = 9, documents: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """The k best of each query, ties by id. With ``documents`` (id) and ``queries`` (query_id), documents without a score have 0
+def top(scores: DataFrame, k: int, documents: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """The k best of each query by their scores as they are, ties by id. With ``documents`` (id) and ``queries`` (query_id), documents without a score have 0
     and fill up a query that has fewer than k: of the first 2 k ids at most k are hits, so the rest are enough."""
-    order = Window.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if documents is None:
         return best
@@ -204,14 +206,13 @@ def budget_fold(costs: Column, budget: float) -> Column:
     return F.aggregate(costs, zero, step)["states"]
 
 
-def file_ranking(scores: DataFrame, files: DataFrame, digits: int = 9) -> DataFrame:
+def file_ranking(scores: DataFrame, files: DataFrame) -> DataFrame:
     """(query_id, id, score) and (id, file) -> (query_id, file, score, rank): files in the order in which a ranking of chunks first
     meets them. Files without a scored chunk come after all others and aren't listed.
 
     The first chunk of each file is found by aggregation before anything is sorted.
     """
-    rounded = F.round("score", digits)
-    best = scores.join(files, "id").groupBy("query_id", "file").agg(F.min(F.struct((-rounded).alias("s"), "id")).alias("b"))
+    best = scores.join(files, "id").groupBy("query_id", "file").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
     order = Window.partitionBy("query_id").orderBy("b.s", "b.id")
     return best.select("query_id", "file", (-F.col("b.s")).alias("score"), F.row_number().over(order).alias("rank"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import evaluation, retrieval
+from lodestrata.operators.postings import PostingIndex
 from lodestrata.plans import query
+from lodestrata.plans.store import new_root
 from lodestrata.sources import views as V
 from lodestrata.sources.views import sql
 
@@ -16,14 +18,14 @@ def _vectors(spark, d):
     return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("run"))
 
 
-_COS = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9)"
+_COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
 
 
-@query("vector_topk", f"select q.vec_id as query_id, e.vec_id as id, round({_COS} + 1e-12, 7) as score, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e, embeddings q where q.vec_id % 20 = 0 qualify rank <= 5")
+@query("vector_topk", f"select q.vec_id as query_id, e.vec_id as id, round({_COS}, 4) as score, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e, embeddings q where q.vec_id % 20 = 0 qualify rank <= 5")
 def vector_topk(spark, d):
     v = _vectors(spark, d)
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    return retrieval.cosine_top_k(v, q, 5).withColumn("score", F.round(F.col("score") + 1e-12, 7))
+    return retrieval.cosine_top_k(v, q, 5).withColumn("score", F.round("score", 4))
 
 
 @query("vector_topk_scoped", f"select q.vec_id as query_id, e.vec_id as id, (row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id))::int as rank from embeddings e join embeddings q on e.label = q.label where q.vec_id % 20 = 0 qualify rank <= 3")
@@ -55,16 +57,18 @@ _BM25 = f"""t as (select doc_id as id, {_TERMS.format("text")} as t from documen
   q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TERMS.format("text")}) as term from benchmark) group by all),
   tf as (select id, length, term, count(*) as tf from (select id, len(t) as length, unnest(t) as term from t) where term in (select term from q) group by all),
   df as (select term, count(*) as df from tf group by term),
-  scores as (select query_id, id, sum(times * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean))) as score
+  scores as (select query_id, id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / mean)) * times order by term) as score
     from tf join df using (term) join q using (term) cross join s group by query_id, id),
   pairs as (select item_id as query_id, doc_id as id, coalesce(score, 0) as score from benchmark cross join documents left join scores on query_id = item_id and id = doc_id),
-  ranked as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from pairs)"""
+  ranked as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from pairs)"""
 
 
 def _bm25(spark, d, k):
+    """The index is written for the items' terms alone, as it serves one query set."""
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top(retrieval.bm25(docs, items), k, documents=docs, queries=items)
+    index = PostingIndex(spark, new_root(spark)).build(docs, only=items.select(F.explode(T.terms(F.col("text"))).alias("term")).distinct())
+    return index.search(items, k)
 
 
 @query("bm25_topk", f"with {_BM25} select query_id, id, round(score, 7) as score, rank from ranked where rank <= 10")
@@ -76,7 +80,7 @@ _LEX = """lq as (select item_id as query_id, list_distinct(regexp_extract_all(lo
   lt as (select doc_id as id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'))) as term from documents),
   ls as (select query_id, id, count(*) / len(t)::double as score from (select query_id, t, unnest(t) as term from lq) join lt using (term) group by query_id, id, t),
   lp as (select q.query_id, doc_id as id, coalesce(score, 0) as score from lq q cross join documents left join ls on ls.query_id = q.query_id and ls.id = doc_id),
-  lr as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id)::int as rank from lp)"""
+  lr as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from lp)"""
 
 
 @query("lexical_topk", f"with {_LEX} select query_id, id, round(score, 8) as score, rank from lr where rank <= 5")

@@ -125,7 +125,7 @@ def failed_auth_limit(spark, d):
     return admit(failed.select(F.col("event_id").alias("request_id"), F.sha2(F.col("user_id").cast("string"), 256).alias("key"), F.col("ts").cast("timestamp").alias("at")), rpm=2)
 
 
-_FILES = f"""{_BM25}, h as (select query_id, 'g' || id % 50 as file, round(score, 9) as score, id from scores),
+_FILES = f"""{_BM25}, h as (select query_id, 'g' || id % 50 as file, score, id from scores),
   fb as (select query_id, file, max(score) as score, arg_min(id, (-score, id)) as id from h group by all),
   fr as (select query_id, file, score, row_number() over (partition by query_id order by score desc, id)::int as rank from fb)"""
 
@@ -136,9 +136,9 @@ def _file_ranks(spark, d):
     return retrieval.file_ranking(retrieval.bm25(docs, items), docs.select("id", F.concat(F.lit("g"), (F.col("id") % 50).cast("string")).alias("file")))
 
 
-@query("file_ranking", f"with {_FILES} select query_id, file, score, rank from fr")
+@query("file_ranking", f"with {_FILES} select query_id, file, round(score, 8) as score, rank from fr")
 def file_ranking(spark, d):
-    return _file_ranks(spark, d)
+    return _file_ranks(spark, d).withColumn("score", F.round("score", 8))
 
 
 @query(
