@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import evaluation, retrieval
+from lodestrata.operators import chunk_search, evaluation, retrieval
 from lodestrata.operators.postings import PostingIndex
 from lodestrata.plans import query
 from lodestrata.plans.store import new_root
@@ -35,16 +35,40 @@ def vector_topk_scoped(spark, d):
     return retrieval.cosine_top_k(v, q, 3, "run").select("query_id", "id", "rank")
 
 
+_CHUNK_SEARCH = f"""k as (select coalesce(lang, source, 'none') as run_id, doc_id, 'c' || doc_id as chunk_id, coalesce(source, 'none') || '/' || doc_id as file_path, coalesce(length(text), 0) as n from documents),
+  e as (select run_id, doc_id, 'm' || label % 2 as model, embedding from embeddings join k on vec_id = doc_id),
+  q as (select k.doc_id as query_id, run_id, 'm' || (k.doc_id // 20) % 2 as model, embedding from k join embeddings on vec_id = k.doc_id % (select count(*) from embeddings) where k.doc_id % 20 = 0),
+  h as (select query_id, q.run_id, q.model, chunk_id, file_path, n, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s,
+      row_number() over (partition by query_id order by s desc, chunk_id) as rank from q join e on e.run_id = q.run_id and e.model = q.model and len(e.embedding) = len(q.embedding) join k using (doc_id) qualify rank <= 5)"""
+
+
+def _chunk_search(spark, d):
+    """Documents as chunks of the run of their language (else their source), embeddings of two models, every 20th document a query."""
+    run = F.coalesce("lang", "source", F.lit("none")).alias("run_id")
+    docs = V.table(spark, d, "documents").select(
+        run, "doc_id", F.col("doc_id").cast("string").alias("source_chunk_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"),
+        F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("file_path"), F.coalesce(F.length("text"), F.lit(0)).alias("n"),
+    )
+    e = V.table(spark, d, "embeddings")
+    model = lambda n: F.concat(F.lit("m"), (n % 2).cast("string")).alias("model_name")
+    vectors = e.join(docs.select("run_id", "doc_id", "source_chunk_id"), F.col("vec_id") == F.col("doc_id")).select("run_id", "source_chunk_id", model(F.col("label")), F.size("embedding").alias("dimension"), F.col("embedding").alias("vector"))
+    asks = docs.filter("doc_id % 20 = 0").withColumn("vec_id", F.col("doc_id") % e.count()).join(e.select("vec_id", "embedding"), "vec_id")
+    asks = asks.select(F.col("doc_id").alias("query_id"), "run_id", model(F.expr("doc_id div 20")), F.col("embedding").alias("query"))
+    return chunk_search.search(vectors, docs.drop("doc_id"), asks, 5)
+
+
+@query("chunk_search", f"with {_CHUNK_SEARCH} select query_id, rank::int as rank, round(s, 4) as score, run_id, model as model_name, chunk_id, file_path, n from h")
+def chunk_search_(spark, d):
+    return _chunk_search(spark, d)[0].select("query_id", "rank", "score", "run_id", "model_name", "chunk_id", "file_path", F.col("n").cast("long").alias("n"))
+
+
 @query(
     "vector_outcomes",
-    """with r as (select unnest(range(0, 12)) as run), n as (select label as run, count(*) as n, count(*) filter (where vec_id % 2 = 0) as fit from embeddings where label < 9 group by 1)
-    select run::int as run, case when n is null and run > 9 then 'empty' when n is null then 'unavailable' when fit = 0 then 'mismatch' else 'hits' end as outcome from r left join n using (run)""",
+    f"""with {_CHUNK_SEARCH} select query_id, run_id, case when count(h.s) > 0 then 'hits' when exists (select 1 from e where e.run_id = q.run_id) then 'mismatch' else 'unavailable' end as outcome, count(h.s) as total_retrieved
+    from q left join (select query_id, s from h) h using (query_id) group by query_id, run_id""",
 )
 def vector_outcomes(spark, d):
-    runs = spark.range(12).select(F.col("id").cast("int").alias("run"))
-    n = _vectors(spark, d).filter("run < 9").groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 2 == 0).alias("fit"))
-    out = F.when(F.col("n").isNull() & (F.col("run") > 9), "empty").when(F.col("n").isNull(), "unavailable").when(F.col("fit") == 0, "mismatch").otherwise("hits")
-    return runs.join(n, "run", "left").select("run", out.alias("outcome"))
+    return _chunk_search(spark, d)[1]
 
 
 @query("hash_embedding")
