@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 IDLE_SECONDS = 3600
 RESULT = "request_id long, key string, allowed boolean, retry_after int"
@@ -56,19 +56,38 @@ def admit(requests: DataFrame, rpm: int) -> DataFrame:
     return rows.mapInPandas(run, RESULT)
 
 
-def admit_stream(requests: DataFrame, rpm: int) -> DataFrame:
-    """The same on a stream; idle keys lose their state."""
+class _Bucket(StatefulProcessor):
+    """A key's tokens and the time of its last request; a timer at the end of the idle time removes them."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (0.0, None)
-        rows = pd.concat(list(frames)).sort_values(["at", "request_id"])
-        out, tokens, last = _fold(zip(rows["request_id"], rows["key"], rows["at"], strict=True), tokens, last, rpm)
-        state.update((tokens, last))
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
+    def __init__(self, rpm: int):
+        self.rpm = rpm
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("bucket", "tokens double, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tokens, last = self.state.get() if self.state.exists() else (0.0, None)
+        own = pd.concat(list(rows)).sort_values(["at", "request_id"])
+        out, tokens, last = _fold(zip(own["request_id"], own["key"], own["at"], strict=True), tokens, last, self.rpm)
+        self.state.update((tokens, last))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int((last + IDLE_SECONDS) * 1000) + 1)
         yield out
 
-    rows = requests.select("request_id", "key", F.col("at").cast("double").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(run, RESULT, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(requests: DataFrame, rpm: int, late: str = "10 seconds") -> DataFrame:
+    """The same on a stream (request_id, key, at: timestamp), whose keys lose their state once the watermark says that they have been idle.
+
+    Requests of one micro-batch are taken in the order of time, and a request that is later than ``late`` is dropped with the watermark. It needs
+    a state store with timers (RocksDB).
+    """
+    rows = requests.withWatermark("at", late).select("request_id", "key", F.col("at").alias("event_time"), F.col("at").cast("double").alias("at"))
+    return rows.groupBy("key").transformWithStateInPandas(_Bucket(rpm), RESULT, "Append", "EventTime")
