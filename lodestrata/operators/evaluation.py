@@ -14,6 +14,7 @@ from lodestrata.operators.prefix import running_sum
 
 Z = 1.95996  # fixed value: of the 95 % interval
 KENDALL_PART = 1 << 18
+DIFFICULTIES = ("lookup", "explanation", "cross-file")  # fixed values
 LEAST_PAIRS, LEAST_RHO, LEAST_TAU = 15, 0.60, 0.80  # fixed values: of the protocol for ratings
 
 
@@ -156,6 +157,28 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, query: str, item: str
     return rows.select(query, (n > 0).cast("int").alias("hit"), (n / F.col("wanted")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def retrieval_report(results: DataFrame, ks: tuple[int, ...], group: list[str]) -> DataFrame:
+    """(group, difficulty, paraphrase, unanswerable, top1_score, reciprocal_rank, hit_k and recall_k of each k; null: nothing found) -> a row for each
+    group and one over all (``overall`` has a bit for each column of ``group`` that is summed up).
+
+    Metrics are means over the answerable questions, by difficulty and by paraphrase as well; a breakdown without questions is null. The best scores
+    are told apart by whether the first answer was a hit; unanswerable questions have their number and best scores only.
+    """
+    un = F.coalesce("unanswerable", F.lit(False))
+    zero = lambda c: F.when(~un, F.coalesce(F.col(c), F.lit(0.0)))
+    top, hit = F.col("top1_score"), F.coalesce(F.col("hit_1"), F.lit(0)) == 1
+    mean = lambda c, where, name: F.avg(F.when(where, c)).alias(name)
+    cut = [f(F.when(where, top)).alias(f"{name}_{x}") for where, name in ((~un, "top1"), (un, "unanswerable_top1")) for f, x in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))]
+    sets = [group, *([group[:1]] if len(group) > 1 else []), []]
+    return results.groupingSets(sets, *group).agg(
+        F.grouping_id(*group).cast("int").alias("overall"), F.count_if(~un).alias("answerable"), F.count_if(un).alias("unanswerable"),
+        *[F.avg(zero(f"{m}_{k}")).alias(f"{m}_{k}") for k in ks for m in ("hit", "recall")], F.avg(zero("reciprocal_rank")).alias("mrr"),
+        *[mean(zero("reciprocal_rank"), F.col("difficulty") == d, f"mrr_{d.replace('-', '_')}") for d in DIFFICULTIES],
+        *[mean(zero("reciprocal_rank"), F.col("paraphrase") == p, name) for p, name in ((True, "mrr_paraphrase"), (False, "mrr_plain"))],
+        mean(top, ~un & hit, "top1_hit_mean"), mean(top, ~un & ~hit, "top1_miss_mean"), *cut,
+    )
+
+
 def review_state(reviewed: Column, total: Column) -> Column:
     """Validated once every row is reviewed, not validated while none is."""
     return F.when(reviewed == 0, "NOT VALIDATED").when((reviewed == total) & (total > 0), "VALIDATED").otherwise("INCOMPLETE")

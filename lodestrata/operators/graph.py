@@ -144,6 +144,30 @@ def stratified(edges: DataFrame, quota: int, seed: str, keys: list[str]) -> Data
     return ranked.filter(F.col("_k") <= quota).drop("_k")
 
 
+#: Fixed value: relations that a sample is drawn from, where there are any.
+SAMPLED = ("calls", "imports", "inherits", "contains")
+
+
+def sample(edges: DataFrame, size: int, seed: str, keys: list[str], relations: tuple[str, ...] = SAMPLED) -> DataFrame:
+    """``size`` edges, as many of each relation that there is, and what a short relation leaves filled up from all that remain; in a seeded order.
+
+    Relations other than ``relations`` count only where there is none of those. Every choice follows a hash of seed and keys, so it is the same on
+    any partitioning; ranks are cut to those that can be chosen before they are shuffled. Edges are told apart by ``keys``.
+    """
+    known = edges.filter(F.col("relation").isin(*relations))
+    counts = {r["relation"]: r["count"] for r in known.groupBy("relation").count().collect()}  # as many as ``relations`` at most
+    if counts:
+        edges, share = known, max(1, size // len(counts))
+    else:
+        share = max(1, size // max(1, edges.select("relation").distinct().count()))
+    hashed = edges.withColumn("_h", F.md5(F.encode(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]), "UTF-8")))
+    ranked = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("relation").orderBy("_h", *keys))).filter(F.col("_k") <= share + size)
+    chosen, rest = ranked.filter(F.col("_k") <= share), ranked.filter(F.col("_k") > share)
+    needed = size - (sum(min(n, share) for n in counts.values()) if counts else chosen.count())
+    out = chosen.unionByName(rest.orderBy("_h", *keys).limit(needed)) if needed > 0 else chosen
+    return out.withColumn("place", F.row_number().over(Window.orderBy("_h", *keys))).drop("_h", "_k")  # the sample alone
+
+
 def stored_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_type), (relation, confidence) of a stored run -> one row: totals, calls by confidence as ``name=n`` in order of names, and
     the share of calls that are resolved. A missing confidence counts as flagged; unknown ones are counted under their names."""

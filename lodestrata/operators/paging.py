@@ -31,6 +31,15 @@ def incident_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(edges.join(source, "source", "left_anti").join(target, "target", "left_semi"))
 
 
+def node_page(nodes: DataFrame, edges: DataFrame, node_type: str | None = None, file_path: str | None = None, offset: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """A page of (id, node_type, file_path, start_line, ...), of one type or file or of all, each node with the ``total`` of its filter, and the
+    edges (source, target, ...) that have an end on the page. The nodes of files have no path, so a filter by path leaves them out."""
+    own = equal(nodes, node_type=node_type, file_path=file_path)
+    total = own.agg(F.count("*").alias("total"))
+    shown = page(own, ["node_type", "file_path", "start_line", "id"], offset, limit).join(F.broadcast(total))  # one row
+    return shown, incident_edges(edges, shown.select("id"))
+
+
 def missing(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """Distinct keys of ``rows`` that ``known`` lacks."""
     return rows.select(*on).distinct().join(known.select(*on), on, "left_anti")

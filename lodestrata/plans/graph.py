@@ -109,6 +109,38 @@ def stratified_sample(spark, d):
     return graph.stratified(_edges(spark, d), 10, "seed7", ["edge_id"]).select("relation", "edge_id", "source", "target")
 
 
+@query(
+    "edge_sample",
+    f"""{sql("calls")}, {_CALLS}, {_BASES}, k as (select *, md5('seed9|' || edge_id || '|' || source || '|' || target) as h from edges where relation in ('calls', 'inherits')),
+    placed as (select *, row_number() over (partition by relation order by h, edge_id, source, target) as k, 100 // (select count(distinct relation) from k) as share from k),
+    chosen as (select * from placed where k <= share), filled as (select * from placed where k > share order by h, edge_id, source, target limit (select 100 - count(*) from chosen))
+    select relation, edge_id, source, target, (row_number() over (order by h, edge_id, source, target))::int as place from (from chosen union all from filled)""",
+)
+def edge_sample(spark, d):
+    return graph.sample(_edges(spark, d), 100, "seed9", ["edge_id", "source", "target"]).select("relation", "edge_id", "source", "target", "place")
+
+
+_NODES = """n as (select file_path as id, 'file' as node_type, null::varchar as file_path, null::int as start_line from files
+    union all select file_path || '::' || start_line, 'run', file_path, start_line::int from entities),
+  g as (select file_path as source, file_path || '::' || start_line as target from entities)"""
+
+
+@query(
+    "graph_node_page",
+    f"""{sql("entities")}, {_NODES}, p as (select *, (select count(*) from n where node_type = 'run') as total from n where node_type = 'run' order by file_path nulls last, start_line nulls last, id limit 40 offset 30)
+    select id, node_type, file_path, start_line, total, count(g.target) as edges from p left join g on g.target = p.id or g.source = p.id group by all""",
+)
+def graph_node_page(spark, d):
+    """A page of the nodes of one type, its total and how many edges each node has."""
+    e = V.entities(spark, d)
+    ident = F.concat_ws("::", "file_path", F.col("start_line").cast("string"))
+    nodes = V.files(spark, d).select(F.col("file_path").alias("id"), F.lit("file").alias("node_type"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("start_line"))
+    nodes = nodes.unionByName(e.select(ident.alias("id"), F.lit("run").alias("node_type"), "file_path", F.col("start_line").cast("int").alias("start_line")))
+    shown, edges = paging.node_page(nodes, e.select(F.col("file_path").alias("source"), ident.alias("target")), node_type="run", offset=30, limit=40)
+    ends = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id")).groupBy("id").agg(F.count("*").alias("edges"))
+    return shown.join(ends, "id", "left").select("id", "node_type", "file_path", "start_line", "total", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 @query(
     "inheritance_closure",
     """with recursive p as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey > 1 and p_partkey % 7 <> 0),

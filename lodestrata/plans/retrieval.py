@@ -126,6 +126,45 @@ def ir_metrics(spark, d):
     return m.agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 8).alias("hit"), F.round(F.avg("recall"), 8).alias("recall"), F.round(F.avg("reciprocal_rank"), 8).alias("mrr"))
 
 
+_METHODS = "m as (select 'bm25' as method, * from ranked where rank <= 10 union all select 'overlap', query_id, id, score, rank from lr where rank <= 10)"
+_ASK = """select item_id as query_id, 'r' || item_id % 3 as repo, case when len(string_split(text, ' ')) < 25 then 'lookup' when len(string_split(text, ' ')) < 40 then 'explanation' else 'cross-file' end as difficulty, contains(text, ',') as paraphrase from benchmark"""
+
+
+@query(
+    "retrieval_report",
+    f"""{sql("truth")}, {_BM25}, {_LEX}, {_METHODS}, w as (select item_id as query_id, doc_id as id from truth), n as (select query_id, count(*) as wanted from w group by 1),
+    f as (select method, query_id, count(id) filter (where rank <= 1) as f1, count(id) filter (where rank <= 5) as f5, min(rank) as first from m join w using (query_id, id) group by all),
+    tops as (select method, query_id, max(score) as top from m where rank = 1 group by all),
+    r as (select a.*, x.method, n.wanted is null as un, coalesce(f1, 0) as f1, coalesce(f5, 0) as f5, wanted, coalesce(1.0::double / first, 0) as rr, top
+      from ({_ASK}) a cross join (values ('bm25'), ('overlap')) x(method) left join n using (query_id) left join f on f.query_id = a.query_id and f.method = x.method left join tops on tops.query_id = a.query_id and tops.method = x.method)
+    select method, repo, grouping(method, repo)::int as overall, count(*) filter (where not un) as answerable, count(*) filter (where un) as unanswerable,
+      round(avg((f1 > 0)::int) filter (where not un), 7) as hit_1, round(avg(f1 / wanted::double) filter (where not un), 7) as recall_1, round(avg((f5 > 0)::int) filter (where not un), 7) as hit_5, round(avg(f5 / wanted::double) filter (where not un), 7) as recall_5,
+      round(avg(rr) filter (where not un), 7) as mrr, {", ".join(f"round(avg(rr) filter (where not un and difficulty = '{x}'), 7) as mrr_{x.replace('-', '_')}" for x in ("lookup", "explanation", "cross-file"))},
+      round(avg(rr) filter (where not un and paraphrase), 7) as mrr_paraphrase, round(avg(rr) filter (where not un and not paraphrase), 7) as mrr_plain,
+      round(avg(top) filter (where not un and f1 > 0), 7) as top1_hit_mean, round(avg(top) filter (where not un and f1 = 0), 7) as top1_miss_mean,
+      {", ".join(f"round({f}(top) filter (where {w}), 7) as {n}_{x}" for w, n in (("not un", "top1"), ("un", "unanswerable_top1")) for f, x in (("avg", "mean"), ("min", "min"), ("max", "max")))}
+    from r group by grouping sets ((method, repo), (method), ())""",
+)
+def retrieval_report(spark, d):
+    """Both rankings by method and repository; an item that no document contains is unanswerable."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    truth = V.truth(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    n = F.size(F.split("text", " "))
+    asked = items.select("query_id", F.concat(F.lit("r"), (F.col("query_id") % 3).cast("string")).alias("repo"), F.when(n < 25, "lookup").when(n < 40, "explanation").otherwise("cross-file").alias("difficulty"), F.contains("text", F.lit(",")).alias("paraphrase"))
+    asked = asked.join(truth.select("query_id").distinct().withColumn("_t", F.lit(True)), "query_id", "left").withColumn("unanswerable", F.col("_t").isNull()).drop("_t")
+    rows = None
+    for method, ranked in (("bm25", _bm25(spark, d, 10)), ("overlap", retrieval.top(retrieval.overlap_scores(docs, items), 10, documents=docs, queries=items))):
+        own = asked.withColumn("method", F.lit(method)).join(ranked.filter("rank = 1").select("query_id", F.col("score").alias("top1_score")), "query_id", "left")
+        for k in (1, 5):
+            m = evaluation.retrieval_metrics(ranked, truth, "query_id", "id", k).select("query_id", F.col("hit").alias(f"hit_{k}"), F.col("recall").alias(f"recall_{k}"))
+            own = own.join(m, "query_id", "left")
+        own = own.join(evaluation.retrieval_metrics(ranked, truth, "query_id", "id", 10).select("query_id", "reciprocal_rank"), "query_id", "left")
+        rows = own if rows is None else rows.unionByName(own)
+    out = evaluation.retrieval_report(rows, (1, 5), ["method", "repo"])
+    return out.select(*[F.round(c, 7).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
 @query(
     "score_stats",
     f"""with {_BM25}, a as (select query_id, list_sort(list(score)) as s, median(score) as middle, avg(score) as mean from ranked where rank <= 40 group by 1)

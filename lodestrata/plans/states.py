@@ -36,17 +36,34 @@ def review_states(spark, d):
     return counted.withColumn("state", evaluation.review_state(F.col("reviewed"), F.col("total")))
 
 
-_QUORUM = "select * from values (14, 0.9D, 0.9D, 14, 0), (15, 0.6D, 0.8D, 15, 0), (15, 0.59D, 0.81D, 15, 0), (20, 0.7D, 0.7D, 22, 2), (1, null, null, 1, 0) as t(pairs, rho, tau, total, excluded)"
+_RATED = "select doc_id, n_chars, quality, toxic from labels join documents using (doc_id)"
+_PAIRED = (("length-quality", "n_chars", "quality"), ("length-toxic", "n_chars", "toxic"), ("quality-toxic", "quality", "toxic"))
+
+
+def _agreed(name: str, x: str, y: str) -> str:
+    return f"""select '{name}' as pair, (select corr(rx, ry) from (select rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0::double as rx, rank() over (order by {y}) + (count(*) over (partition by {y}) - 1) / 2.0::double as ry from r)) as rho,
+    (select sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) / sqrt(count(*) filter (where a.{x} <> b.{x})::double * count(*) filter (where a.{y} <> b.{y})) from r a join r b on a.doc_id < b.doc_id) as tau"""
 
 
 @query(
     "rating_quorum",
-    """select * from (values (14, 'INCOMPLETE', false, false, false), (15, 'VALIDATED', true, true, true), (15, 'VALIDATED', true, false, true), (20, 'INCOMPLETE', false, true, false), (1, 'INCOMPLETE', false, false, false))
-    t(pairs, state, validated, meets_rho, meets_tau)""",
+    f"""with r as ({_RATED}), n as (select count(*) as pairs, (select count(*) from documents) as total, count(*) filter (where toxic = 1) as excluded from r),
+    c as ({" union all ".join(_agreed(*p) for p in _PAIRED)})
+    select pair, pairs, case when pairs < 15 or pairs < total then 'INCOMPLETE' else 'VALIDATED' end as state, pairs >= 15 and pairs = total and excluded = 0 as validated,
+      pairs >= 15 and coalesce(rho, 0) >= 0.6 as meets_rho, pairs >= 15 and coalesce(tau, 0) >= 0.8 as meets_tau, round(coalesce(rho, 0), 7) as rho, round(coalesce(tau, 0), 7) as tau from c, n""",
 )
 def rating_quorum(spark, d):
+    """What the labels' ratings show by the protocol: each pair of them correlated, of all documents that should be rated."""
+    docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = V.table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "n_chars", "quality", "toxic")
+    counts = rows.agg(F.count("*").alias("pairs"), F.count_if(F.col("toxic") == 1).alias("excluded")).withColumn("total", F.lit(docs.count()))
+    out = None
+    for name, x, y in _PAIRED:
+        one = evaluation.spearman(rows, x, y).select("rho").join(F.broadcast(evaluation.kendall(rows, x, y).select("tau"))).withColumn("pair", F.lit(name))  # one row each
+        out = one if out is None else out.unionByName(one)
     c = F.col
-    return spark.sql(_QUORUM).select("pairs", *evaluation.quorum(c("pairs"), c("rho"), c("tau"), c("total"), c("excluded")))
+    shown = out.join(F.broadcast(counts))
+    return shown.select("pair", "pairs", *evaluation.quorum(c("pairs"), c("rho"), c("tau"), c("total"), c("excluded")), F.round("rho", 7).alias("rho"), F.round("tau", 7).alias("tau"))
 
 
 _STATE = "case when conv_id % 7 = 0 then 'failed' when conv_id % 11 = 0 then 'skipped' else 'success' end"
