@@ -167,12 +167,14 @@ class MediaReader(DataSourceReader):
             reader.close()
         return out
 
-    def _member(self, path: str, reader: Reader, m) -> tuple[bytes, bytes, Reader]:
-        """The stored image, its samples and the reader; read again by its offset, from a newly opened archive, if anything is wrong with what came."""
+    def _member(self, path: str, reader: Reader, at: int) -> tuple[str, bytes, bytes, int, Reader]:
+        """Name, stored image, samples and end of the member whose local header is at ``at``, and the reader; read again by its offset, header
+        and all, from a newly opened archive, if anything is wrong with what came."""
         for k in range(self.attempts):
             try:
+                m, end = reader.member_at(at)
                 image = reader.data(m)
-                return image, decode(image), reader
+                return m.name, image, decode(image), end, reader
             except (ArchiveError, OSError, zlib.error, struct.error, ValueError):
                 reader.close()
                 if k + 1 == self.attempts:
@@ -187,9 +189,8 @@ class MediaReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         while at < partition.end:
-            m, at = reader.member_at(at)
-            image, samples, reader = self._member(partition.path, reader, m)
-            doc_id, n_bytes, _ = m.name.split(".")
+            name, image, samples, at, reader = self._member(partition.path, reader, at)
+            doc_id, n_bytes, _ = name.split(".")
             rows.append((int(doc_id) if doc_id else None, int(n_bytes), samples, image))
             held += len(samples) + len(image)
             if held >= BATCH_BYTES:

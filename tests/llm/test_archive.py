@@ -102,7 +102,13 @@ def test_a_member_is_read_again_by_its_offset(tmp_path):
                 raise OSError("lost")
             return super().data(m)
 
+        def member_at(self, at):
+            if headers.pop(at, None):
+                raise OSError("a short read of a header")
+            return super().member_at(at)
+
     source.open = Flaky
+    headers: dict = {}
     parts = source.partitions()
     assert len(parts) > 1
     (tmp_path / "list.txt").write_text("".join(f"{p.path}\t{p.begin}\t{p.end}\n" for p in parts))
@@ -111,6 +117,8 @@ def test_a_member_is_read_again_by_its_offset(tmp_path):
     assert [(p.path, p.begin, p.end) for p in planned.partitions()] == [(p.path, p.begin, p.end) for p in parts]
     got = [s for p in parts for b in source.read(p) for s in b.column(2).to_pylist()]
     assert got == payloads and not any(failures.values())
+    headers |= {p.begin: True for p in parts}
+    assert [s for p in parts for b in source.read(p) for s in b.column(2).to_pylist()] == payloads and not headers
     failures[1] = 3
     with pytest.raises(OSError):
         [list(source.read(p)) for p in parts]
