@@ -6,7 +6,7 @@ in proportion to its dimensions. If a pair keeps the whole budget it keeps that
 the range joins in all blocks has every pair.
 
 A block's range join cuts its dimensions into boxes by a k-d tree, whose depth follows the number of vectors, so that a box holds
-about ``LEAF`` of them at any size. The cuts are medians of a sample of at most about ``SAMPLE`` vectors; they decide where vectors
+about ``LEAF`` of them; from 2^``MOST_DEPTH`` boxes on (134 million vectors), where the sample has two vectors for a box, boxes grow instead. The cuts are medians of a sample of at most about ``SAMPLE`` vectors; they decide where vectors
 meet, never whether. A vector is at home in its box and a guest in those later boxes that the budget reaches from it, so two
 vectors in reach meet in exactly one box. Boxes that hold more than ``PART`` rows are split into pairs of parts. In a task, the block's
 squared distances (a matrix product) pick candidates, a candidate is taken up in the first block whose budget it keeps and in no other,
@@ -36,7 +36,7 @@ from lodestrata.llm.graph import components
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
 #: Rows of a part, classes at home in a box (about), classes in the sample (about) and the most cuts on the way to a box.
-PART, LEAF, SAMPLE, MOST_DEPTH = 32_768, 8192, 32_768, 11
+PART, LEAF, SAMPLE, MOST_DEPTH = 32_768, 8192, 32_768, 14
 _SLACK = 1e-9
 
 
