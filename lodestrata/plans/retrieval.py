@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.operators import chunk_search, evaluation, retrieval
+from lodestrata.operators import ask, chunk_search, evaluation, retrieval
 from lodestrata.operators.postings import PostingIndex
 from lodestrata.plans import query
 from lodestrata.plans.store import new_root
@@ -165,6 +165,24 @@ def retrieval_report(spark, d):
     return out.select(*[F.round(c, 7).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
+@query(
+    "ask_items",
+    f"""with {_BM25}, e as (select query_id, list(doc_id order by rank) as ids from ranked join documents on doc_id = id where rank <= 4 group by 1),
+    a as (select item_id as query_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as question, ids from benchmark left join e on query_id = item_id),
+    w as (select *, regexp_replace('Based on the repository evidence, ' || trim(regexp_extract(question, '^[^\n]+')) || ' is implemented as shown in the source code ' || array_to_string(list_transform(range(1, len(ids) + 1), lambda k: '[E' || k || ']'), '') || '.', ' {{2,}}', ' ', 'g') as answer from a)
+    select query_id, case when question = '' or contains(lower(answer), 'insufficient') then 'The available repository evidence is insufficient to determine this.' else answer end as answer,
+      case when question = '' or contains(lower(answer), 'insufficient') then '' else array_to_string(ids, ',') end as citations, len(ids)::int as retrieved from w""",
+)
+def ask_items(spark, d):
+    """Every benchmark item is a question to the corpus; its evidence are the four best documents, whole."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("corpus").alias("run_id"), F.col("text").alias("question"))
+    none = F.lit(None).cast("string")
+    found = _bm25(spark, d, 4).join(docs, "id").select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("path"), F.lit(1).alias("first"), F.lit(1).alias("last"), "lang", none.alias("entity"), none.alias("sha"), "text")
+    out = ask.ask(items, spark.range(1).select(F.lit("corpus").alias("run_id")), found, budget=1 << 30)
+    return out.select("query_id", "answer", F.array_join("citations", ",").alias("citations"), "retrieved")
+
+
 @query(
     "score_stats",
     f"""with {_BM25}, a as (select query_id, list_sort(list(score)) as s, median(score) as middle, avg(score) as mean from ranked where rank <= 40 group by 1)
