@@ -82,7 +82,34 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.load(spark, manifest))
 
 
-@_query("op5_shard_tree")
+#: crc32 byte by byte; its 256 remainders follow from the polynomial.
+_REMAINDERS = """(select list(r order by i) as remainders from (
+      select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as r
+      from range(256) as b(i)))"""
+
+
+def _draw(path: str, weight: int) -> str:
+    return f"-ln((('0x' || substr(md5(h || '/{path}'), 1, 12))::bigint + 0.5::double) / 281474976710656::double) / {weight}::double"
+
+
+def _below(region: int) -> str:
+    """The shard of a key that has come to a region of four shards in two racks."""
+    racks = [2 * region, 2 * region + 1]
+    shard = {k: f"case when {_draw(f'region{region}.rack{k}.shard{2 * k}', 1)} <= {_draw(f'region{region}.rack{k}.shard{2 * k + 1}', 1)} then {2 * k} else {2 * k + 1} end" for k in racks}
+    return f"case when {_draw(f'region{region}.rack{racks[0]}', 2)} <= {_draw(f'region{region}.rack{racks[1]}', 2)} then {shard[racks[0]]} else {shard[racks[1]]} end"
+
+
+@_query(
+    "op5_shard_tree",
+    f"""
+    with t as {_REMAINDERS},
+    d as (select doc_id, text, md5(coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+    r as (select *, {_draw("region0", 4)} as d0, {_draw("region1", 4)} as d1, {_draw("region2", 1)} as d2, {_below(0)} as s0, {_below(1)} as s1 from d),
+    b as (select *, case when d0 <= d1 then s0 else s1 end as shard, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from r),
+    c as (select doc_id, h, shard, case when d2 < least(d0, d1) then 8 else shard end as grown_shard, len(bytes) + 1 as size,
+      xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, remainders[1 + (xor(c, x) & 255)]))) as text_crc32 from b, t)
+    select doc_id, size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard, (row_number() over (partition by shard order by h, doc_id, size, text_crc32)) - 1 as slot, grown_shard::int as grown_shard from c""",
+)
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -176,12 +203,6 @@ def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-#: crc32 byte by byte; its 256 remainders follow from the polynomial.
-_REMAINDERS = """(select list(r order by i) as remainders from (
-      select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as r
-      from range(256) as b(i)))"""
-
-
 @_query(
     "op12_spelling_variants",
     rf"""
