@@ -71,9 +71,16 @@ def vector_outcomes(spark, d):
     return _chunk_search(spark, d)[1]
 
 
-@query("hash_embedding")
+@query(
+    "hash_embedding",
+    """with r as (select item_id, list_transform(range(64), lambda i: ('0x' || substr(sha256(text || i), 1, 8))::bigint::double) as raw from benchmark),
+    s as (select item_id, list_transform(raw, lambda x: (case when x >= 2147483648 then x - 4294967296 else x end) / 2147483647::double) as v from r),
+    n as (select *, sqrt(list_reduce(list_prepend(0.0::double, v), lambda a, x: a + x * x)) as norm from s)
+    select item_id, list_transform(v, lambda x: round(x / norm, 9)) as vector from n""",
+)
 def hash_embedding(spark, d):
-    return V.table(spark, d, "benchmark").select("item_id", T.hash_vector(F.col("text")).alias("vector"))
+    vector = F.transform(T.hash_vector(F.col("text")), lambda x: F.round(x, 9))
+    return V.table(spark, d, "benchmark").select("item_id", vector.alias("vector"))
 
 
 _TERMS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"

@@ -175,7 +175,20 @@ def file_retrieval(spark, d):
     return rows.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall_5"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.round(F.avg("top"), 4).alias("top_mean"))
 
 
-@query("evidence_blocks")
+_HEAD = """'[E' || rank || ']' || chr(10) || 'File: ' || coalesce(source, '') || chr(10) || 'Lines: 1-' || len(string_split(text, chr(10))) || chr(10) || 'Language: ' || coalesce(lang, 'unknown') || chr(10)
+      || case when doc_id % 2 = 0 then 'Entity: function f' || doc_id || chr(10) else '' end || 'ChunkID: ' || doc_id || chr(10) || chr(10)"""
+
+
+@query(
+    "evidence_blocks",
+    f"""with recursive {_BM25}, e as (select query_id, rank, doc_id, {_HEAD} as head, text from ranked join documents on doc_id = id where rank <= 6),
+    f as (select distinct query_id, 0 as rank, 0 as used, false as full_, 0 as n, null::varchar as block, null::bigint as chunk from e
+      union all select query_id, rank, case when stop then used else used + length(block) end, stop, n + (not stop)::int, case when not stop then block end, chunk
+      from (select *, full_ or room <= 0 or (length(block) > room and n > 0) as stop from (select e.query_id, e.rank, f.used, f.full_, f.n, e.doc_id as chunk, 4000 - f.used as room,
+        case when length(head) + length(text) <= 4000 - f.used then head || text else head || substr(text, 1, greatest(0, 4000 - f.used - length(head) - 12)) || chr(10) || '[truncated]' end as block
+        from f join e on e.query_id = f.query_id and e.rank = f.rank + 1)))
+    select query_id, 'E' || rank as label, chunk::varchar as chunk_id, block from f where block is not null""",
+)
 def evidence_blocks(spark, d):
     """The six best documents of each question as labelled blocks under 4,000 characters."""
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
