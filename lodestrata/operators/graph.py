@@ -18,8 +18,8 @@ RELATIVE_SUFFIXES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
 
 
 def candidates(symbols: DataFrame, keys: list[str], prefix: str, order: str = "id") -> DataFrame:
-    """For each key: how many symbols bear it, and the first of them."""
-    return symbols.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.min_by("id", order).alias(f"{prefix}_id"))
+    """For each key: how many symbols bear it, the first and the last of them."""
+    return symbols.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.min_by("id", order).alias(f"{prefix}_id"), F.max_by("id", order).alias(f"{prefix}_2"))
 
 
 def base_class_ladder(refs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -43,15 +43,12 @@ def call_ladder(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Bare calls (call_id, caller, file, name) against (id, file, name) -> target, confidence, provenance.
 
     In the caller's file without the caller: one match is strong, several are ambiguous. Else in the repository without the
-    caller: one is weak, several are ambiguous. Else the call is unresolved. The caller itself is counted out by arithmetic, not by a join of all pairs.
+    caller: one is weak, several are ambiguous. Else the call is unresolved. The caller itself is counted out by arithmetic, not by a join of all pairs:
+    where it is one of two, the other is the first or the last.
     """
     near, far = candidates(functions, ["file", "name"], "near"), candidates(functions, ["name"], "far")
     own = functions.select(F.col("id").alias("caller"), F.col("name").alias("own_name"), F.col("file").alias("own_file"))
-    second = lambda keys, prefix: (  # noqa: E731  the runner-up, for callers that bear the name themselves
-        functions.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter("k = 2").select(*keys, F.col("id").alias(f"{prefix}_2"))
-    )
-    rows = calls.join(near, ["file", "name"], "left").join(second(["file", "name"], "near"), ["file", "name"], "left")
-    rows = rows.join(far, "name", "left").join(second(["name"], "far"), "name", "left").join(own, "caller", "left")
+    rows = calls.join(near, ["file", "name"], "left").join(far, "name", "left").join(own, "caller", "left")
     self_far = F.coalesce((F.col("own_name") == F.col("name")).cast("int"), F.lit(0))
     self_near = F.coalesce(((F.col("own_name") == F.col("name")) & (F.col("own_file") == F.col("file"))).cast("int"), F.lit(0))
     rows = rows.withColumn("n1", F.coalesce("near_n", F.lit(0)) - self_near).withColumn("n2", F.coalesce("far_n", F.lit(0)) - self_far)

@@ -83,7 +83,8 @@ def explain(scores: DataFrame, key: str, weights: dict[str, float] | None = None
 
 
 def sensitivity(scores: DataFrame, key: str, by: float = 0.2, weights: dict[str, float] | None = None) -> DataFrame:
-    """The largest drift of the composite when one weight moves by -/+ ``by`` and the rest are renormalised, ranked within each key."""
+    """The largest drift of the composite when one weight moves by -/+ ``by`` and the rest are renormalised, ranked within each key. A missing
+    component has no weight to move."""
     weights = weights or WEIGHTS
     base = composite(scores, weights)
 
@@ -93,10 +94,10 @@ def sensitivity(scores: DataFrame, key: str, by: float = 0.2, weights: dict[str,
         return sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in new.items()), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
 
     rows = [
-        F.struct(F.lit(k).alias("position"), F.lit(c).alias("component"), F.greatest(*[F.abs(moved(c, f) - F.col("composite")) for f in (1 - by, 1 + by)]).alias("drift"))
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("position"), F.lit(c).alias("component"), F.greatest(*[F.abs(moved(c, f) - F.col("composite")) for f in (1 - by, 1 + by)]).alias("drift")))
         for k, c in enumerate(weights)
     ]
-    out = base.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*").filter("drift is not null")
+    out = base.select(key, F.explode(F.array_compact(F.array(*rows))).alias("x")).select(key, "x.*").filter("drift is not null")
     order = Window.partitionBy(key).orderBy(F.round("drift", 9).desc(), "position")
     return out.withColumn("place", F.row_number().over(order)).drop("position")
 

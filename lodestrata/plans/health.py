@@ -111,8 +111,6 @@ def health_explain(spark, d):
 )
 def health_sensitivity(spark, d):
     s = health.sensitivity(_scores(spark, d), "run_id")
-    # a missing component has no weight to move
-    s = s.join(health.explain(_scores(spark, d), "run_id").select("run_id", "component"), ["run_id", "component"], "left_semi")
     return s.groupBy("component").agg(F.round(F.avg("drift"), 7).alias("mean_drift"), F.round(F.max("drift"), 7).alias("max_drift"), F.count("*").alias("runs"))
 
 
