@@ -5,12 +5,13 @@ that over all dimensions; the rotated vectors are cut into blocks of ``BLOCK_DIM
 in proportion to its dimensions. If a pair keeps the whole budget it keeps that of at least one block, so the union of
 the range joins in all blocks has every pair.
 
-A block's range join cuts its dimensions into boxes by a k-d tree, whose depth follows the number of vectors, so that a box holds
-about ``LEAF`` of them; from 2^``MOST_DEPTH`` boxes on (134 million vectors), where the sample has two vectors for a box, boxes grow instead. The cuts are medians of a sample of at most about ``SAMPLE`` vectors; they decide where vectors
-meet, never whether. A vector is at home in its box and a guest in those later boxes that the budget reaches from it, so two
-vectors in reach meet in exactly one box. Boxes that hold more than ``PART`` rows are split into pairs of parts. In a task, the block's
-squared distances (a matrix product) pick candidates, a candidate is taken up in the first block whose budget it keeps and in no other,
-and its cosine is computed in double precision. What leaves a task is a link count for each vector and a spanning forest of the links, never the pairs.
+Vectors are packed into parts of about ``PART``, and each two parts meet in one task, which reads them where they are written. What is written and shuffled
+so follows the number of vectors; a copy for each box that a vector reaches would take a hundred times its size at 600,000 vectors. Within two parts
+a block's range join cuts its dimensions into boxes by a k-d tree, so that a part has about ``LEAF`` vectors in a box. The cuts are medians of a sample
+of at most about ``SAMPLE`` vectors; they decide where vectors meet, never whether. A vector is at home in its box, and those of the other part that the
+budget lets reach that box are compared with it. The block's squared distances (a matrix product) pick candidates, a candidate is taken up in the first
+block whose budget it keeps and in no other, and its cosine is computed in double precision. What leaves a task is a link count for each vector and a
+spanning forest of the links, never the pairs. The number of tasks' pairs of parts grows with the square of the vectors: 741 at 600,000.
 
 Equal vectors are one class with a weight. Defined results: null, empty or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different length don't link; rows that repeat a vec_id are vectors of their own, which bear one id;
@@ -30,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import discard, few, materialize
 from lodestrata.llm.graph import components
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
-#: Rows of a part, classes at home in a box (about), classes in the sample (about) and the most cuts on the way to a box.
-PART, LEAF, SAMPLE, MOST_DEPTH = 32_768, 8192, 32_768, 14
+#: Classes of a part and of its share of a box (about), classes in the sample (about), the most cuts on the way to a box, and groups of parts that tasks pair.
+PART, LEAF, SAMPLE, MOST_DEPTH, SPREAD = 16_384, 128, 32_768, 14, 24
 _SLACK = 1e-9
 
 
@@ -134,11 +135,11 @@ class Tree:
         return row, node
 
 
-def _trees(classes: DataFrame, threshold: float, leaf: int) -> dict[int, list[Tree]]:
+def _trees(classes: DataFrame, threshold: float, leaf: int, part: int) -> dict[int, list[Tree]]:
     """For each length of vectors in a bounded sample, a tree for each block."""
     n = classes.count()
     depth = 0
-    while n > leaf * 2**depth and depth < MOST_DEPTH:
+    while min(n, part) > leaf * 2**depth and depth < MOST_DEPTH:
         depth += 1
     if not depth:
         return {}
@@ -151,31 +152,38 @@ def _trees(classes: DataFrame, threshold: float, leaf: int) -> dict[int, list[Tr
     return out
 
 
-def _cells(classes: DataFrame, threshold: float, leaf: int) -> DataFrame:
-    """(class_id, weight, raw, dims), which is written -> a row for each block and box: cell, guest and those."""
-    held = classes.sparkSession.sparkContext.broadcast(_trees(classes, threshold, leaf))  # 2^MOST_DEPTH cuts a block and length
+def _packs(classes: DataFrame, part: int) -> DataFrame:
+    """(class_id, weight, raw, dims) -> a row for each part of about ``part`` classes of one length: dims, own, ids, weights and cells (floats if they are exact)."""
+    sizes = classes.groupBy("dims").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = classes.join(few(sizes), "dims").withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("parts")).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raws, sizes = part.column(2).to_pylist(), part.column(3).to_pylist()
-                for size in sorted(set(sizes)):
-                    where = [i for i, n in enumerate(sizes) if n == size]
-                    y = unit(_doubles([raws[i] for i in where], size)) @ rotation(size)
-                    rows = part.take(pa.array(where))
-                    for b, (dims, budget) in enumerate(blocks(size, threshold)):
-                        x = y[:, dims]
-                        tree = trees[size][b] if size in trees else Tree(x, 0)
-                        home, (row, box) = tree.home(x), tree.reach(x, budget)
-                        later = box > home[row]
-                        row, box = np.concatenate([np.arange(len(x)), row[later]]), np.concatenate([home, box[later]])
-                        guest = (np.arange(len(row)) >= len(x)).astype(np.int32)
-                        own = rows.take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([pa.array([f"{size}/{b}/{k}" for k in box.tolist()]), pa.array(guest), *own.columns], ["cell", "guest", "class_id", "weight", "raw", "dims"])
-
-    return classes.mapInArrow(run, "cell string, guest int, class_id long, weight long, raw binary, dims int")
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        raw = _doubles(rows["raw"].to_pylist(), key[0].as_py())
+        with np.errstate(over="ignore", under="ignore"):
+            short = raw.astype("<f4")
+        cells = short if (short == raw).all() else raw
+        values = [key[0], key[1], *(pa.scalar(x.tobytes(), pa.binary()) for x in (rows["class_id"].to_numpy(), rows["weight"].to_numpy(), cells))]
+        return pa.table([pa.array([v.as_py()], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["dims", "own", "ids", "weights", "cells"])
+
+    return dealt.select("dims", "own", "class_id", "weight", "raw").groupBy("dims", "own").applyInArrow(pack, "dims int, own int, ids binary, weights binary, cells binary")
+
+
+class Part:
+    """Vectors of one part, as they are compared."""
+
+    def __init__(self, dims: int, ids: bytes, weights: bytes, cells: bytes):
+        self.ids, self.weight = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+        self.x = unit(np.frombuffer(cells, "<f4" if len(cells) == 4 * dims * len(self.ids) else "<f8").reshape(-1, dims).astype(float))
+        self.y = self.x @ rotation(dims)
+        self.reached: dict[int, tuple] = {}
+
+    def reach(self, block: int, tree: Tree, own: slice, budget: float) -> tuple[np.ndarray, np.ndarray]:
+        """(box, row) of all boxes within reach, by box; kept, as a part is met by many."""
+        if block not in self.reached:
+            row, box = tree.reach(self.y[:, own], budget)
+            order = np.argsort(box, kind="stable")
+            self.reached[block] = box[order].astype(np.int32), row[order].astype(np.int32)
+        return self.reached[block]
 
 
 class Forest:
@@ -194,79 +202,69 @@ class Forest:
                 self.label = self.label[self.label]
 
 
-def links_of(ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, guest: np.ndarray, side: np.ndarray, same: bool, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts and labels, by position, of the pairs of a cell that belong to ``block``: two homes, or a home and a guest.
+def links_of(left: Part, right: Part, same: bool, trees: list[Tree] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, link counts and labels, by position, of the links between two parts, or within one (``same``).
 
-    ``same``: all rows are one part; else the pairs are those between side 0 and side 1.
+    A pair meets in the home box of the right one, which the left one reaches in the first block whose budget the pair keeps.
     """
-    x = unit(raw)
-    y, cut = x @ rotation(x.shape[1]), blocks(x.shape[1], threshold)
-    own, budget = cut[block]
-    u = np.ascontiguousarray(y[:, own], dtype=np.float32)
-    half, one = (u * u).sum(axis=1, keepdims=True) / 2, np.ones((len(u), 1), dtype=np.float32)
-    a_side, b_side = np.hstack([u, -half, -one]), np.hstack([u, one, half])  # their product is minus half the squared distance
+    ids, weight, shift = (left.ids, left.weight, 0) if same else (np.concatenate([left.ids, right.ids]), np.concatenate([left.weight, right.weight]), len(left.ids))
+    cut = blocks(left.x.shape[1], threshold)
     count, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
-    rows = np.arange(len(ids))
-    homes, guests = rows[guest == 0], rows[guest == 1]
-    if same:
-        turns = [(homes, homes), (homes, guests)]
-    else:
-        left, right = rows[side == 0], rows[side == 1]
-        turns = [(left[guest[left] == 0], right), (left[guest[left] == 1], right[guest[right] == 0])]
-    for left, right in turns:
-        b_right = np.ascontiguousarray(b_side[right].T)
-        for k in range(0, len(left), 256):
-            i = left[k : k + 256]
-            p, q = np.divmod(np.flatnonzero(a_side[i] @ b_right >= -budget / 2 - 1e-5), max(1, len(right)))
-            p, q = i[p], right[q]
-            if left is right:
-                p, q = p[p < q], q[p < q]
-            for c in range(0, len(p), 65_536):
-                a, b = p[c : c + 65_536], q[c : c + 65_536]
-                d = (y[a] - y[b]) ** 2
-                inside = np.stack([d[:, dims].sum(axis=1) <= most for dims, most in cut], axis=1)
-                keep = inside.any(axis=1) & (inside.argmax(axis=1) == block) & ((x[a] * x[b]).sum(axis=1) >= threshold) & (ids[a] != ids[b])
-                a, b = a[keep], b[keep]
-                np.add.at(count, a, weight[b])
-                np.add.at(count, b, weight[a])
-                forest.add(a, b)
-    return count, forest.label
-
-
-def _linked(cells: DataFrame, threshold: float) -> DataFrame:
-    """Sorted part pairs of cells -> (a, n, b): a has n links here, and is linked (by way of others) with b if that isn't null."""
-
-    def one(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        ids, weight, guest, side = (rows[c].to_numpy() for c in ("class_id", "weight", "guest", "side"))
-        if len(ids) < 2:
-            return None
-        raw = _doubles(rows["raw"].to_pylist(), rows["dims"][0].as_py())
-        count, label = links_of(ids, weight, raw, guest, side, key[1] == key[2], int(key[0].split("/")[1]), threshold)
-        hit = np.flatnonzero(count)
-        if not len(hit):
-            return None
-        to = ids[label[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(to, mask=to == ids[hit])], ["a", "n", "b"])
+    for block, (own, budget) in enumerate(cut):
+        tree = trees[block] if trees else Tree(right.y[:, own], 0)
+        box, row = left.reach(block, tree, own, budget)
+        home = tree.home(right.y[:, own])
+        order = np.argsort(home, kind="stable")
+        u, v = (np.ascontiguousarray(p.y[:, own], dtype=np.float32) for p in (left, right))
+        half = lambda z: (z * z).sum(axis=1, keepdims=True) / 2
+        one = lambda z: np.ones((len(z), 1), dtype=np.float32)
+        a_side, b_side = np.hstack([u, one(u), half(u)]), np.hstack([v, -half(v), -one(v)])  # their product is minus half the squared distance
+        for here in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            guests = row[slice(*np.searchsorted(box, [home[here[0]], home[here[0]] + 1]))]
+            across = np.ascontiguousarray(a_side[guests].T)
+            for k in range(0, len(here), 256):
+                some = here[k : k + 256]
+                q, p = np.divmod(np.flatnonzero(b_side[some] @ across >= -budget / 2 - 1e-5), max(1, len(guests)))
+                p, q = guests[p], some[q]
+                if same:
+                    p, q = p[p < q], q[p < q]
+                for c in range(0, len(p), 65_536):
+                    a, b = p[c : c + 65_536], q[c : c + 65_536]
+                    d = (left.y[a] - right.y[b]) ** 2
+                    inside = np.stack([d[:, dims].sum(axis=1) <= most for dims, most in cut], axis=1)
+                    keep = inside.any(axis=1) & (inside.argmax(axis=1) == block) & ((left.x[a] * right.x[b]).sum(axis=1) >= threshold) & (left.ids[a] != right.ids[b])
+                    a, b = a[keep], b[keep] + shift
+                    np.add.at(count, a, weight[b])
+                    np.add.at(count, b, weight[a])
+                    forest.add(a, b)
+    return ids, count, forest.label
+
+
+def _linked(packs: DataFrame, trees: dict[int, list[Tree]], threshold: float) -> DataFrame:
+    """Written parts -> (a, n, b): a has n links here, and is linked (by way of others) with b if that isn't null.
+
+    Each two parts of one length meet once, in a product of their rows: tasks read parts, and no vector is copied for a box or another part.
+    """
+    held = packs.sparkSession.sparkContext.broadcast(trees)  # 2^MOST_DEPTH cuts a block and length
+    spread = packs.repartition(max(1, min(SPREAD, packs.count())))
+    a, b = (spread.toDF(*[f"{c}_{side}" for c in packs.columns]) for side in "ab")
+    pairs = a.join(b, (F.col("dims_a") - F.col("dims_b") == 0) & (F.col("own_a") <= F.col("own_b")))  # no key to shuffle by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, left = None, None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            begin = 0
-            while begin < len(keys):
-                end = begin + 1
-                while end < len(keys) and keys[end] == keys[begin]:
-                    end += 1
-                if keys[begin] != key:
-                    if held and (out := one(key, pa.Table.from_batches(held))) is not None:
-                        yield out
-                    key, held = keys[begin], []
-                held.append(batch.slice(begin, end - begin))
-                begin = end
-        if held and (out := one(key, pa.Table.from_batches(held))) is not None:
-            yield out
-
-    return cells.mapInArrow(run, "a long, n long, b long")
+            for k in range(batch.num_rows):
+                dims, own_a, ids_a, weights_a, cells_a, _, own_b, ids_b, weights_b, cells_b = (batch.column(c)[k].as_py() for c in range(10))
+                if (dims, own_a) != key:
+                    key, left = (dims, own_a), Part(dims, ids_a, weights_a, cells_a)
+                right = left if own_a == own_b else Part(dims, ids_b, weights_b, cells_b)
+                ids, count, label = links_of(left, right, right is left, held.value.get(dims), threshold)
+                hit = np.flatnonzero(count)
+                if len(hit):
+                    to = ids[label[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(to, mask=to == ids[hit])], ["a", "n", "b"])
+
+    return pairs.mapInArrow(run, "a long, n long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, part: int = PART) -> DataFrame:
@@ -276,16 +274,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     # one id may stand for two vectors, so classes are numbered by their keys' hash; ids come back at the end
     sums = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("raw").alias("raw"), F.first("dims").alias("dims"))
     sums = materialize(spark, sums.select("key", F.xxhash64("key").alias("class_id"), "first_id", "weight", "raw", "dims"), "vector-classes")
-    cells = materialize(spark, _cells(sums.select("class_id", "weight", "raw", "dims"), threshold, leaf), "vector-cells")
-    parts = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("guest").alias("_home")).filter("_n > 1 and _home = 0")
-    parts = parts.select("cell", F.ceil(F.col("_n") / part).cast("int").alias("parts"))
-    dealt = cells.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "cell", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "guest", "class_id", "weight", "raw", "dims",
-    )
-    dealt = dealt.repartition("cell", "part_a", "part_b").sortWithinPartitions("cell", "part_a", "part_b")
-    found = materialize(spark, _linked(dealt, threshold), "vector-links")
+    classes = sums.select("class_id", "weight", "raw", "dims")
+    packs = materialize(spark, _packs(classes, part), "vector-parts")
+    found = materialize(spark, _linked(packs, _trees(classes, threshold, leaf, part), threshold), "vector-links")
+    discard(packs)
     others = found.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("_others"))
     named = components(found.filter("b is not null").select("a", "b"))
     known = sums.select("key", "first_id", "weight", F.col("class_id").alias("c")).join(others, "c", "left")

@@ -74,3 +74,12 @@ def test_boxes_within_reach_are_all_found():
     near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.01
     assert len(set(home.tolist())) > 20
     assert all((i, home[j]) in met for i, j in np.argwhere(near).tolist())
+
+
+def test_no_vector_is_copied_for_boxes_or_other_parts(spark):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(k, 1, np.float32(v).tobytes(), 16) for k, v in enumerate(rng.normal(size=(600, 16)))], "class_id long, weight long, raw binary, dims int")
+    packs = embeddings._packs(table, 100).collect()
+    assert len(packs) == 6
+    assert sorted(i for p in packs for i in np.frombuffer(p["ids"], np.int64).tolist()) == list(range(600))
+    assert sum(len(p["cells"]) for p in packs) == 600 * 16 * 4
