@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.graph import checkpoint_dir
+from lodestrata.operators.retrieval import _dots as dots
 
 #: Vectors of a block at most (about), sampled vectors, vectors for each pivot (about), and queries that go to a block together.
-BLOCK, SAMPLE, OF_PIVOT, TOGETHER = 1024, 4096, 512, 64
+BLOCK, SAMPLE, OF_PIVOT, TOGETHER = 1024, 4096, 512, 1024
 _SCOPE = ("run_id", "model_name", "dimension")
 _SLACK = 1e-9
 
@@ -36,25 +37,44 @@ def _unit(raw: list) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows, summed in the order of dimensions; 0 for a zero vector."""
-    dot, a, b = np.zeros(len(x)), 0.0, np.zeros(len(x))
-    for d in range(x.shape[1]):
-        dot, a, b = dot + q[d] * x[:, d], a + q[d] * q[d], b + x[:, d] * x[:, d]
-    norm = np.sqrt(a) * np.sqrt(b)
-    return np.divide(dot, norm, out=np.zeros(len(x)), where=norm > 0)
+def _best(q: np.ndarray, x: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k best rows of each query, ties by ``place``; 0 for a zero vector.
+
+    A matrix product finds what comes near the k-th best, and only that is summed in the order of dimensions.
+    """
+    length = lambda z: np.sqrt(dots(z, every := np.arange(len(z)), z, every))
+    lq, lx = length(q), length(x)
+    found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    with np.errstate(all="ignore"):
+        uq, ux = (z / np.where(n == 0, 1, n)[:, None] for z, n in ((q, lq), (x, lx)))
+        for at in range(0, len(q), 64):
+            near = uq[at : at + 64] @ ux.T
+            near[np.isnan(near)] = 2
+            least = np.partition(near, -k, axis=1)[:, -k] if k < near.shape[1] else near.min(axis=1)
+            i, j = np.nonzero(near >= least[:, None] - 4e-9)
+            i += at
+            norm = lq[i] * lx[j]
+            s = np.where(norm > 0, dots(q, i, x, j) / norm, 0.0)
+            order = np.lexsort((place[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            first = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0))
+            keep = np.arange(len(i)) - first < k
+            found.append((i[keep], j[keep], s[keep]))
+    i, j, s = (np.concatenate(z) for z in zip(*found, strict=True))
+    return i, j, s
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
     """(scope, chunk_key, chunk_id, vector) -> a row for each block: scope, block, centroid, radius, keys, ids, cells."""
     spark = vectors.sparkSession
-    n = vectors.count()
+    scopes = vectors.groupBy(*_SCOPE).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    n, most = scopes["n"] or 0, scopes["most"] or 0  # pivots for the largest scope, so that its blocks are neither many nor small
     share = min(1.0, SAMPLE / max(1, n)) * 1_000_000
     sample = vectors.filter(F.pmod(F.xxhash64("chunk_key"), F.lit(1_000_000)) < share).select("vector").limit(2 * SAMPLE).collect()
     pivots: dict[int, np.ndarray] = {}
     for size in {len(r["vector"]) for r in sample}:
         own = _unit(sorted(list(r["vector"]) for r in sample if len(r["vector"]) == size))
-        pivots[size] = own[np.linspace(0, len(own) - 1, max(1, min(len(own), n // OF_PIVOT))).astype(int)]
+        pivots[size] = own[np.linspace(0, len(own) - 1, max(1, min(len(own), most // OF_PIVOT))).astype(int)]
     held = spark.sparkContext.broadcast(pivots)  # of a bounded sample
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,22 +110,23 @@ def _block_schema(table: pa.Table) -> list[tuple]:
     return [*((c, table.schema.field(c).type) for c in _SCOPE), *more]
 
 
-def _scored(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(query_id, query, block) -> query_id, chunk_key, chunk_id, score: the k best of each block."""
+def _scored(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, block), (query_id, query) -> query_id, chunk_key, chunk_id, score: the k best of each block."""
     query_type = pairs.schema["query_id"].dataType.simpleString()
-    sets = pairs.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("block").orderBy("query_id")) - 1) / TOGETHER)).groupBy("block", "turn").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    turn = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("query_id")) - 1) / TOGETHER)
+    sets = pairs.withColumn("turn", turn).join(asked.select("query_id", "query"), "query_id").groupBy("block", "turn").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["cells"], "<f8").reshape(len(row["ids"]), -1)
-                out = []
-                for q in row["asked"]:
-                    s = in_order(np.array(q["query"], dtype=float), x)
-                    order = sorted(range(len(s)), key=lambda i: (-s[i], row["ids"][i], row["keys"][i]))[:k]
-                    out += [(q["query_id"], row["keys"][i], row["ids"][i], float(s[i])) for i in order]
-                types = [batch.schema.field("asked").type.value_type.field("query_id").type, pa.int64(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["query_id", "chunk_key", "chunk_id", "score"])
+            for at in range(batch.num_rows):
+                asked_, keys, ids, cells = (batch.column(c)[at] for c in range(4))
+                query_id, query = asked_.values.flatten()
+                ids, keys = ids.as_py(), keys.as_py()
+                place = np.empty(len(ids), dtype=np.int64)
+                place[sorted(range(len(ids)), key=lambda i: (ids[i], keys[i]))] = np.arange(len(ids))  # noqa: B023
+                i, j, s = _best(query.flatten().to_numpy(zero_copy_only=False).reshape(len(query), -1), np.frombuffer(cells.as_py(), "<f8").reshape(len(ids), -1), place, k)
+                columns = [query_id.take(pa.array(i)), pa.array(keys, pa.int64()).take(pa.array(j)), pa.array(ids, pa.string()).take(pa.array(j)), pa.array(s)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_key", "chunk_id", "score"])
 
     return sets.join(blocks.select("block", "keys", "ids", "cells"), "block").select("asked", "keys", "ids", "cells").mapInArrow(run, f"query_id {query_type}, chunk_key long, chunk_id string, score double")
 
@@ -124,14 +145,14 @@ def search(embeddings: DataFrame, chunks: DataFrame, queries: DataFrame, k: int
     unit = F.transform("query", lambda v: F.when(length > 0, v / F.nullif(length, F.lit(0.0))).otherwise(0.0))
     away = F.sqrt(F.aggregate(F.zip_with("unit", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
     near = F.greatest(F.lit(0.0), away - F.col("radius") - _SLACK)
-    bounds = asked.withColumn("unit", unit).join(blocks.select(*_SCOPE, "block", "centroid", "radius"), list(_SCOPE)).select("query_id", "query", "block", (1 - near * near / 2).alias("bound")).checkpoint()
+    bounds = asked.withColumn("unit", unit).join(blocks.select(*_SCOPE, "block", "centroid", "radius"), list(_SCOPE)).select("query_id", "block", (1 - near * near / 2).alias("bound")).checkpoint()
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
-    first = bounds.withColumn("turn", turn).filter("turn = 1").select("query_id", "query", "block")
+    first = bounds.withColumn("turn", turn).filter("turn = 1").select("query_id", "block")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id", "chunk_key"))
-    best = _scored(first, blocks, k).withColumn("rank", rank).filter(F.col("rank") <= k).checkpoint()
+    best = _scored(first, asked, blocks, k).withColumn("rank", rank).filter(F.col("rank") <= k).checkpoint()
     least = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    rest = bounds.join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least"))).join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").select("query_id", "query", "block").checkpoint()
-    best = best.drop("rank").unionByName(_scored(rest, blocks, k)).withColumn("rank", rank).filter(F.col("rank") <= k)
+    rest = bounds.join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least"))).join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").select("query_id", "block").checkpoint()
+    best = best.drop("rank").unionByName(_scored(rest, asked, blocks, k)).withColumn("rank", rank).filter(F.col("rank") <= k)
     shown = best.drop("chunk_id").join(own, "chunk_key").join(queries.select("query_id", "model_name"), "query_id").drop("chunk_key").withColumn("score", F.round("score", 4))
 
     has = lambda rows, name: rows.groupBy("run_id").agg(F.count("*").alias(name))

@@ -49,3 +49,13 @@ def test_nothing_to_search(spark):
     e, c, a = spark.createDataFrame([], EMB), spark.createDataFrame([], CHUNK), spark.createDataFrame([(1, "r", "m", [1.0])], ASK)
     shown, outcomes, _ = chunk_search.search(e, c, a)
     assert shown.count() == 0 and [tuple(r) for r in outcomes.collect()] == [(1, "r", "empty", 0)]
+
+
+def test_blocks_follow_the_size_of_a_scope(spark, monkeypatch):
+    """16 runs of 64 vectors: three pivots for each run, and not the fifty that all vectors together would get."""
+    monkeypatch.setattr(chunk_search, "OF_PIVOT", 20)
+    rng = np.random.default_rng(7)
+    rows = [(f"r{k % 16}", "m", 8, k, f"c{k}", v.tolist()) for k, v in enumerate(rng.normal(size=(1024, 8)))]
+    blocks = chunk_search._blocks(spark.createDataFrame(rows, "run_id string, model_name string, dimension int, chunk_key long, chunk_id string, vector array<double>")).collect()
+    assert len(blocks) <= 16 * 3
+    assert sorted(k for b in blocks for k in b["keys"]) == list(range(1024))
