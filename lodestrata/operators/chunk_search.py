@@ -26,7 +26,7 @@ from lodestrata.operators.graph import checkpoint_dir
 from lodestrata.operators.retrieval import _dots as dots
 
 #: Vectors of a block at most (about), sampled vectors, vectors for each pivot (about), and queries that go to a block together.
-BLOCK, SAMPLE, OF_PIVOT, TOGETHER = 1024, 4096, 512, 1024
+BLOCK, SAMPLE, OF_PIVOT, TOGETHER = 8192, 4096, 4096, 1024
 _SCOPE = ("run_id", "model_name", "dimension")
 _SLACK = 1e-9
 
