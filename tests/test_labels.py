@@ -1,5 +1,7 @@
 """Labels, states and evidence where the tables don't reach: odd values, against plain versions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def test_shown_score_of_negative_zero_and_of_large_numbers(spark):
     assert [r["t"] for r in rows] == [f"{s:.1f}" for s in scores]
 
 
+def test_shown_score_of_halves_that_a_hundredth_does_not_move(spark):
+    scores = [140968689464484.25, -140991552869606.75, 2.0**46 + 0.25, 2.0**51 + 0.75, 2.0**50 - 0.25, 9225823458939314176.0, -4998792514413499984732535513453428736.0, 2.0**53, 2.0**62, 2.0**63]
+    rows = spark.createDataFrame([(s,) for s in scores], "s double").select(L.shown_score(F.col("s")).alias("t")).collect()
+    moved = lambda s: s + math.copysign(0.01, s) if s % 0.5 == 0.25 else s
+    assert [r["t"] for r in rows] == [f"{moved(s):.1f}" for s in scores]
+
+
 def test_token_counts(spark):
     cases = {'{"n": 5}': 5, '{"n": {"a": 1}}': None, '{"n": 0}': 0, '{"n": -1}': None, '{"n": 5.0}': None, '{"n": true}': None, '{"n": "5"}': None, '{"n": null}': None, "{}": None, "[5]": None, "x": None, '{"n": 12345678901}': 12345678901}
     rows = spark.createDataFrame([(k,) for k in [*cases, None]], "u string").select("u", L.token_count(F.col("u"), "n").alias("n")).collect()
