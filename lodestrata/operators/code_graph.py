@@ -5,9 +5,10 @@ imports (file, imported, alias, ord), calls (call_id, caller, raw). ``ord`` is t
 several things, the first or the last by it counts, as each rung says. Paths are normal already. Every rung of a ladder is a
 count of matches and the first and last of them, joined by key; one ``when`` picks the first rung that decides.
 
-A call's answer depends on its file, the class that holds it, what it says and, only where it bears its caller's name, on the caller. Each
-such question is answered once, and calls are joined with the answers. Tables of definitions are broadcast where they are counted
-to be small, and shuffled by key where not.
+What the rungs look up has a row for each name and place, not for each definition, and is found once. Where all of it is counted to be small it is broadcast, and
+calls are shuffled once, by caller. Where not, it is shuffled by key: a call's answer depends on its file, the class that holds it, what it says
+and, only where it bears its caller's name, on the caller; each such question is answered once, and calls are joined with the answers.
+Methods are counted by file, class name and name: many classes of one name share them.
 
 Defined results: names that nothing bears are targets of their own kind (``class_target::``, ``unresolved_call::``); null aliases
 and owners mean none; empty tables give no edges; a repeated class or function counts as often as it comes.
@@ -22,15 +23,15 @@ from lodestrata.operators.graph import CERTAIN, FLAGGED, HIGH, LOW, base_class_l
 
 def stripped(name: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(name, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+    return F.btrim(name, F.lit(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"))
 
 
 def last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-#: A table of definitions is broadcast up to so many rows.
-BROADCAST_ROWS = 100_000
+#: What is looked up is broadcast up to so many rows: a row for each name and place.
+BROADCAST_ROWS = 300_000
 
 
 def _counted(rows: DataFrame, keys: list[str], prefix: str, value: str = "id") -> DataFrame:
@@ -80,6 +81,7 @@ def ancestors(parents: DataFrame) -> DataFrame:
     """(class_id, place, target) -> class_id, ancestor, way: all ancestors, with the first way to each, shorter ones first, then by the
     places of bases. A round adds one step to ways found in the one before; pairs that are known end there, and so do cycles."""
     checkpoint_dir(parents.sparkSession)
+    parents = parents.filter(~F.startswith("target", F.lit("ambiguous_class::")) & ~F.startswith("target", F.lit("class_target::")))  # names lead nowhere
     step = parents.groupBy("class_id", F.col("target").alias("ancestor")).agg(F.min("place").alias("place"))
     known = step.select("class_id", "ancestor", F.array("place").alias("way")).checkpoint()
     fresh = known
@@ -92,6 +94,44 @@ def ancestors(parents: DataFrame) -> DataFrame:
         known = known.unionByName(fresh).checkpoint()
 
 
+def _first_classes(classes: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """As ``_counted``, with the file of the first class and how often it comes."""
+    ids = classes.groupBy("file", "name", "id").agg(F.count("*").alias("copies"), F.min("ord").alias("low"))
+    rows = ids.groupBy(*keys).agg(F.sum("copies").alias(f"{prefix}_n"), F.min(F.struct("low", "id", F.col("file").alias("of_file"), "copies")).alias("c"))
+    return rows.select(*keys, f"{prefix}_n", F.col("c.id").alias(f"{prefix}_id"), F.col("c.of_file").alias(f"{prefix}_file"), F.col("c.copies").alias(f"{prefix}_copies"))
+
+
+def _imported(imports: DataFrame, files: DataFrame, depends: DataFrame, of_file: DataFrame, class_near: DataFrame) -> DataFrame:
+    """file, bound: what an imported name stands for. means: the file, for ``new X`` and ``x.m``; ic_id: the class of the name there; from_import: the function
+    that a bare call means; imported_too: whether the last name of an import, or its alias, is this one."""
+    known = modules(files)
+    rows = bound_imports(imports)
+    module = F.when(F.contains("imported", F.lit(".")), F.regexp_extract("imported", r"^(.*)\.[^.]*$", 1)).otherwise(F.col("imported"))
+    rows = rows.withColumn("module", module).withColumn("symbol", last_part(F.col("imported")))
+    target = depends.select("file", "imported", "target")
+    rows = rows.join(target.toDF("file", "imported", "d_whole"), ["file", "imported"], "left").join(target.toDF("file", "module", "d_module"), ["file", "module"], "left")
+    rows = rows.join(known.toDF("imported", "m_whole"), "imported", "left").join(known.toDF("module", "m_module"), "module", "left")
+    rows = rows.withColumn("means", F.coalesce("d_whole", "m_whole")).withColumn("bare", F.coalesce("d_whole", "d_module", "m_module", "m_whole"))
+    rows = rows.withColumn("sought", F.when(F.col("alias").eqNullSafe(F.col("bound")), F.col("symbol")).otherwise(F.col("bound")))
+    of = of_file.select("file", "name", "near_n", "near_id")
+    rows = rows.join(of.toDF("bare", "sought", "im_n", "im_id"), ["bare", "sought"], "left").join(of.toDF("bare", "symbol", "is_n", "is_id"), ["bare", "symbol"], "left")
+    rows = rows.join(class_near.select(F.col("file").alias("means"), F.col("name").alias("bound"), F.col("cn_id").alias("ic_id")), ["means", "bound"], "left")
+    too = imports.select("file", F.coalesce("alias", last_part(F.col("imported"))).alias("bound"), F.lit(True).alias("imported_too")).distinct()
+    found = F.when(F.col("im_n") == 1, F.col("im_id")).when(F.col("im_n").isNull() & (F.col("is_n") == 1), F.col("is_id"))
+    return rows.join(too, ["file", "bound"], "left").select("file", "bound", "means", "ic_id", found.alias("from_import"), "imported_too")
+
+
+def _methods(classes: DataFrame, methods: DataFrame, class_near: DataFrame) -> DataFrame:
+    """file, class_owner, name -> om_n, om_id: methods of the first class of a name in a file; um_n, um_id: those of its first ancestor that has any.
+    An ancestor is the only class of its name where it was found."""
+    home = class_near.select("file", F.col("name").alias("class_owner"), F.col("cn_id").alias("class_id"), "cn_copies")
+    own = methods.join(home, ["file", "class_owner"]).select("file", "class_owner", "name", (F.col("m_n") * F.col("cn_copies")).alias("om_n"), F.col("m_id").alias("om_id"))
+    up = ancestors(inheritance(classes)).join(classes.select(F.col("id").alias("ancestor"), "file", F.col("name").alias("class_owner")), "ancestor").join(methods, ["file", "class_owner"])
+    up = up.groupBy("class_id", "name").agg(F.min_by(F.struct("m_n", "m_id"), F.struct(F.size("way"), "way")).alias("u"))
+    up = up.join(home, "class_id").select("file", "class_owner", "name", F.col("u.m_n").alias("um_n"), F.col("u.m_id").alias("um_id"))
+    return own.join(up, ["file", "class_owner", "name"], "full")
+
+
 def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """-> call_id, caller, raw, target, confidence, rung (what decided).
 
@@ -100,57 +140,51 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     that x is bound to, else the method of the only class x. ``f``: the function that an import of f means, that of the first module the
     file depends on, the only other one in the file unless its name is also imported. All but ``new`` end with the only other function of the name.
     """
-    small = max(t.count() for t in (functions, classes, imports, files)) <= BROADCAST_ROWS
-    near_by = F.broadcast if small else lambda df: df  # a table that is broadcast has at most three rows for each of one of these
-    depends = dependencies(imports, files)
-    bound = bound_imports(imports)
-    known = modules(files)
+    checkpoint_dir(calls.sparkSession)
+    depends = dependencies(imports, files).checkpoint()
+    methods = _counted(functions.filter("class_owner is not null"), ["file", "class_owner", "name"], "m").drop("m_2").checkpoint()
+    of_file = _counted(functions, ["file", "name"], "near").checkpoint()
+    class_near = _first_classes(classes, ["file", "name"], "cn").checkpoint()
+    class_far = _first_classes(classes, ["name"], "cf").checkpoint()
+    only = class_far.filter("cf_n = 1").select(F.col("cf_file").alias("file"), F.col("name").alias("class_owner"))
+    found = {
+        "imported": _imported(imports, files, depends, of_file, class_near),
+        "here": of_file.join(class_near.select("file", "name", "cn_n", "cn_id"), ["file", "name"], "full"),
+        "far": _counted(functions, ["name"], "far").join(class_far.select("name", "cf_n", "cf_id"), "name", "full"),
+        "methods": _methods(classes, methods, class_near),
+        "of_class": methods.filter("m_n = 1").join(only, ["file", "class_owner"]).select(F.col("class_owner").alias("receiver"), "name", F.col("m_id").alias("rm_id")),
+    }
+    found = {k: v.checkpoint() for k, v in found.items()}
+    # modules in use and the functions that each of them alone bears
+    order = imports.select("file", stripped(F.col("imported")).alias("imported"), "ord").groupBy("file", "imported").agg(F.min("ord").alias("ord"))
+    uses = depends.join(order, ["file", "imported"]).select("file", "ord", F.col("target").alias("t"))
+    single = of_file.filter("near_n = 1").select(F.col("file").alias("t"), "name", F.col("near_id").alias("offer"))
+    offers = uses.groupBy("t").agg(F.count("*").alias("uses")).join(single.groupBy("t").agg(F.count("*").alias("names")), "t").agg(F.coalesce(F.sum(F.col("uses") * F.col("names")), F.lit(0)).alias("n"))
+    counts = offers
+    for table in (depends, of_file, *found.values()):
+        counts = counts.unionByName(table.agg(F.count("*").alias("n")))
+    small = max(r["n"] for r in counts.collect()) <= BROADCAST_ROWS  # a number for each of these tables
+    near_by = F.broadcast if small else lambda df: df
     homes = functions.select(F.col("id").alias("caller"), "file", "class_owner", F.col("name").alias("own_name"))
-    raw = stripped(F.col("raw"))
-    kind = F.when(F.startswith(raw, F.lit("new ")), "new").when(F.rlike(raw, F.lit(r"^(self|this|super)\.")), "receiver").when(F.contains(raw, F.lit(".")), "qualified").otherwise("bare")
-    made = calls.join(near_by(homes), "caller").withColumn("kind", kind)
+    raw = F.col("said")
+    kind = F.when(F.startswith(raw, F.lit("new ")), "new").when(F.substring_index(raw, ".", 1).isin("self", "this", "super") & F.contains(raw, F.lit(".")), "receiver").when(F.contains(raw, F.lit(".")), "qualified").otherwise("bare")
+    made = calls.join(homes, "caller").withColumn("said", stripped(F.col("raw"))).withColumn("kind", kind)
     subject = F.when(F.col("kind") == "new", last_part(stripped(F.substr(raw, F.lit(5))))).when(F.col("kind") == "bare", raw).otherwise(last_part(raw))
-    receiver = F.when(F.col("kind") == "qualified", last_part(F.regexp_extract(raw, r"^(.*)\.[^.]*$", 1)))
+    receiver = F.when(F.col("kind") == "qualified", F.substring_index(F.substring_index(raw, ".", -2), ".", 1))
     made = made.withColumn("name", subject).withColumn("receiver", receiver)
     asked = ("file", "class_owner", "raw", "self_id")  # the caller counts itself out of its own name
     made = made.withColumn("self_id", F.when(F.col("own_name") == F.col("name"), F.col("caller")))
-    rows = made.select(*asked, "kind", "name", "receiver").distinct().withColumn("bound", F.coalesce("receiver", "name"))
+    rows = made if small else made.select(*asked, "kind", "name", "receiver").distinct()
+    rows = rows.withColumn("bound", F.coalesce("receiver", "name"))
 
-    # the file that the import of the bound name means
-    rows = rows.join(near_by(bound), ["file", "bound"], "left")
-    module = F.when(F.contains("imported", F.lit(".")), F.regexp_extract("imported", r"^(.*)\.[^.]*$", 1)).otherwise(F.col("imported"))
-    rows = rows.withColumn("module", module).withColumn("symbol", last_part(F.col("imported")))
-    target = depends.select("file", F.col("imported").alias("key"), F.col("target").alias("to"))
-    rows = rows.join(near_by(target.toDF("file", "imported", "d_whole")), ["file", "imported"], "left").join(near_by(target.toDF("file", "module", "d_module")), ["file", "module"], "left")
-    rows = rows.join(near_by(known.toDF("imported", "m_whole")), "imported", "left").join(near_by(known.toDF("module", "m_module")), "module", "left")
-    means = F.when(F.col("kind") == "bare", F.coalesce("d_whole", "d_module", "m_module", "m_whole")).otherwise(F.coalesce("d_whole", "m_whole"))
-    rows = rows.withColumn("means", means).withColumn("sought", F.when((F.col("kind") == "bare") & F.col("alias").eqNullSafe(F.col("name")), F.col("symbol")).otherwise(F.col("name")))
-
-    of_file = _counted(functions, ["file", "name"], "near")
-    of_name = _counted(functions, ["name"], "far")
-    class_near, class_far = _counted(classes, ["file", "name"], "cn"), _counted(classes, ["name"], "cf")
-    methods = _counted(functions.select("file", F.col("class_owner").alias("owner"), F.col("name").alias("method"), "id", "ord").join(near_by(classes.select("file", F.col("name").alias("owner"), F.col("id").alias("class_id"))), ["file", "owner"]), ["class_id", "method"], "m")
-    rows = rows.join(near_by(of_file.toDF("means", "sought", "im_n", "im_id", "im_2")), ["means", "sought"], "left")
-    rows = rows.join(near_by(of_file.toDF("means", "symbol", "is_n", "is_id", "is_2")), ["means", "symbol"], "left")
-    rows = rows.join(near_by(class_near.toDF("means", "name", "ic_n", "ic_id", "ic_2")), ["means", "name"], "left")
-    rows = rows.join(near_by(class_near), ["file", "name"], "left").join(near_by(class_far), "name", "left")
-    rows = rows.join(near_by(of_file), ["file", "name"], "left").join(near_by(of_name), "name", "left")
-    # methods of the caller's class and its ancestors, and of the one class that a receiver names
-    rows = rows.join(near_by(class_near.toDF("file", "class_owner", "own_n", "own_class", "own_2").drop("own_n", "own_2")), ["file", "class_owner"], "left")
-    rows = rows.join(methods.toDF("own_class", "name", "om_n", "om_id", "om_2"), ["own_class", "name"], "left")
-    up = ancestors(inheritance(classes)).join(methods.withColumnRenamed("class_id", "ancestor"), "ancestor")
-    up = up.groupBy("class_id", "method").agg(F.min_by(F.struct("m_n", "m_id"), F.struct(F.size("way"), "way")).alias("u"))
-    rows = rows.join(up.select(F.col("class_id").alias("own_class"), F.col("method").alias("name"), F.col("u.m_n").alias("um_n"), F.col("u.m_id").alias("um_id")), ["own_class", "name"], "left")
-    rows = rows.join(near_by(class_far.toDF("receiver", "rc_n", "rc_id", "rc_2")), "receiver", "left")
-    rows = rows.join(methods.toDF("rc_id", "name", "rm_n", "rm_id", "rm_2"), ["rc_id", "name"], "left")
+    rows = rows.join(near_by(found["imported"]), ["file", "bound"], "left").join(near_by(found["here"]), ["file", "name"], "left").join(near_by(found["far"]), "name", "left")
+    rows = rows.join(near_by(found["methods"]), ["file", "class_owner", "name"], "left").join(near_by(found["of_class"]), ["receiver", "name"], "left")
+    rows = rows.join(near_by(of_file.select(F.col("file").alias("means"), "name", F.col("near_n").alias("im_n"), F.col("near_id").alias("im_id"))), ["means", "name"], "left")
     # the first module, in order of imports, that has one function of the name
-    order = imports.select("file", stripped(F.col("imported")).alias("imported"), "ord").groupBy("file", "imported").agg(F.min("ord").alias("ord"))
-    offered = depends.join(order, ["file", "imported"]).select("file", "ord", F.col("target").alias("t")).join(of_file.filter("near_n = 1").select(F.col("file").alias("t"), "name", F.col("near_id").alias("offer")), "t")
-    wanted = rows.filter("kind = 'bare'").select("file", "name").distinct()
-    offered = offered.join(wanted, ["file", "name"]).groupBy("file", "name").agg(F.min_by("offer", "ord").alias("offer"))
-    rows = rows.join(offered, ["file", "name"], "left")
-    imported_too = bound.join(imports.select("file", F.coalesce("alias", last_part(F.col("imported"))).alias("bound")).distinct(), ["file", "bound"]).select("file", F.col("bound").alias("name"), F.lit(True).alias("imported_too"))
-    rows = rows.join(near_by(imported_too), ["file", "name"], "left")
+    if not small:
+        uses = uses.join(rows.filter("kind = 'bare'").select("file", "name").distinct(), "file")
+    offered = uses.join(single, ["t"] if small else ["t", "name"]).groupBy("file", "name").agg(F.min_by("offer", "ord").alias("offer"))
+    rows = rows.join(near_by(offered), ["file", "name"], "left")
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     same = F.col("self_id").isNotNull().cast("int")
@@ -160,7 +194,6 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
     lost, many = flag("unresolved_call", F.col("raw")), flag("ambiguous_call", F.col("name"))
     several = F.concat(F.col("n2").cast("string"), F.lit("_candidate_definitions"))
     is_kind = lambda k: F.col("kind") == k
-    from_import = F.when(zero("im_n") == 1, F.col("im_id")).when((zero("im_n") == 0) & (zero("is_n") == 1), F.col("is_id"))
     rungs: list[tuple[Column, Column, str, Column | str]] = [
         (is_kind("new") & F.col("ic_id").isNotNull(), F.col("ic_id"), HIGH, "constructor_import"),
         (is_kind("new") & (zero("cn_n") == 1), F.col("cn_id"), HIGH, "constructor_same_file"),
@@ -173,10 +206,10 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
         (is_kind("receiver") & (F.col("n2") == 1), other("far"), LOW, "receiver_repository"),
         (is_kind("receiver") & (F.col("n2") > 1), many, FLAGGED, several),
         (is_kind("qualified") & (zero("im_n") == 1), F.col("im_id"), HIGH, "module_qualified"),
-        (is_kind("qualified") & (zero("rc_n") == 1) & (zero("rm_n") == 1), F.col("rm_id"), HIGH, "class_qualified"),
+        (is_kind("qualified") & F.col("rm_id").isNotNull(), F.col("rm_id"), HIGH, "class_qualified"),
         (is_kind("qualified") & (F.col("n2") == 1), other("far"), LOW, "attribute_repository"),
         (is_kind("receiver") | is_kind("qualified"), lost, FLAGGED, "attribute_call_unknown_receiver_type"),
-        (from_import.isNotNull(), from_import, HIGH, "imported_call"),
+        (F.col("from_import").isNotNull(), F.col("from_import"), HIGH, "imported_call"),
         (F.col("offer").isNotNull(), F.col("offer"), HIGH, "imported_call"),
         (F.col("n1") > 1, many, FLAGGED, "duplicate_same_file_candidates"),
         ((F.col("n1") == 1) & F.col("imported_too").isNull(), other("near"), HIGH, "same_file"),
@@ -185,13 +218,29 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, im
         (F.col("n2") > 1, many, FLAGGED, several),
         (F.lit(True), lost, FLAGGED, "no_matching_definition_found"),
     ]
-    answer = None
-    for holds, to, confidence, rung in rungs:
-        a = F.struct(to.alias("target"), F.lit(confidence).alias("confidence"), (F.lit(rung) if isinstance(rung, str) else rung).alias("rung"))
-        answer = F.when(holds, a) if answer is None else answer.when(holds, a)
-    answers = rows.select(*[F.col(c).alias(f"_{c}") for c in asked], answer.alias("_a"))
+    at = None  # the number of the first rung that holds is found once; the parts of its answer go by it
+    for k, (holds, *_) in enumerate(rungs):
+        at = F.when(holds, k) if at is None else at.when(holds, k)
+    rows = rows.withColumn("_at", at)
+
+    def by_rung(values: list) -> Column:
+        """The value of the rung; rungs of one value share a branch."""
+        columns = [F.lit(v) if isinstance(v, str) else v for v in values]
+        of = {}
+        for k, c in enumerate(columns):
+            of.setdefault(str(c), (c, []))[1].append(k)
+        out = None
+        for c, ks in of.values():
+            out = F.when(F.col("_at").isin(*ks), c) if out is None else out.when(F.col("_at").isin(*ks), c)
+        return out
+
+    parts = [by_rung([r[k] for r in rungs]).alias(name) for k, name in ((1, "target"), (2, "confidence"), (3, "rung"))]
+    more = ["line"] if "line" in calls.columns else []
+    if small:
+        return rows.select("call_id", "caller", "raw", *parts, *more)
+    answers = rows.select(*[F.col(c).alias(f"_{c}") for c in asked], F.struct(*parts).alias("_a"))
     told = made.join(answers, [made[c].eqNullSafe(F.col(f"_{c}")) for c in asked])
-    return told.select("call_id", "caller", "raw", "_a.target", "_a.confidence", "_a.rung", *(["line"] if "line" in calls.columns else []))
+    return told.select("call_id", "caller", "raw", "_a.target", "_a.confidence", "_a.rung", *more)
 
 
 def edges(calls: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:

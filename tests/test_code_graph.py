@@ -206,3 +206,20 @@ def test_records_of_the_tables_against_the_plain_resolver(spark):
     got = {(r["call_id"], r["caller"], r["raw"]): r for r in code_graph.resolve_calls(*records(spark, "/root/testdata/sf0.001")).collect()}
     assert {k: r["target"] for k, r in got.items()} == _plain(repo)
     assert len({r["rung"] for r in got.values()}) > 8
+
+
+def test_classes_of_one_name_share_their_methods(spark):
+    repo = _repo([("a.py", f"f{k % 3}", "A") for k in range(60)], [("a.py", "A", ["A"]) for _ in range(50)], (), [(0, "self.f1"), (1, "self.g")])
+    f = _frames(spark, repo)
+    classes = code_graph._first_classes(f["classes"], ["file", "name"], "cn")
+    methods = code_graph._methods(f["classes"], code_graph._counted(f["functions"], ["file", "class_owner", "name"], "m"), classes)
+    assert methods.count() == 3  # not one for each class
+    assert {k: r["target"] for k, r in _resolved(spark, repo).items()} == _plain(repo)
+
+
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(code_graph, "BROADCAST_ROWS", 1)
+    names = ["f", "g", "self.f", "b.g", "A.f", "new A", "q.h", "super.g", "x.g"]
+    functions = [("a.py", "f", "A"), ("a.py", "g", None), ("b.py", "g", None), ("b.py", "f", "B"), ("c.py", "h", None)]
+    repo = _repo(functions, [("a.py", "A", ["B"]), ("b.py", "B", [])], [("a.py", "b", None), ("c.py", "b", "x"), ("c.py", "a.g", "f")], [(c, n) for c in range(5) for n in names])
+    assert {k: r["target"] for k, r in _resolved(spark, repo).items()} == _plain(repo)
