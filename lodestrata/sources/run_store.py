@@ -8,8 +8,9 @@ A run's id is the one its document bears, else a hash of the document, so a docu
 out; where two writers commit one run at the same time, readers take the batch with the smaller name. Repositories and snapshots are
 got or created by their keys.
 
-Tables are range-partitioned by run and position and sorted, so that a run with very many rows is spread over tasks and a lookup
-of single runs reads few row groups. A document is one row by nature: ``documents`` regroups the rows of each run asked for.
+Parsed documents are range-partitioned by run once; tables that are only taken out of them are written as they lie, sorted by run and position, others
+are range-partitioned anew, so that a lookup of single runs reads few row groups. Documents whose ids are stored are left out before the
+rest is parsed whole. A document is one row by nature: ``documents`` regroups the rows of each run asked for.
 
 Keys that a table has no column for are kept as JSON and merged back last. Defined results: a document that is no JSON object, or null, is set
 aside by ``rejected``; missing lists are empty, a missing status is partial; an analyzer that isn't an object and the keys of ``NOT_TOOLS``
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 # Keys of a document.
 NOT_TOOLS = ("scope_policy", "production_files_analyzed", "test_files_excluded")
+JOINED = ("repositories", "snapshots", "file_records", "entity_records", "source_embeddings")  # tables that are more than a part of each document
 ENTITY_TYPES = ("function", "class", "import_target")
 _OBJECTS = "array<map<string,variant>>"
 _CHUNK = "chunk_id:string,file_path:string,start_line:int,end_line:int,chunk_text:string,language:string,entity_name:string,entity_type:string,provenance:string,chunk_hash:string,commit_sha:string,chunker_version:string,schema_version:string"
@@ -83,6 +85,12 @@ def parsed(documents: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["run_id"]).select("run_id", "d")
 
 
+def _unknown(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """The documents but those whose id is stored; only the id is parsed."""
+    ids = F.coalesce(F.from_json("document", "struct<run_id:string>")["run_id"], _digest(F.col("document")))
+    return documents.withColumn("run_id", ids).join(stored, "run_id", "left_anti").select("document")
+
+
 def rejected(documents: DataFrame) -> DataFrame:
     """Documents that are no JSON object."""
     return documents.filter(~_is_object())
@@ -187,9 +195,13 @@ class RunStore:
     def append(self, documents: DataFrame) -> str:
         """Writes the documents that aren't stored yet and commits them at once; the name of the batch."""
         batch = uuid.uuid4().hex
-        rows = parsed(documents).join(self._all("runs").select("run_id"), "run_id", "left_anti")
+        if self.batches():
+            stored = self._all("runs").select("run_id")
+            rows = parsed(_unknown(documents, stored)).join(stored, "run_id", "left_anti")
+        else:
+            rows = parsed(documents)
         path = f"{self.root}/parsed/batch={batch}"
-        rows.write.parquet(path)  # parsed once for twelve tables
+        rows.repartitionByRange("run_id").write.parquet(path)  # parsed once for twelve tables
         rows = self.spark.read.schema(rows.schema).parquet(path)
         for name, part in split(rows).items():
             if name == "repositories":
@@ -197,7 +209,7 @@ class RunStore:
             elif name == "snapshots":
                 part = part.join(self.table(name).select("snapshot_key"), "snapshot_key", "left_anti")
             keys = [c for c in ("run_id", "position") if c in part.columns] or part.columns[:1]
-            part.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.root}/{name}/batch={batch}")
+            (part.repartitionByRange(*keys) if name in JOINED else part).sortWithinPartitions(*keys).write.parquet(f"{self.root}/{name}/batch={batch}")
         self._fs().delete(self._path("parsed", f"batch={batch}"), True)
         self._commit(batch)
         return batch

@@ -110,3 +110,12 @@ def test_odd_documents(spark, store):
     assert len(got) == 2 and got["r"]["knowledge_graph"]["nodes"] == [{"id": "", "type": "unknown"}] and got["r"]["repository"] == "unknown"
     store.append(odd.limit(0))
     assert store.table("runs").count() == 2
+
+
+def test_known_documents_are_not_parsed_again(spark, store, monkeypatch):
+    old = [document(1, run_id="r1"), document(3)]
+    store.append(frame(spark, old))
+    seen = []
+    monkeypatch.setattr(run_store, "parsed", lambda d, f=run_store.parsed: (seen.append(d.count()), f(d))[1])
+    store.append(frame(spark, [*old, document(2, run_id="r2")]))
+    assert seen == [1] and store.table("runs").count() == 3
