@@ -116,8 +116,10 @@ def clean_messages(spark, d):
     case when score is null then 'N/A' else printf('%.1f', case when score * 4 = floor(score * 4) and score * 2 <> floor(score * 2) then score + sign(score) * 0.01 else score end) end as shown from s""",
 )
 def score_labels(spark, d):
-    score = F.when(F.col("c_custkey") % 10 > 0, F.col("c_acctbal") / 100)
-    return V.table(spark, d, "customer").select("c_custkey", L.tier(score).alias("tier"), L.shown_score(score).alias("shown"))
+    customer = V.table(spark, d, "customer")
+    kind = "float" if dict(customer.dtypes)["c_acctbal"] == "float" else "double"  # floats of 4 bytes stay such when they are divided
+    score = F.when(F.col("c_custkey") % 10 > 0, (F.col("c_acctbal").cast("double") / 100).cast(kind))
+    return customer.select("c_custkey", L.tier(score).alias("tier"), L.shown_score(score).alias("shown"))
 
 
 @query(

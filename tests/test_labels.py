@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import labels as L
 from lodestrata.operators import health, retrieval, snapshots
+from lodestrata.registry import REGISTRY
 
 
 def test_shown_score_is_exact(spark):
@@ -30,6 +32,23 @@ def test_shown_score_of_halves_that_a_hundredth_does_not_move(spark):
     assert [r["t"] for r in rows] == [f"{moved(s):.1f}" for s in scores]
 
 
+def test_shown_score_of_signed_nan_and_all_digits(spark):
+    scores = [math.copysign(math.nan, -1), math.nan, 2.0**125, -1e40, 2.0**1023]
+    rows = spark.createDataFrame([(s,) for s in scores], "s double").select(L.shown_score(F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["-nan", *(f"{s:.1f}" for s in scores[1:])]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(15,2)", "bigint"])
+def test_score_labels_of_other_types(spark, tmp_path, kind):
+    con = duckdb.connect()
+    odd = "union all select unnest([null, -('nan'::double), 'nan', 'inf', '-inf', -0.0, -1e-300, 1e22, 14096868946448425])" if kind == "double" else ""
+    balances = f"select (i * 5 - 1000)::{kind} as b from range(2200) t(i) union all select (i * 0.37)::{kind} from range(500) t(i) {odd}"
+    con.execute(f"copy (select row_number() over () as c_custkey, b as c_acctbal from ({balances})) to '{tmp_path}/customer.parquet'")
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    query = REGISTRY["score_labels"]
+    assert sorted(map(tuple, query.run(spark, str(tmp_path)).collect())) == sorted(con.execute(query.sql).fetchall())
+
+
 def test_token_counts(spark):
     cases = {'{"n": 5}': 5, '{"n": {"a": 1}}': None, '{"n": 0}': 0, '{"n": -1}': None, '{"n": 5.0}': None, '{"n": true}': None, '{"n": "5"}': None, '{"n": null}': None, "{}": None, "[5]": None, "x": None, '{"n": 12345678901}': 12345678901}
     rows = spark.createDataFrame([(k,) for k in [*cases, None]], "u string").select("u", L.token_count(F.col("u"), "n").alias("n")).collect()
