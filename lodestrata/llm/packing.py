@@ -41,20 +41,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, cache_bytes), np.array([END_ID], dtype="<u4").tobytes()
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     raw += end
                     for k, begin in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[begin : begin + 4 * capacity]
                         for col, v in zip(cols, (doc_id, k, begin // 4, len(piece) // 4, zlib.crc32(piece), piece), strict=True):
                             col.append(v)
-                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = len(names) if keep_ids else 5
-                yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
+                n = 6 if keep_ids else 5
+                arrays = [pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names[:n])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE + ", ids binary" * keep_ids)
 

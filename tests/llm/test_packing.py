@@ -55,6 +55,30 @@ def test_small_cache_gives_the_same_ids():
     assert small.encode([t.encode() for t in texts]) == [np.array(_ids(t)[:-1], "<u4").tobytes() for t in texts]
 
 
+def test_odd_words_and_gaps_give_the_same_ids():
+    letters = "".join(c for c in map(chr, range(0xAA, 0x250)) if c.isalpha())
+    words = [*letters, *(letters[k : k + 4] + "a" for k in range(len(letters))), "e\u0301té", "ÀÉÎ,###", "Ÿa", "ŸÿY", "ﬁn", "word's", "it's'", "don''t", "x<|endoftext|>", "<|endoftext|>", "a1b", "naïve...", "İx", "ΑΣ", "ΑΣ.", "ªº", "µm", "日本", "...", "'", "\u00ad", "$%&Wörd$%&"]
+    gaps = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n"]
+    texts = ["".join(w + gaps[k % 7] for k, w in enumerate(words)), "\x1c a\x1d b\x1e \x1f c\x85 \xa0d\u2003e\u3000", " lead", "trail ", " ", "", *words, *("a" * n + "é" * n for n in (30, 60, 70, 3000))]
+    whole = Tokenizer.from_file(default_path())
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (600, 96 << 20):
+        enc = type(encoder(default_path()))(default_path(), most_bytes=size)
+        for _ in range(2):
+            got = enc.encode([t.encode() for t in texts])
+            assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+    assert enc.encode([None, b"a", None]) == [b"", np.array(_ids("a")[:-1], "<u4").tobytes(), b""] and enc.encode([]) == []
+
+
+def test_words_of_letters_skip_the_patterns():
+    """The normalizer and the patterns took half of the time; only what isn't made of Latin letters goes through them."""
+    enc = type(encoder(default_path()))(default_path())
+    seen, learn = [], enc._learn
+    enc._learn = lambda plain: seen.extend(plain) or learn(plain)
+    enc.encode(["Anblewh sttible, athawh; THONRE éaiquement ### Schließlich,### x1 日本".encode()])
+    assert sorted(seen) == sorted([b",", b";", b"###", b",###", b"x1", "日本".encode()])
+
+
 def test_whole_table_is_packed_nearly_full(spark):
     rows = queries.op10_pack_sequences(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
