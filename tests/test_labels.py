@@ -49,6 +49,17 @@ def test_score_labels_of_other_types(spark, tmp_path, kind):
     assert sorted(map(tuple, query.run(spark, str(tmp_path)).collect())) == sorted(con.execute(query.sql).fetchall())
 
 
+def test_score_labels_of_scaled_copies(spark, tmp_path):
+    """Copies with other keys, whose rounded balances hold negative zeros."""
+    con = duckdb.connect()
+    copies = "from '/root/testdata/sf0.01/customer.parquet', range(60) t(i)"
+    con.execute(f"copy (select c_custkey + i * 15001 as c_custkey, round(c_acctbal * i / 10000, 2) as c_acctbal {copies}) to '{tmp_path}/customer.parquet'")
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    query = REGISTRY["score_labels"]
+    assert any("-0.0" == row[2] for row in con.execute(query.sql).fetchall())
+    assert sorted(map(tuple, query.run(spark, str(tmp_path)).collect())) == sorted(con.execute(query.sql).fetchall())
+
+
 def test_token_counts(spark):
     cases = {'{"n": 5}': 5, '{"n": {"a": 1}}': None, '{"n": 0}': 0, '{"n": -1}': None, '{"n": 5.0}': None, '{"n": true}': None, '{"n": "5"}': None, '{"n": null}': None, "{}": None, "[5]": None, "x": None, '{"n": 12345678901}': 12345678901}
     rows = spark.createDataFrame([(k,) for k in [*cases, None]], "u string").select("u", L.token_count(F.col("u"), "n").alias("n")).collect()
