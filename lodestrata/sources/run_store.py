@@ -12,6 +12,10 @@ Parsed documents are range-partitioned by run once; tables that are only taken o
 are range-partitioned anew, so that a lookup of single runs reads few row groups. Documents whose ids are stored are left out before the
 rest is parsed whole. A document is one row by nature: ``documents`` regroups the rows of each run asked for.
 
+Sorted ids are a few bytes each in a file, so Spark would take millions of runs for a small table and gather them on the driver for a broadcast
+join. Joins whose sides have a row for each run or more are merge joins by hint; only repositories and snapshots, whose keys are
+hashes, are left to its estimates.
+
 Keys that a table has no column for are kept as JSON and merged back last. Defined results: a document that is no JSON object, or null, is set
 aside by ``rejected``; missing lists are empty, a missing status is partial; an analyzer that isn't an object and the keys of ``NOT_TOOLS``
 are no analyzers; nodes without a type are ``unknown``; of several parse errors of a file the last counts; an embedding whose chunk is unknown
@@ -86,9 +90,13 @@ def parsed(documents: DataFrame) -> DataFrame:
 
 
 def _unknown(documents: DataFrame, stored: DataFrame) -> DataFrame:
-    """The documents but those whose id is stored; only the id is parsed."""
-    ids = F.coalesce(F.from_json("document", "struct<run_id:string>")["run_id"], _digest(F.col("document")))
-    return documents.withColumn("run_id", ids).join(stored, "run_id", "left_anti").select("document")
+    """The documents but those whose id is stored; only the id is parsed. Ids are compared first: whole documents are dealt out only if some are stored and others aren't."""
+    named = documents.withColumn("run_id", F.coalesce(F.from_json("document", "struct<run_id:string>")["run_id"], _digest(F.col("document"))))
+    found = named.select("run_id").join(stored.distinct().withColumn("_stored", F.lit(True)).hint("merge"), "run_id", "left")
+    total, known = found.agg(F.count("*"), F.count("_stored")).first()
+    if known in (0, total):
+        return documents.limit(0) if known else documents
+    return named.join(stored.hint("merge"), "run_id", "left_anti").select("document")
 
 
 def rejected(documents: DataFrame) -> DataFrame:
@@ -134,10 +142,10 @@ def split(rows: DataFrame) -> dict[str, DataFrame]:
     )
     errors = each("parse_errors").groupBy("run_id", F.col("x.file").alias("file_path")).agg(F.max_by("x.error", "position").alias("parse_error"))
     files = nodes.filter("type = 'file'").select("run_id", "position", F.col("id").alias("file_path"))
-    out["file_records"] = files.withColumn("language", language_of(F.col("file_path"))).join(errors, ["run_id", "file_path"], "left")
+    out["file_records"] = files.withColumn("language", language_of(F.col("file_path"))).join(errors.hint("merge"), ["run_id", "file_path"], "left")
     entities = nodes.filter(F.col("type").isin(*ENTITY_TYPES) & (F.coalesce("file", F.lit("")) != ""))
     entities = entities.select("run_id", "position", *plain, F.col("type").alias("entity_type"), of("id").alias("node_id"), of("class_owner").alias("class_owner"), _rest(F.col("x"), (*_NODE, "class_owner")).alias("extra"))
-    out["entity_records"] = entities.join(files.select("run_id", "file_path"), ["run_id", "file_path"])
+    out["entity_records"] = entities.join(files.select("run_id", "file_path").hint("merge"), ["run_id", "file_path"])
     edges = each("knowledge_graph.edges")
     out["graph_edges"] = edges.select("run_id", "position", *[F.coalesce(of(c), F.lit("")).alias(c) for c in _EDGE[:3]], *[of(c).alias(c) for c in _EDGE[3:]], _rest(F.col("x"), _EDGE).alias("attributes"))
     health = rows.filter(F.size("d.health_score") > 0).select("run_id", F.col("d.health_score").alias("x"))
@@ -152,7 +160,7 @@ def split(rows: DataFrame) -> dict[str, DataFrame]:
     chunks = each("source_chunks").select("run_id", "position", _digest(F.col("run_id"), F.col("position"), F.col("x.chunk_id")).alias("source_chunk_id"), *fields)
     out["source_chunks"] = chunks
     ids = chunks.filter("chunk_id <> ''").groupBy("run_id", "chunk_id").agg(F.max_by("source_chunk_id", "position").alias("of_run"))
-    vectors = each("source_embeddings").withColumn("chunk_id", F.coalesce("x.chunk_id", F.lit(""))).join(ids, ["run_id", "chunk_id"], "left")
+    vectors = each("source_embeddings").withColumn("chunk_id", F.coalesce("x.chunk_id", F.lit(""))).join(ids.hint("merge"), ["run_id", "chunk_id"], "left")
     out["source_embeddings"] = vectors.select(
         "run_id", "position", F.coalesce("of_run", "x.source_chunk_id").alias("source_chunk_id"), "chunk_id", "repo_url", F.coalesce("x.commit_sha", "_sha").alias("commit_sha"),
         *[F.coalesce(f"x.{c}", F.lit(v)).alias(c) for c, v in (("model_name", "unknown"), ("model_version", "1.0"), ("dimension", 0), ("pipeline_version", "1"))], F.col("x.vector").cast("array<float>").alias("vector"),
@@ -166,6 +174,7 @@ class RunStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._twice: dict[tuple, bool] = {}
 
     def _path(self, *parts: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
@@ -179,25 +188,39 @@ class RunStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if not s.getPath().getName().startswith((".", "_"))) if fs.exists(folder) else []
 
     def _all(self, name: str) -> DataFrame:
-        schema, batches = f"{TABLES[name]}, batch string", self.batches()
+        return self._of(name, self.batches())
+
+    def _of(self, name: str, batches: list[str]) -> DataFrame:
+        schema = f"{TABLES[name]}, batch string"
         if not batches:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/batch={b}" for b in batches])
 
     def table(self, name: str) -> DataFrame:
         """The rows of visible runs."""
-        rows = self._all(name)
         if name in ("repositories", "snapshots"):
+            rows = self._all(name)
             return rows.drop("batch").dropDuplicates([rows.columns[0]])
-        first = self._all("runs").groupBy("run_id").agg(F.min("batch").alias("batch"))
-        return rows.join(first, ["run_id", "batch"], "left_semi").drop("batch")
+        batches = self.batches()
+        rows = self._of(name, batches)
+        if self._raced(batches):
+            first = self._of("runs", batches).groupBy("run_id").agg(F.min("batch").alias("batch"))
+            rows = rows.join(first.hint("merge"), ["run_id", "batch"], "left_semi")
+        return rows.drop("batch")
+
+    def _raced(self, batches: list[str]) -> bool:
+        """Whether two of the batches hold the same run; looked up once for each set of batches, as a commit is for good."""
+        key = tuple(batches)
+        if key not in self._twice:
+            self._twice[key] = len(key) > 1 and self._of("runs", batches).groupBy("run_id").count().filter("count > 1").count() > 0
+        return self._twice[key]
 
     def append(self, documents: DataFrame) -> str:
         """Writes the documents that aren't stored yet and commits them at once; the name of the batch."""
         batch = uuid.uuid4().hex
         if self.batches():
             stored = self._all("runs").select("run_id")
-            rows = parsed(_unknown(documents, stored)).join(stored, "run_id", "left_anti")
+            rows = parsed(_unknown(documents, stored)).join(stored.hint("merge"), "run_id", "left_anti")
         else:
             rows = parsed(documents)
         path = f"{self.root}/parsed/batch={batch}"
@@ -250,8 +273,8 @@ class RunStore:
         tool = F.concat(_quoted("analyzer_name"), F.lit(":"), F.concat(F.lit('{"status":'), _quoted("status"), F.lit(',"results":'), F.col("results"), F.lit(',"provenance":'), _quoted("provenance"), F.lit(',"errors":'), F.col("errors"), F.lit(',"metadata":'), F.col("metadata"), F.lit("}")))
         out = own
         for name, made, alias in (("analyzer_results", tool, "tools"), ("graph_nodes", merged(node, "attributes"), "nodes"), ("graph_edges", merged(edge, "attributes"), "edges")):
-            out = out.join(grouped(name, made, alias), "run_id", "left")
-        out = out.join(self._counted(), "run_id", "left").join(self.table("health_scores").withColumnRenamed("status", "health_status"), "run_id", "left")
+            out = out.join(grouped(name, made, alias).hint("merge"), "run_id", "left")
+        out = out.join(self._counted().hint("merge"), "run_id", "left").join(self.table("health_scores").withColumnRenamed("status", "health_status").hint("merge"), "run_id", "left")
         empty = lambda c: F.coalesce(c, F.lit(""))
         raw = lambda c, none: F.coalesce(F.col(c), F.lit(none))
         health = F.when(F.col("health_status").isNull(), "{}").otherwise(_object({
@@ -275,7 +298,7 @@ class RunStore:
             F.count("*").alias("total_edges"), F.count_if(calls).alias("call_edges_total"), *[of(c).alias(c) for c in ("high_confidence", "low_confidence", "flagged")],
             *[F.count_if(F.col("relation") == r).alias(f"{r}_edges_total") for r in ("inherits", "depends_on", "has_finding")],
         )
-        rows = self.table("runs").select("run_id").join(nodes, "run_id", "left").join(edges, "run_id", "left").fillna(0)
+        rows = self.table("runs").select("run_id").join(nodes.hint("merge"), "run_id", "left").join(edges.hint("merge"), "run_id", "left").fillna(0)
         resolved = F.round(100 * (F.col("high_confidence") + F.col("low_confidence")) / F.greatest("call_edges_total", F.lit(1)), 1)
         by = F.struct("high_confidence", "low_confidence", "flagged").alias("call_edges_by_confidence")
         totals = F.struct("total_nodes", "total_edges", "call_edges_total", by, resolved.alias("call_edges_resolved_pct"), "inherits_edges_total", "depends_on_edges_total", "has_finding_edges_total", "finding_nodes_total")

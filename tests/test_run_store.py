@@ -1,10 +1,12 @@
 """Stored runs: what is written comes back, half a batch is invisible, a run that comes twice counts once."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.registry import REGISTRY
 from lodestrata.sources import run_store
 from lodestrata.sources.run_store import TABLES, RunStore
 
@@ -119,3 +121,41 @@ def test_known_documents_are_not_parsed_again(spark, store, monkeypatch):
     monkeypatch.setattr(run_store, "parsed", lambda d, f=run_store.parsed: (seen.append(d.count()), f(d))[1])
     store.append(frame(spark, [*old, document(2, run_id="r2")]))
     assert seen == [1] and store.table("runs").count() == 3
+
+
+def broadcasts(df):
+    """How many sides of joins would be gathered on the driver."""
+    return len(re.findall(r"[-:] BroadcastExchange", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_rows_of_runs_are_not_broadcast(spark, store, tmp_path):
+    want = [document(n, run_id=f"r{n}") for n in range(40)]
+    store.append(frame(spark, want[:30]))
+    stored = store.table("runs").select("run_id")
+    for known in (0, 20, 30):  # none, some or all of the documents are stored
+        given = frame(spark, want[30 - known : 40 if known < 30 else 30])
+        left = run_store._unknown(given, stored)
+        assert broadcasts(left) == 0 and left.count() == given.count() - known
+    store.append(frame(spark, want))
+    assert len(store.batches()) == 2 and store.table("runs").count() == 40
+    assert {t: broadcasts(store.table(t)) for t in TABLES} == dict.fromkeys(TABLES, 0)
+    assert broadcasts(store.documents()) <= 2  # snapshots and repositories
+    path = f"file://{tmp_path}/parsed"
+    run_store.parsed(frame(spark, want)).write.parquet(path)
+    rows = run_store.split(spark.read.schema(run_store.parsed(frame(spark, [])).schema).parquet(path))
+    assert {t: broadcasts(x) for t, x in rows.items()} == dict.fromkeys(TABLES, 0)
+
+
+def test_runs_of_racing_writers_are_not_broadcast(spark, store, monkeypatch):
+    store.append(frame(spark, [document(1, run_id="r1"), document(2, run_id="r2")]))
+    racing = RunStore(spark, store.root)
+    monkeypatch.setattr(racing, "_all", lambda name, f=racing._all: f(name).limit(0))
+    racing.append(frame(spark, [document(2, run_id="r2"), document(3, run_id="r3")]))
+    for reader in (store, RunStore(spark, store.root)):
+        runs = reader.table("runs")
+        assert broadcasts(runs) == 0 and sorted(r["run_id"] for r in runs.collect()) == ["r1", "r2", "r3"]
+        assert reader.table("graph_edges").count() == 12 and reader.documents().count() == 3
+
+
+def test_the_query_broadcasts_no_runs(spark):
+    assert broadcasts(REGISTRY["run_store"].run(spark, "/root/testdata/sf0.001")) <= 2
